@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_posts"]
+_MODULES = ["q_posts", "q_sampling"]
 
 
 def _load():
