@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_posts", "q_sampling"]
+_MODULES = ["q_posts", "q_sampling", "q_encode_metrics"]
 
 
 def _load():
