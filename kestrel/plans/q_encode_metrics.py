@@ -29,9 +29,7 @@ FACTOR_COLS = [("item_author", "item_author_index"), ("article_author", "article
 
 def factorized_posts(spark, sf, base=None):
     p = base if base is not None else A.posts(spark, sf)
-    for col, out in FACTOR_COLS:
-        p = E.factorize(p, col, "post_id", out)
-    return p
+    return E.factorize_many(p, dict(FACTOR_COLS), "post_id")
 
 
 def posts_features(spark, sf):
