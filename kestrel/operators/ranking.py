@@ -143,7 +143,8 @@ def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
 def cap_rank(df: DataFrame, rank_col: str, max_rank: int = 10, fill_missing: bool = False) -> DataFrame:
     """Ranks above ``max_rank`` become ``max_rank + 1``; with ``fill_missing``
     a null rank (value unseen in the ranked month) also becomes ``max_rank + 1``."""
-    capped = F.least(F.col(rank_col), F.lit(max_rank + 1))
+    # ``least`` skips nulls, so a missing rank is handled explicitly
+    capped = F.when(F.col(rank_col).isNotNull(), F.least(F.col(rank_col), F.lit(max_rank + 1)))
     if fill_missing:
         capped = F.coalesce(capped, F.lit(max_rank + 1))
     return df.withColumn(rank_col, capped.cast("bigint"))

@@ -133,10 +133,11 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame, len
     the mask.  Only positions < length can reach the output, so later
     positions are dropped before the vocabulary join."""
     pos = explode_tokens(df, id_col, tokens, with_pos=True).filter(F.col("pos") < length)
-    ids = (pos.join(vocab, "token", "left")
-              .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(0)).alias("id"))))
+    v = vocab.select("token", F.col("id").alias("_vid"))
+    ids = (pos.join(v, "token", "left")
+              .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_vid", F.lit(0)).alias("_vid"))))
                                    .alias("_p")))
-    ids = ids.select(id_col, F.transform("_p", lambda x: x["id"]).alias("_ids"))
+    ids = ids.select(id_col, F.transform("_p", lambda x: x["_vid"]).alias("_ids"))
     j = df.select(id_col).join(ids, id_col, "left").withColumn(
         "_ids", F.coalesce(F.col("_ids"), F.array().cast("array<bigint>")))
     return j.select(id_col, S.pad_truncate(F.col("_ids"), length).alias(out_ids)).withColumn(

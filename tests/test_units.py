@@ -134,8 +134,12 @@ def test_sampler_stable_under_repartition(spark):
     spec = [(i, f"a{i % 3}", "b", f"s{i % 2}", i % 4, int(i % 7 == 0)) for i in range(200)]
     df = _posts(spark, spec)
     a = rows(SM.sample_negatives_ladder(df, k=3), "post_id", "neg_post_id")
-    b = rows(SM.sample_negatives_ladder(df.repartition(7), k=3, buckets=3), "post_id", "neg_post_id")
+    b = rows(SM.sample_negatives_ladder(df.repartition(7), k=3), "post_id", "neg_post_id")
     assert a == b
+    # fewer hash buckets change the ring order, never the rule: k distinct each
+    c = SM.sample_negatives_ladder(df, k=3, buckets=3).groupBy("post_id").agg(
+        F.count("*").alias("n"), F.countDistinct("neg_post_id").alias("d")).collect()
+    assert all(r["n"] == 3 and r["d"] == 3 for r in c)
 
 
 def test_label_top_fraction_small_n(spark):
