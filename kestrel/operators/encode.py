@@ -33,11 +33,13 @@ def factorize(df: DataFrame, col: str, order_col: str = "post_id", out: str | No
               .withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("bigint")).drop("_code"))
 
 
-def factorize_many(df: DataFrame, cols: dict, order_col: str = "post_id") -> DataFrame:
+def factorize_many(df: DataFrame, cols: dict, order_col: str = "post_id",
+                   source: DataFrame | None = None) -> DataFrame:
     """J1 for several columns at once: {column: output name}.  One stacked
     (feature, value, first position) table is numbered by a single
-    distributed sort, so k columns cost one ranking job instead of k."""
-    stacked = df.select(F.col(order_col), F.explode(F.array(*[
+    distributed sort, so k columns cost one ranking job instead of k.
+    ``source`` (default ``df``) is the table the dictionaries are built from."""
+    stacked = (source if source is not None else df).select(F.col(order_col), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_s"))
     firsts = (stacked.filter(F.col("_s.value").isNotNull())
                      .groupBy(F.col("_s.feature").alias("feature"), F.col("_s.value").alias("value"))

@@ -98,39 +98,88 @@ def global_row_number(df: DataFrame, order: Order, out: str = "rn",
                     (F.col("_obefore") + F.col("_idx") + 1).alias(out))
 
 
-def kth_row(df: DataFrame, order: Order, k_of_n) -> tuple:
-    """Return (row, n, k): the k-th row (1-based) of ``df`` in ``order`` where
-    ``k = k_of_n(n)``; row is None when k is outside 1..n.  Only the order
-    columns are shuffled."""
+def _kth_row_ranked(df: DataFrame, order: Order, k: int, offset: int = 0):
     cols = [c for c, _ in order]
     rr = range_ranked(df.select(*cols), order)
     try:
-        n = rr.total
-        k = int(k_of_n(n))
-        if k < 1 or k > n:
-            return None, n, k
-        pid, idx = rr.locate(k)
+        loc = rr.locate(k - offset)
+        if loc is None:
+            return None
+        pid, idx = loc
         row = rr.frame.filter((F.col("_pid") == pid) & (F.col("_idx") == idx)).select(*cols).first()
-        return row.asDict(), n, k
+        return row.asDict()
     finally:
         rr.release()
 
 
+def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002) -> tuple:
+    """Return (row, n, k): the k-th row (1-based) of ``df`` in ``order`` where
+    ``k = k_of_n(n)``; row is None when k is outside 1..n.
+
+    Distributed selection: one aggregate gives n and approximate quantiles of
+    the leading (numeric) column around k/n; a second counts the rows before
+    that value band and inside it; only the band (≈ 2·eps·n rows) is then
+    ranked exactly by the full order.  If the approximation misses, the band
+    widens, ending with the whole table, so the answer is always exact.
+    """
+    from pyspark.sql.types import NumericType
+    cols = [c for c, _ in order]
+    lead, asc = order[0]
+    numeric = isinstance(df.schema[lead].dataType, NumericType)
+    base = df.select(*cols)
+    if not numeric:
+        n = base.count()
+        k = int(k_of_n(n))
+        return (_kth_row_ranked(base, order, k) if 1 <= k <= n else None), n, k
+    n = None
+    while True:
+        if n is None:
+            # one pass: row count + quantiles, before k is known
+            head = base.agg(F.count(F.lit(1)).alias("n")).first()
+            n = head["n"]
+            k = int(k_of_n(n))
+            if k < 1 or k > n:
+                return None, n, k
+        p = k / n if asc else 1.0 - k / n
+        lo_p, hi_p = max(0.0, p - eps), min(1.0, p + eps)
+        if lo_p <= 0.0 and hi_p >= 1.0:
+            return _kth_row_ranked(base, order, k), n, k
+        q = base.agg(F.percentile_approx(lead, [lo_p, hi_p], 100000).alias("q")).first()["q"]
+        lo_v, hi_v = (q[0] if lo_p > 0 else None), (q[1] if hi_p < 1 else None)
+        x = F.col(lead)
+        in_band = F.lit(True)
+        if lo_v is not None:
+            in_band = in_band & (x >= F.lit(lo_v))
+        if hi_v is not None:
+            in_band = in_band & (x <= F.lit(hi_v))
+        if asc:
+            before = (x < F.lit(lo_v)) if lo_v is not None else F.lit(False)
+        else:
+            before = (x > F.lit(hi_v)) if hi_v is not None else F.lit(False)
+        c = base.agg(F.sum(before.cast("long")).alias("b"), F.sum(in_band.cast("long")).alias("m")).first()
+        b, m = c["b"] or 0, c["m"] or 0
+        if b < k <= b + m:
+            return _kth_row_ranked(base.filter(in_band), order, k, offset=b), n, k
+        eps *= 8
+
+
 # ---------------------------------------------------------------- E1 / E2
 
 def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
                       year: str = "year", month: str = "month",
-                      out: str | None = None) -> DataFrame:
+                      out: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """Dense rank of ``col`` by number of rows inside each (year, month), most
     rows first, merged back on (col, year, month).
 
     ``lag_months=0`` ranks inside the same month; ``lag_months=1`` attaches the
     previous month's rank (unseen values get null).  Null values of ``col``
     are not counted and get a null rank.  The window runs over the per-month
-    aggregate, never over the fact table.
+    aggregate, never over the fact table.  ``source`` (default ``df``) is
+    the table counted, so several ranks can be attached without each
+    recounting the previous joins.
     """
     out = out or f"{col}_rank"
-    counts = (df.filter(F.col(col).isNotNull())
+    counts = ((source if source is not None else df).filter(F.col(col).isNotNull())
                 .groupBy(year, month, col).agg(F.count(F.lit(1)).alias("_n")))
     w = Window.partitionBy(year, month).orderBy(F.col("_n").desc())
     ranked = counts.select(year, month, col, F.dense_rank().over(w).cast("bigint").alias(out))

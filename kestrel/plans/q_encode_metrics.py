@@ -33,9 +33,11 @@ def factorized_posts(spark, sf, base=None):
 
 
 def posts_features(spark, sf):
-    """Feature table: posts + first-seen codes + capped monthly ranks."""
+    """Feature table: posts + capped monthly ranks + first-seen codes.  Rank
+    and code tables are aggregates of the plain posts plan, joined back once."""
     from .q_posts import ranked_posts
-    return ranked_posts(spark, sf, 0, base=factorized_posts(spark, sf))
+    p = A.posts(spark, sf)
+    return E.factorize_many(ranked_posts(spark, sf, 0, base=p), dict(FACTOR_COLS), "post_id", source=p)
 
 
 _FACT_SQL = with_(POSTS) + "SELECT p.post_id, " + ", ".join(

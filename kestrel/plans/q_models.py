@@ -21,13 +21,20 @@ from .registry import query
 FEATURES = C.POST_FEATURES + C.AUTHOR_FEATURES
 
 
-def _split_features(spark, sf):
-    """Assembled feature table, materialised once in the shared checkpoint
-    folder: iterative fitting then rereads compact rows, not the whole
-    lineage (and survives lost executors)."""
+PAIR_KEYS = ["item_author", "article_author", "article_source", "stock_code"]
+
+
+def _feature_table(spark, sf):
+    """Feature table with its split, materialised once in the shared
+    checkpoint folder: fitting and sampling then reread compact rows instead
+    of the whole lineage (and survive lost executors)."""
     f = chrono_split(posts_features(spark, sf), "year_month", C.SPLITS)
-    f = f.select("post_id", "split", "viral", *FEATURES)
-    return checkpointed(ML.assemble(f, FEATURES))
+    return checkpointed(f.select("post_id", "split", "viral", *PAIR_KEYS, *FEATURES))
+
+
+def _split_features(spark, sf, table_=None):
+    f = table_ if table_ is not None else _feature_table(spark, sf)
+    return ML.assemble(f.select("post_id", "split", "viral", *FEATURES), FEATURES)
 
 
 def _acc_rows(model, data, label="viral"):
@@ -119,8 +126,8 @@ def regr_slope(spark, sf):
                           F.regr_intercept("l_extendedprice", "l_quantity").alias("intercept")))
 
 
-def _feature_pairs(spark, sf, data_splits, aux_splits=()):
-    f = chrono_split(posts_features(spark, sf), "year_month", C.SPLITS)
+def _feature_pairs(spark, sf, data_splits, aux_splits=(), table_=None):
+    f = table_ if table_ is not None else _feature_table(spark, sf)
     data = f.filter(F.col("split").isin(*data_splits)).drop("split")
     aux = [f.filter(F.col("split").isin(*aux_splits)).drop("split")] if aux_splits else None
     pairs = S.sample_negatives_ladder(data, aux, k=C.NEG_PER_POS_LADDER)
@@ -137,7 +144,9 @@ def pairwise_ranker(spark, sf):
 
 @query("train_rounds")
 def train_rounds(spark, sf):
-    by_round = {1: _feature_pairs(spark, sf, ["train"]), 2: _feature_pairs(spark, sf, ["test1"], ["train", "valid"])}
+    ft = _feature_table(spark, sf)
+    by_round = {1: _feature_pairs(spark, sf, ["train"], table_=ft),
+                2: _feature_pairs(spark, sf, ["test1"], ["train", "valid"], table_=ft)}
     models = ML.train_rounds(by_round, FEATURES)
     rows = []
     for r, m in models.items():
@@ -159,9 +168,10 @@ def early_stop(spark, sf):
 
 @query("score_report")
 def score_report(spark, sf):
-    pairs = _feature_pairs(spark, sf, ["train"])
+    ft = _feature_table(spark, sf)
+    pairs = _feature_pairs(spark, sf, ["train"], table_=ft)
     m = ML.fit_pairwise_ranker(pairs, FEATURES)
-    test = _split_features(spark, sf).filter("split = 'test1'")
+    test = _split_features(spark, sf, ft).filter("split = 'test1'")
     rep = ML.score_and_report(m, test, FEATURES, fraction=C.TOP_FRACTION)
     return rounded(rep.select("post_id", "score", "pred", "viral",
                               F.transform("feature_attention", lambda v: F.round(v, 6)).alias("feature_attention")))

@@ -124,8 +124,9 @@ def positives(spark, sf):
 @query("date_range", with_(POSTS) + """SELECT post_id, year_month FROM posts
 WHERE year_month BETWEEN DATE '2000-01-01' AND DATE '2000-06-30'""")
 def date_range(spark, sf):
-    return Rel.between_dates(A.posts_base(spark, sf), "year_month", "2000-01-01", "2000-06-30") \
-        .select("post_id", "year_month")
+    rng = ("2000-01-01", "2000-06-30")
+    # the range also reaches the orders scan as a pushed filter on the raw date
+    return Rel.between_dates(A.posts_base(spark, sf, rng), "year_month", *rng).select("post_id", "year_month")
 
 
 @query("enrich_industry", with_(IND, POSTS_BASE) + """SELECT post_id, b.stock_code,
@@ -272,9 +273,10 @@ def _ranks_sql(lag: int, fill: bool) -> str:
 
 
 def ranked_posts(spark, sf, lag: int = 0, base=None):
-    p = base if base is not None else A.posts_base(spark, sf)
+    src = base if base is not None else A.posts_base(spark, sf)
+    p = src
     for c in ("item_author", "article_author", "article_source"):
-        p = R.rank_within_month(p, c, lag_months=lag)
+        p = R.rank_within_month(p, c, lag_months=lag, source=src)
         p = R.cap_rank(p, f"{c}_rank", C.MAX_RANK, fill_missing=bool(lag))
     return p
 

@@ -15,8 +15,14 @@ from .sql import POSTS, SPLIT_CASE, h, with_
 SEED = 7
 
 
-def split_posts(spark, sf):
-    return chrono_split(A.posts(spark, sf).select(*POST_COLS), "year_month", C.SPLITS)
+def split_posts(spark, sf, names=None):
+    """Posts labelled with their split; ``names`` limits the scan to the
+    date range covering those splits (pushed to the Parquet reader)."""
+    rng = None
+    if names:
+        spans = [(s, e) for n, s, e in C.SPLITS if n in names]
+        rng = (min(s for s, _ in spans), max(e for _, e in spans))
+    return chrono_split(A.posts(spark, sf, rng).select(*POST_COLS), "year_month", C.SPLITS)
 
 
 def _split_sql(names):
@@ -83,7 +89,7 @@ def _ladder_sql(data_splits, aux_splits, k=C.NEG_PER_POS_LADDER):
 
 
 def _ladder(spark, sf, data_splits, aux_splits):
-    sp = split_posts(spark, sf)
+    sp = split_posts(spark, sf, list(data_splits) + list(aux_splits))
     data = sp.filter(F.col("split").isin(*data_splits)).drop("split")
     aux = [sp.filter(F.col("split").isin(*aux_splits)).drop("split")] if aux_splits else None
     pairs = S.sample_negatives_ladder(data, aux, k=C.NEG_PER_POS_LADDER, seed=SEED)
@@ -119,7 +125,7 @@ def _fallback_sql(k=C.NEG_PER_POS_FALLBACK):
 
 @query("neg_sample_fallback", _fallback_sql())
 def neg_sample_fallback(spark, sf):
-    data = take_split(split_posts(spark, sf), "train").drop("split")
+    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
     pairs = S.sample_negatives_fallback(data, k=C.NEG_PER_POS_FALLBACK, seed=SEED)
     return pairs.select(*POST_COLS, *[f"neg_{c}" for c in POST_COLS])
 
@@ -131,7 +137,7 @@ def neg_sample_fallback(spark, sf):
 FROM (SELECT p.post_id, count(pairs.pos_id) AS m FROM pos p LEFT JOIN pairs ON pairs.pos_id = p.post_id
       GROUP BY p.post_id)"""))
 def neg_sample_shortage(spark, sf):
-    data = take_split(split_posts(spark, sf), "train").drop("split")
+    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
     pairs = S.sample_negatives_ladder(data, None, k=C.NEG_PER_POS_LADDER, seed=SEED)
     return S.shortage(pairs, data.filter(F.col("viral") == 1), C.NEG_PER_POS_LADDER)
 
@@ -159,7 +165,7 @@ stats AS (SELECT post_id, neg_count1, neg_count21, neg_count22, neg_count23,
 
 @query("match_counts", _MATCH_SQL.replace("WITH ", "WITH ", 1) + "SELECT * FROM stats")
 def match_counts(spark, sf):
-    data = take_split(split_posts(spark, sf), "train").drop("split")
+    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
     return S.match_statistics(data)
 
 
@@ -168,7 +174,7 @@ def match_counts(spark, sf):
   CAST(sum(CAST(x = 0 AS BIGINT)) AS BIGINT) AS zeros FROM (SELECT CAST({' + '.join(cols)} AS DOUBLE) AS x FROM stats)"""
     for name, cols in S.SUMMARY_COMBOS) + ")")
 def match_summary(spark, sf):
-    data = take_split(split_posts(spark, sf), "train").drop("split")
+    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
     s = S.summarize_counts(S.match_statistics(data))
     return s.select("combo", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "zeros")
 

@@ -12,16 +12,19 @@ eagerly by a distributed range sort.
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SENTIMENT_CODES, TOP_FRACTION
 from ..functions.hashing import TWO_32, hash_int
-from ..operators.ranking import label_first_rows, label_top_fraction
+from ..operators.ranking import before_or_at, kth_row, label_top_fraction
 from ..operators.relational import enrich_left
 from .tables import table
 
 VIRAL_FRACTION = 0.05
+VIRAL_ORDER = [("popularity", False), ("post_id", True)]
 
 
 def industry_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +39,24 @@ def industry_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("n_name").alias("IndustryCode2")))
 
 
-def posts_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts without the label: one row per order."""
+def month_range_bounds(start: str, end: str) -> tuple[str, str]:
+    """[lo, hi) on the raw date such that first-of-month(date) lies in [start, end]."""
+    s, e = date.fromisoformat(start), date.fromisoformat(end)
+    lo = s if s.day == 1 else (date(s.year + (s.month == 12), s.month % 12 + 1, 1))
+    hi = date(e.year + (e.month == 12), e.month % 12 + 1, 1)
+    return lo.isoformat(), hi.isoformat()
+
+
+def posts_base(spark: SparkSession, sf_dir: str, date_range: tuple[str, str] | None = None) -> DataFrame:
+    """Posts without the label: one row per order.  ``date_range`` (inclusive,
+    on the first-of-month date) is applied as a range on the raw order date,
+    so it reaches the Parquet scan as a pushed filter."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_custkey", "o_orderstatus",
                                         "o_totalprice", "o_orderdate", "o_orderpriority"])
+    if date_range:
+        lo, hi = month_range_bounds(*date_range)
+        o = o.filter((F.col("o_orderdate") >= F.lit(lo).cast("timestamp_ntz"))
+                     & (F.col("o_orderdate") < F.lit(hi).cast("timestamp_ntz")))
     c = table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_mktsegment"])
     d = F.to_date(F.col("o_orderdate"))
     status = F.col("o_orderstatus")
@@ -66,10 +83,23 @@ def posts_base(spark: SparkSession, sf_dir: str) -> DataFrame:
                        fill={"IndustryCode1": "others", "IndustryCode2": "others"}, small_dim=True)
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with ``viral`` = 1 for the first 5 % by (popularity desc, post_id)."""
-    base = posts_base(spark, sf_dir)
-    return label_first_rows(base, [("popularity", False), ("post_id", True)], VIRAL_FRACTION, "viral")
+def viral_threshold(spark: SparkSession, sf_dir: str):
+    """The last (popularity, post_id) inside the first 5 % of all orders."""
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]).select(
+        F.col("o_orderkey").alias("post_id"), F.col("o_totalprice").alias("popularity"))
+    row, n, k = kth_row(o, VIRAL_ORDER, lambda n: int(n * VIRAL_FRACTION))
+    return row
+
+
+def posts(spark: SparkSession, sf_dir: str, date_range: tuple[str, str] | None = None) -> DataFrame:
+    """Posts with ``viral`` = 1 for the first 5 % of *all* orders by
+    (popularity desc, post_id); the label is a predicate against one
+    threshold row, so a date range still prunes the scan."""
+    base = posts_base(spark, sf_dir, date_range)
+    row = viral_threshold(spark, sf_dir)
+    if row is None:
+        return base.withColumn("viral", F.lit(0).cast("int"))
+    return base.withColumn("viral", before_or_at(VIRAL_ORDER, row).cast("int"))
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
