@@ -57,7 +57,9 @@ def slot_pool(pool: DataFrame, keys: list[str], seed: int, id_col: str = "post_i
     kcols = [f"_k_{k}" for k in keys]
     w = Window.partitionBy(*kcols, "_b").orderBy("_h", prefix + id_col)
     ranked = p.withColumn("_r", F.row_number().over(w) - 1)
-    bcount = p.groupBy(*kcols, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    # counted from the ranked rows: already clustered by (key, bucket), so the
+    # aggregate needs no new shuffle and the window's exchange is reused
+    bcount = ranked.groupBy(*kcols, "_b").agg(F.count(F.lit(1)).alias("_c"))
     before = Window.partitionBy(*kcols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     bcount = bcount.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
     slotted = (ranked.join(bcount.select(*kcols, "_b", "_off"), kcols + ["_b"])
