@@ -112,41 +112,39 @@ def _kth_row_ranked(df: DataFrame, order: Order, k: int, offset: int = 0):
         rr.release()
 
 
-def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002) -> tuple:
+def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002,
+            direct_rows: int = 2_000_000) -> tuple:
     """Return (row, n, k): the k-th row (1-based) of ``df`` in ``order`` where
     ``k = k_of_n(n)``; row is None when k is outside 1..n.
 
-    Distributed selection: one aggregate gives n and approximate quantiles of
-    the leading (numeric) column around k/n; a second counts the rows before
-    that value band and inside it; only the band (≈ 2·eps·n rows) is then
-    ranked exactly by the full order.  If the approximation misses, the band
-    widens, ending with the whole table, so the answer is always exact.
+    Distributed selection.  Up to ``direct_rows`` rows the order columns are
+    range-sorted directly.  Above it, one aggregate pass gives a grid of
+    approximate quantiles of the leading (numeric) column, a second counts the rows before a value band around quantile
+    k/n and inside it, and only the band (≈ 2·eps·n rows) is sorted by the
+    full order.  If the approximation misses, the band widens, ending with
+    the whole table, so the answer is always exact.
     """
     from pyspark.sql.types import NumericType
     cols = [c for c, _ in order]
     lead, asc = order[0]
-    numeric = isinstance(df.schema[lead].dataType, NumericType)
     base = df.select(*cols)
-    if not numeric:
-        n = base.count()
-        k = int(k_of_n(n))
-        return (_kth_row_ranked(base, order, k) if 1 <= k <= n else None), n, k
-    n = None
+    numeric = isinstance(df.schema[lead].dataType, NumericType)
+    n = base.count()
+    k = int(k_of_n(n))
+    if k < 1 or k > n:
+        return None, n, k
+    if not numeric or n <= direct_rows:
+        return _kth_row_ranked(base, order, k), n, k
+    grid = [i / 1000 for i in range(1001)]
+    q = base.agg(F.percentile_approx(lead, grid, 100000).alias("q")).first()["q"]
+    x = F.col(lead)
     while True:
-        if n is None:
-            # one pass: row count + quantiles, before k is known
-            head = base.agg(F.count(F.lit(1)).alias("n")).first()
-            n = head["n"]
-            k = int(k_of_n(n))
-            if k < 1 or k > n:
-                return None, n, k
         p = k / n if asc else 1.0 - k / n
-        lo_p, hi_p = max(0.0, p - eps), min(1.0, p + eps)
-        if lo_p <= 0.0 and hi_p >= 1.0:
+        lo_i, hi_i = int(max(0.0, p - eps) * 1000), min(1000, int((p + eps) * 1000) + 1)
+        if lo_i <= 0 and hi_i >= 1000:
             return _kth_row_ranked(base, order, k), n, k
-        q = base.agg(F.percentile_approx(lead, [lo_p, hi_p], 100000).alias("q")).first()["q"]
-        lo_v, hi_v = (q[0] if lo_p > 0 else None), (q[1] if hi_p < 1 else None)
-        x = F.col(lead)
+        lo_v = q[lo_i] if lo_i > 0 else None
+        hi_v = q[hi_i] if hi_i < 1000 else None
         in_band = F.lit(True)
         if lo_v is not None:
             in_band = in_band & (x >= F.lit(lo_v))

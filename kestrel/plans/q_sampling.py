@@ -8,6 +8,7 @@ from .. import config as C
 from ..operators import sampling as S
 from ..operators.splits import chrono_split, random_split, rounds_assignment, sample_n, take_split, union_all
 from ..sources import adapters as A
+from ..sources.tables import checkpointed
 from .q_posts import POST_COLS
 from .registry import query
 from .sql import POSTS, SPLIT_CASE, h, with_
@@ -89,7 +90,10 @@ def _ladder_sql(data_splits, aux_splits, k=C.NEG_PER_POS_LADDER):
 
 
 def _ladder(spark, sf, data_splits, aux_splits):
-    sp = split_posts(spark, sf, list(data_splits) + list(aux_splits))
+    # the sampler reads its input several times (positives, and the pool per
+    # key spec): materialise the covering date range once in the shared
+    # checkpoint folder instead of re-deriving posts for every reference
+    sp = checkpointed(split_posts(spark, sf, list(data_splits) + list(aux_splits)))
     data = sp.filter(F.col("split").isin(*data_splits)).drop("split")
     aux = [sp.filter(F.col("split").isin(*aux_splits)).drop("split")] if aux_splits else None
     pairs = S.sample_negatives_ladder(data, aux, k=C.NEG_PER_POS_LADDER, seed=SEED)

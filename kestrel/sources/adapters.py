@@ -102,6 +102,16 @@ def posts(spark: SparkSession, sf_dir: str, date_range: tuple[str, str] | None =
     return base.withColumn("viral", before_or_at(VIRAL_ORDER, row).cast("int"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Text work is CPU-bound per row: when the scan yields fewer partitions
+    than there are cores (one large file, one row group), hash-spread the
+    rows by key.  With many input files this is a no-op."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headline-text table: documents, their quality label (null when
     unlabelled), dated by the order with the same key."""
@@ -109,7 +119,7 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lab = table(spark, sf_dir, "labels", ["doc_id", "quality"])
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     d = F.to_date(F.col("o_orderdate"))
-    return (docs.join(lab, "doc_id", "left")
+    return (spread(docs.join(lab, "doc_id", "left"), "doc_id")
                 .join(o, F.col("doc_id") == F.col("o_orderkey"), "inner")
                 .select(F.col("doc_id").alias("post_id"), F.col("text").alias("item_title"),
                         F.col("source").alias("article_source"), F.col("lang").alias("industry"),
@@ -121,7 +131,12 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """post_id, y, score, pred: a deterministic score with some signal, and
     the top-1 % labels of it."""
-    p = posts(spark, sf_dir).select("post_id", F.col("viral").alias("y"))
+    # only the key and the label are needed: built from orders alone
+    o = table(spark, sf_dir, "orders", ["o_orderkey", "o_totalprice"]).select(
+        F.col("o_orderkey").alias("post_id"), F.col("o_totalprice").alias("popularity"))
+    row = viral_threshold(spark, sf_dir)
+    viral = before_or_at(VIRAL_ORDER, row).cast("int") if row is not None else F.lit(0)
+    p = o.select("post_id", viral.alias("y"))
     s = p.withColumn("score", hash_int(F.lit("s"), F.col("post_id")) / F.lit(TWO_32)
                      + F.lit(0.3) * F.col("y"))
     return label_top_fraction(s, "score", TOP_FRACTION, key="post_id", out="pred")
