@@ -132,7 +132,8 @@ def encode_tokens(df: DataFrame, id_col: str, tokens: str, vocab: DataFrame, len
     """Token ids (vocabulary ids, 0 = padding) at fixed ``length`` plus
     the mask.  Only positions < length can reach the output, so later
     positions are dropped before the vocabulary join."""
-    pos = explode_tokens(df, id_col, tokens, with_pos=True).filter(F.col("pos") < length)
+    head = df.select(id_col, F.slice(F.col(tokens), 1, length).alias("_head"))
+    pos = explode_tokens(head, id_col, "_head", with_pos=True)
     v = vocab.select("token", F.col("id").alias("_vid"))
     ids = (pos.join(v, "token", "left")
               .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("_vid", F.lit(0)).alias("_vid"))))

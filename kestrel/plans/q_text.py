@@ -8,7 +8,7 @@ from ..functions import scalar as S
 from ..operators import relational as Rel
 from ..operators import text as T
 from ..sources import adapters as A
-from ..sources.tables import parse_lexicon, table
+from ..sources.tables import checkpointed, parse_lexicon, table
 from .q_encode_metrics import rounded
 from .registry import query
 from .sql import POSTS, TEXTS, with_
@@ -16,8 +16,12 @@ from .sql import POSTS, TEXTS, with_
 TOK = r"[\p{L}\p{N}_]+"
 
 
-def tokenized(spark, sf):
-    return T.tokenize(A.texts(spark, sf).select("post_id", "item_title"), "item_title")
+def tokenized(spark, sf, reused: bool = False):
+    """Token arrays of the whole texts; ``reused`` materialises them once in
+    the shared checkpoint folder when a query derives several tables
+    (stopwords, lexicon, vocabulary) from them."""
+    t = T.tokenize(A.texts(spark, sf).select("post_id", "item_title"), "item_title").select("post_id", "tokens")
+    return checkpointed(t) if reused else t
 
 
 def _stopwords(tok):
@@ -62,7 +66,7 @@ def top_words_q(spark, sf):
 SELECT t.post_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_kept, coalesce(k.s, '') AS kept_joined
 FROM toks t LEFT JOIN kept k ON t.post_id = k.post_id""")
 def remove_stopwords_q(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, reused=True)
     r = T.remove_stopwords(t, "tokens", _stopwords(t), out="kept")
     return r.select("post_id", F.size("kept").cast("bigint").alias("n_kept"),
                     S.join_tokens("kept").alias("kept_joined"))
@@ -73,7 +77,7 @@ def remove_stopwords_q(spark, sf):
   LEFT JOIN lex l ON r.token = l.word GROUP BY r.post_id)
 SELECT t.post_id, round(coalesce(s.v, 0.0), 6) AS sentiment_score FROM toks t LEFT JOIN s ON t.post_id = s.post_id""")
 def lexicon_sentiment_q(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, reused=True)
     lex = T.lexicon_from_corpus(t, "tokens", 4)
     return rounded(T.lexicon_sentiment(t, "post_id", "tokens", lex, 0.0))
 
@@ -85,7 +89,7 @@ s AS (SELECT r.post_id, sum(coalesce(l.score, 0.0)) / count(*) AS v FROM crow r
   LEFT JOIN lex l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM sw) GROUP BY r.post_id)
 SELECT t.post_id, round(coalesce(s.v, 0.0), 6) AS drop_sentiment_score FROM ctoks t LEFT JOIN s ON t.post_id = s.post_id""")
 def lexicon_sentiment_clean_q(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, reused=True)
     sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
     c = T.clean_text(A.texts(spark, sf).select("post_id", "item_title"), "item_title", "clean")
     c = T.tokenize(c, "clean", "ctoks")
@@ -98,7 +102,7 @@ def lexicon_sentiment_clean_q(spark, sf):
 SELECT r.post_id, CAST(v.term_id AS BIGINT) AS term_id, CAST(count(*) AS BIGINT) AS n
 FROM tok_rows r JOIN vocab v ON r.token = v.token GROUP BY r.post_id, v.term_id""")
 def bag_of_words_q(spark, sf):
-    return T.bag_of_words(tokenized(spark, sf), "post_id", "tokens")
+    return T.bag_of_words(tokenized(spark, sf, reused=True), "post_id", "tokens")
 
 
 @query("encode_tokens", with_(TOKS) + """, vocab AS (
@@ -110,7 +114,7 @@ full_ids AS (SELECT t.post_id, list_concat(coalesce(i.ids, []), list_transform(r
 SELECT post_id, array_to_string(l, ',') AS input_ids,
   array_to_string(list_transform(l, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END), ',') AS attention_mask FROM full_ids""")
 def encode_tokens_q(spark, sf):
-    t = tokenized(spark, sf)
+    t = tokenized(spark, sf, reused=True)
     e = T.encode_tokens(t, "post_id", "tokens", T.vocabulary(t, "tokens", 1), 32)
     return e.select("post_id", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), ",").alias("input_ids"),
                     F.array_join(F.transform("attention_mask", lambda x: x.cast("string")), ",").alias("attention_mask"))

@@ -248,3 +248,36 @@ def test_reduce_top_n_ties_by_value(spark):
     df = spark.createDataFrame(data, "id INT, v STRING")
     out = E.reduce_to_top_n(df, "v", 2)
     assert rows(out, "id", "v_reduced") == [(0, "Others"), (1, "a"), (2, "c"), (3, "c"), (4, "Others")]
+
+
+@pytest.mark.parametrize("asc", [True, False])
+def test_kth_row_band_path_is_exact(spark, asc):
+    import random
+    rnd = random.Random(9)
+    data = [(i, float(rnd.randint(0, 300))) for i in range(5000)]   # many ties
+    df = spark.createDataFrame(data, "post_id INT, score DOUBLE")
+    order = [("score", asc), ("post_id", True)]
+    brute = sorted(data, key=lambda r: ((r[1] if asc else -r[1]), r[0]))
+    for k in (1, 37, 250, 2500, 4999, 5000):
+        row, n, kk = R.kth_row(df, order, lambda n, k=k: k, direct_rows=10)
+        assert n == 5000 and (row["post_id"], row["score"]) == brute[k - 1]
+
+
+def test_char_ngram_tokens(spark):
+    df = spark.createDataFrame([(1, "股票上涨"), (2, "ab")], "id INT, t STRING")
+    got = {r["id"]: r["tokens"] for r in T.tokenize(df, "t", mode="char_ngram", n=2).collect()}
+    assert got[1] == ["股票", "票上", "上涨"] and got[2] == ["ab"]
+
+
+def test_pluggable_batch_encoder(spark):
+    import numpy as np
+    from kestrel.operators.models import embed_text_with
+
+    def make_predict_fn():
+        def predict(texts):
+            return np.stack([[float(len(t)), float(t.count("a"))] for t in texts]).astype(np.float32)
+        return predict
+
+    df = spark.createDataFrame([(1, "banana"), (2, "kiwi")], "id INT, t STRING")
+    out = {r["id"]: r["embedding"] for r in embed_text_with(df, make_predict_fn, "t", 2).collect()}
+    assert out[1] == [6.0, 3.0] and out[2] == [4.0, 0.0]
