@@ -12,7 +12,7 @@ from ..operators import metrics as M
 from ..sources import adapters as A
 from ..sources.tables import table
 from .registry import query
-from .sql import POSTS, SCORED, h, with_
+from .sql import POSTS, SCORED, with_
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -64,7 +64,6 @@ def _pairs_output_sql():
 
 def _ladder_sql(data_splits, aux_splits, k=C.NEG_PER_POS_LADDER):
     keys3 = S.KEYS3
-    kp = ", ".join(keys3)
     on = " AND ".join(f"p.{c} = g.{c}" for c in keys3)
     ctes = [POSTS,
             f"data AS {_split_sql(data_splits)}",
@@ -85,7 +84,6 @@ def _ladder_sql(data_splits, aux_splits, k=C.NEG_PER_POS_LADDER):
     FROM (SELECT DISTINCT pos_id, neg_id FROM (
       SELECT * FROM d_k3_poor UNION ALL SELECT * FROM d_src_poor UNION ALL SELECT * FROM d_stock_poor)))
   WHERE r <= {k})"""]
-    _ = kp
     return with_(*ctes) + _pairs_output_sql()
 
 
@@ -129,7 +127,7 @@ def _fallback_sql(k=C.NEG_PER_POS_FALLBACK):
 
 @query("neg_sample_fallback", _fallback_sql())
 def neg_sample_fallback(spark, sf):
-    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
+    data = checkpointed(take_split(split_posts(spark, sf, ["train"]), "train").drop("split"))
     pairs = S.sample_negatives_fallback(data, k=C.NEG_PER_POS_FALLBACK, seed=SEED)
     return pairs.select(*POST_COLS, *[f"neg_{c}" for c in POST_COLS])
 
@@ -141,7 +139,7 @@ def neg_sample_fallback(spark, sf):
 FROM (SELECT p.post_id, count(pairs.pos_id) AS m FROM pos p LEFT JOIN pairs ON pairs.pos_id = p.post_id
       GROUP BY p.post_id)"""))
 def neg_sample_shortage(spark, sf):
-    data = take_split(split_posts(spark, sf, ["train"]), "train").drop("split")
+    data = checkpointed(take_split(split_posts(spark, sf, ["train"]), "train").drop("split"))
     pairs = S.sample_negatives_ladder(data, None, k=C.NEG_PER_POS_LADDER, seed=SEED)
     return S.shortage(pairs, data.filter(F.col("viral") == 1), C.NEG_PER_POS_LADDER)
 

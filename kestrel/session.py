@@ -21,10 +21,20 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
-    "spark.driver.memory": "8g",
 }
 
 
+def _driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it about 60 % of
+    the machine, at most 8 GiB (a cluster sets its own)."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    mb = max(1024, min(8192, int(total * 0.6 / 2**20)))
+    return f"{mb}m"
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app: str = "kestrel", extra: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings every operator assumes."""
@@ -33,6 +43,8 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         b = b.master(master)
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if master and master.startswith("local"):
+        b = b.config("spark.driver.memory", _driver_memory())
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
@@ -45,13 +57,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring a local one only if unset."""
     d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no driver-side context (remote session)
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="kestrel-ckpt-")
+        d = tempfile.mkdtemp(prefix="kestrel-ckpt-")  # local runs and tests only
         spark.conf.set("spark.checkpoint.dir", d)
-    sc = spark.sparkContext
-    if not (hasattr(sc, "getCheckpointDir") and sc.getCheckpointDir()):
+    if sc is not None and not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 

@@ -106,10 +106,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """Text work is CPU-bound per row: when the scan yields fewer partitions
     than there are cores (one large file, one row group), hash-spread the
     rows by key.  With many input files this is a no-op."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without an RDD API keep the scan as is
+        return df
+    return df.repartition(cores, key) if parts < cores else df
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:

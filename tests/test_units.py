@@ -281,3 +281,31 @@ def test_pluggable_batch_encoder(spark):
     df = spark.createDataFrame([(1, "banana"), (2, "kiwi")], "id INT, t STRING")
     out = {r["id"]: r["embedding"] for r in embed_text_with(df, make_predict_fn, "t", 2).collect()}
     assert out[1] == [6.0, 3.0] and out[2] == [4.0, 0.0]
+
+
+def test_label_encoder_fitted_on_train_only(spark):
+    train = spark.createDataFrame([("b",), ("a",)], "v STRING")
+    test = spark.createDataFrame([("a",), ("c",)], "v STRING")
+    codes = E.fit_label_encoder(train, "v")
+    out = {r["v"]: r["v_label"] for r in E.apply_label_encoder(test, codes, "v").collect()}
+    assert out == {"a": 0, "c": -1}
+
+
+def test_zscore_population_std(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,)], "x DOUBLE")
+    assert sorted(r["x_z"] for r in E.zscore(df, "x").collect()) == [-1.0, 1.0]
+    const = spark.createDataFrame([(2.0,), (2.0,)], "x DOUBLE")
+    assert all(r["x_z"] is None for r in E.zscore(const, "x").collect())
+
+
+def test_one_hot_and_class_weights(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "id INT, v STRING")
+    oh = {r["id"]: (r["v_a"], r["v_b"]) for r in E.one_hot(df, "v").collect()}
+    assert oh == {1: (1, 0), 2: (0, 1), 3: (1, 0)}
+    w = {r["v"]: r["weight"] for r in E.class_weights(df, "v").collect()}
+    assert abs(w["a"] - 3 / 4) < 1e-12 and abs(w["b"] - 3 / 2) < 1e-12
+
+
+def test_outcome_codes(spark):
+    df = spark.createDataFrame([(1, 1), (0, 0), (1, 0), (0, 1)], "y INT, pred INT")
+    assert [r["outcome"] for r in M.outcome_code(df).collect()] == [2, 0, -1, 1]
