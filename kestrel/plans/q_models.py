@@ -24,12 +24,27 @@ FEATURES = C.POST_FEATURES + C.AUTHOR_FEATURES
 PAIR_KEYS = ["item_author", "article_author", "article_source", "stock_code"]
 
 
+def _input_fingerprint(sf, names=("orders", "customer", "nation", "region")) -> str:
+    import hashlib
+    import os
+    parts = []
+    for n in names:
+        st = os.stat(os.path.join(sf, f"{n}.parquet"))
+        parts.append(f"{os.path.abspath(sf)}|{n}|{st.st_size}|{st.st_mtime_ns}")
+    return hashlib.md5("\n".join(parts).encode()).hexdigest()[:16]
+
+
 def _feature_table(spark, sf):
-    """Feature table with its split, materialised once in the shared
-    checkpoint folder: fitting and sampling then reread compact rows instead
-    of the whole lineage (and survive lost executors)."""
-    f = chrono_split(posts_features(spark, sf), "year_month", C.SPLITS)
-    return checkpointed(f.select("post_id", "split", "viral", *PAIR_KEYS, *FEATURES))
+    """Feature table with its split, materialised once (A10) in the shared
+    checkpoint folder under a fingerprint of its input files: every model
+    query rereads the compact table instead of re-deriving it, and a lost
+    executor never forces the derivation again."""
+    from ..session import shared_path
+    from ..sources.tables import materialize_once
+    def build():
+        f = chrono_split(posts_features(spark, sf), "year_month", C.SPLITS)
+        return f.select("post_id", "split", "viral", *PAIR_KEYS, *FEATURES)
+    return materialize_once(build, shared_path(spark, f"features-{_input_fingerprint(sf)}"), spark)
 
 
 def _split_features(spark, sf, table_=None):

@@ -87,12 +87,19 @@ def write_delimited(df: DataFrame, path: str, sep: str, mode: str = "overwrite")
     df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", False).csv(path)
 
 
-def materialize_once(df: DataFrame, path: str) -> DataFrame:
-    """A10: compute and write ``df`` only when ``path`` holds no table yet,
-    then read the stored table (lineage is cut at the write)."""
-    spark = df.sparkSession
-    df.write.mode("ignore").parquet(path)
-    return spark.read.parquet(path)
+def materialize_once(df, path: str, spark: SparkSession | None = None) -> DataFrame:
+    """A10: compute and write the table only when ``path`` holds none yet,
+    then read the stored table (lineage is cut at the write).  ``df`` may be
+    a DataFrame or a function building it, called only when the table is
+    missing (so eager steps of the build are skipped as well)."""
+    spark = spark or getattr(df, "sparkSession", None)
+    try:
+        return spark.read.parquet(path)
+    except Exception:  # noqa: BLE001 - not there yet
+        pass
+    built = df() if callable(df) else df
+    built.write.mode("ignore").parquet(path)
+    return built.sparkSession.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
