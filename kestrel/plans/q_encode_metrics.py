@@ -208,7 +208,7 @@ def outcome_code_q(spark, sf):
     return M.outcome_code(A.scored(spark, sf)).select("post_id", "outcome")
 
 
-@query("label_top_fraction", with_(SCORED) + "SELECT post_id, score, pred FROM scored")
+@query("label_top_fraction", with_(SCORED) + "SELECT post_id, round(score, 6) AS score, pred FROM scored")
 def label_top_fraction_q(spark, sf):
     return rounded(A.scored(spark, sf).select("post_id", "score", "pred"))
 
