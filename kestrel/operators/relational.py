@@ -213,20 +213,72 @@ def split_counts(df: DataFrame, split: str = "split", label: str = "viral") -> D
                                  F.sum((F.col(label) == 1).cast("bigint")).cast("bigint").alias("n_positive"))
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
+    """{column: [value at each q]} with linear interpolation between order
+    statistics (as ``quantile_cont``), computed without holding any column
+    in one task: all columns are stacked and range-sorted once, and only the
+    order statistics at the needed positions (two per quantile and column)
+    reach the driver."""
+    import math
+    from .ranking import range_ranked
+    stacked = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(cols)]))
+        .alias("_s")).select("_s._c", "_s._x").filter(F.col("_x").isNotNull())
+    counts = {r["_c"]: r["n"] for r in stacked.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rr = range_ranked(stacked, [("_c", True), ("_x", True)])
+    try:
+        start, wanted = 0, {}
+        plan = {}
+        for i in range(len(cols)):
+            n = counts.get(i, 0)
+            plan[i] = []
+            for q in qs:
+                if n == 0:
+                    plan[i].append(None)
+                    continue
+                h = (n - 1) * q
+                lo, hi = math.floor(h), math.ceil(h)
+                plan[i].append((start + lo + 1, start + hi + 1, h - lo))
+                wanted[start + lo + 1] = wanted[start + hi + 1] = None
+            start += n
+        locs = {k: rr.locate(k) for k in wanted}
+        cond = F.lit(False)
+        for pid, idx in set(locs.values()):
+            cond = cond | ((F.col("_pid") == pid) & (F.col("_idx") == idx))
+        got = {(r["_pid"], r["_idx"]): r["_x"] for r in rr.frame.filter(cond).select("_pid", "_idx", "_x").collect()}
+        out = {}
+        for i, c in enumerate(cols):
+            vals = []
+            for item in plan[i]:
+                if item is None:
+                    vals.append(None)
+                    continue
+                a, b, frac = item
+                lo_v, hi_v = got[locs[a]], got[locs[b]]
+                vals.append(lo_v + frac * (hi_v - lo_v))
+            out[c] = vals
+        return out
+    finally:
+        rr.release()
+
+
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:
-    """D7 (numeric part): count, mean, std (sample), min, quartiles
-    (linear interpolation), max — one aggregate pass, one row per column."""
+    """D7 (numeric part): count, mean, std (sample), min, quartiles (linear
+    interpolation, exact), max — one row per column.  Moments come from one
+    aggregate pass; quartiles from :func:`exact_quantiles` (no per-column
+    value map in a single task)."""
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}__count"), F.avg(x).alias(f"{c}__mean"),
-                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"),
-                 F.percentile(x, 0.25).alias(f"{c}__p25"), F.percentile(x, 0.5).alias(f"{c}__p50"),
-                 F.percentile(x, 0.75).alias(f"{c}__p75"), F.max(x).alias(f"{c}__max")]
-    wide = df.agg(*aggs)
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    rows = ", ".join(f"'{c}', " + ", ".join(f"`{c}__{s}`" for s in stats) for c in cols)
-    return wide.select(F.expr(f"stack({len(cols)}, {rows}) AS (column_name, {', '.join(stats)})"))
+                 F.stddev_samp(x).alias(f"{c}__std"), F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
+    m = df.agg(*aggs).first()
+    qv = exact_quantiles(df, cols, [0.25, 0.5, 0.75])
+    rows = [(c, m[f"{c}__count"], m[f"{c}__mean"], m[f"{c}__std"], m[f"{c}__min"], *qv[c], m[f"{c}__max"])
+            for c in cols]
+    return df.sparkSession.createDataFrame(
+        rows, "column_name STRING, count BIGINT, mean DOUBLE, std DOUBLE, min DOUBLE, "
+              "p25 DOUBLE, p50 DOUBLE, p75 DOUBLE, max DOUBLE")
 
 
 def describe_categorical(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -90,7 +90,7 @@ def _ladder_sql(data_splits, aux_splits, k=C.NEG_PER_POS_LADDER):
 def _ladder(spark, sf, data_splits, aux_splits):
     # the sampler reads its input several times (positives, and the pool per
     # key spec): materialise the covering date range once in the shared
-    # checkpoint folder instead of re-deriving posts for every reference
+    # checkpoint folder instead of re-deriving posts for every use
     sp = checkpointed(split_posts(spark, sf, list(data_splits) + list(aux_splits)))
     data = sp.filter(F.col("split").isin(*data_splits)).drop("split")
     aux = [sp.filter(F.col("split").isin(*aux_splits)).drop("split")] if aux_splits else None
