@@ -64,14 +64,14 @@ def host_rule(host: Column, path: Column, rules=HOST_RULES) -> tuple[Column, Col
 
 
 def url_tokens(url: Column) -> Column:
-    """Distinct tokens: h:<host suffix>, p:<path word>, q:<query name>."""
+    """Distinct tokens: h:<host suffix>, l:<first host label>, p:<path word>, q:<query name>."""
     host, path = url_host(url), url_path(url)
     labels = F.split(host, r"\.")
     suffixes = F.transform(labels, lambda x, i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
     plain = F.transform(F.split(F.regexp_replace(path, r"[0-9]+", "#"), r"[^\p{L}\p{N}#]+"), lambda x: F.when(x != "", F.concat(F.lit("p:"), x)))
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
     names = F.transform(F.split(query, "&"), lambda x: F.when(x != "", F.concat(F.lit("q:"), F.split_part(x, F.lit("="), F.lit(1)))))
-    every = F.filter(F.concat(suffixes, plain, names), lambda x: x.isNotNull() & (x != "h:"))
+    every = F.filter(F.concat(suffixes, F.array(F.concat(F.lit("l:"), F.get(labels, F.lit(0)))), plain, names), lambda x: x.isNotNull() & (x != "h:"))
     return F.when(host != "", F.array_sort(F.array_distinct(every))).otherwise(F.array().cast("array<string>"))
 
 

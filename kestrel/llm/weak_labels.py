@@ -1,16 +1,16 @@
 """Operator 8, quality classifier from weak labels.
 
-Six overlapping heuristic labellers vote good, bad or abstain on every document.
-Expectation-maximisation over the vote patterns (at most 3**6 = 729 rows,
-counted over the whole corpus) estimates each labeller's outcome rates in both
-classes without any gold label; the posteriors of a bounded sample of documents
+Eight overlapping heuristic labellers vote good, bad or abstain on every
+document.  Expectation-maximisation over the vote patterns (at most 2**8 = 256
+rows, counted over the whole corpus) estimates each labeller's accuracy without any
+gold label; the posteriors of a bounded sample of documents
 (FIT_LIMIT rows, smallest hashes) train a hashed linear scorer, which scores
 every whole text.  A document is kept when its score is at least THRESHOLD.
 
-Defined cases: null or empty text has no words (the length labeller votes bad,
-the ratio labellers abstain) and is scored by the model's intercept; repeated
-rows are judged row by row; an empty table gives no rows; if all documents vote
-alike there is one class and the posterior is that of the pattern; input
+Defined cases: null or empty text has no words (every labeller abstains) and
+is scored by the model's intercept; repeated
+rows are judged row by row; an empty table gives no rows; if the label
+model sees one class only, the score is the posterior; input
 columns named like the outputs are replaced by them.
 """
 
@@ -30,75 +30,73 @@ FIT_LIMIT = 12_000   # rows of the training sample
 FEATURES = 1 << 15
 THRESHOLD = 0.5
 GOOD, BAD, ABSTAIN = "g", "b", "-"
-N_LABELLERS = 6
-
-
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, BAD).when(good, GOOD).otherwise(ABSTAIN)
+N_LABELLERS = 8
+BALANCE = 0.5          # class prior of the label model
+START_ACCURACY = 0.9   # prior accuracy of a labeller
+PRIOR_SHARE = 0.05     # weight of that prior, as a share of the labeller's votes
 
 
 def votes(text: Column, words: Column) -> Column:
-    """The votes of all labellers as one string of N_LABELLERS characters."""
+    """The votes of all labellers as one string: bad for symbols, shouting,
+    stutter, repeated lines, line ends, word length, few distinct words; good
+    for what reads like prose."""
     t = F.coalesce(text, F.lit(""))
     n = F.size(words)
-    chars = F.greatest(F.length(F.array_join(words, "")), F.lit(1))
-    symbols = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
-    marked = F.size(F.filter(words, lambda w: w.rlike(r"[#*$%&|<>]")))
+    chars = F.length(F.array_join(words, ""))
+    share = lambda test: F.size(F.filter(words, test))
+    marked = share(lambda w: w.rlike(r"[#*$%&|<>]"))
+    loud = share(lambda w: w.endswith("!!") | ((w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 2)))
+    stutter = share(lambda w, i: w == F.get(words, i - 1))
+    kinds = F.size(F.array_distinct(words))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    line_votes = let(lines, lambda x: F.struct(
-        _vote((F.size(x) - F.size(F.array_distinct(x))) * 5 > F.size(x), (n > 0) & (F.size(F.array_distinct(x)) == F.size(x))).alias("dup"),
-        _vote((n > 0) & (F.size(F.filter(x, lambda s: s.rlike(r"[.!?][\x20\x09-\x0D]*$"))) * 3 < F.size(x)),
-              (n > 0) & (F.size(F.filter(x, lambda s: s.rlike(r"[.!?][\x20\x09-\x0D]*$"))) * 2 > F.size(x))).alias("end")))
+    ended = lambda x: F.size(F.filter(x, lambda s: s.rlike(r"[.!?][\x20\x09-\x0D]*$")))
     some = n > 0
-    return F.concat(
-        _vote(some & (symbols * 50 > chars), some & (symbols * 200 <= chars)),
-        _vote(some & (marked * 10 > n), some & (marked * 50 <= n)),
-        _vote(n < 10, n >= 30),
-        _vote(some & ((chars < 3 * n) | (chars > 12 * n)), some & (chars >= 3.5 * n) & (chars <= 10 * n)),
-        let(line_votes, lambda v: F.concat(v["dup"], v["end"])))
+
+    bad = lambda test: F.when(some & test, BAD).otherwise(ABSTAIN)
+    counts = F.struct(marked.alias("m"), loud.alias("l"), stutter.alias("s"), kinds.alias("k"), chars.alias("c"),
+                      let(lines, lambda x: F.struct(F.size(x).alias("n"), F.size(F.array_distinct(x)).alias("kinds"),
+                                                    ended(x).alias("ended"))).alias("x"))
+
+    def cast(v):
+        m, l, s, k, c, x = (v[f] for f in ("m", "l", "s", "k", "c", "x"))
+        prose = ((n >= 20) & (m * 20 <= n) & (l * 20 <= n) & (s * 20 <= n) & (c >= 3.5 * n) & (c <= 10 * n)
+                 & (x["ended"] * 2 > x["n"]) & (x["kinds"] * 10 > x["n"] * 9))
+        return F.concat(
+            bad(m * 10 > n), bad(l * 5 > n), bad(s * 10 > n), bad((x["n"] - x["kinds"]) * 3 > x["n"]),
+            bad((n >= 20) & (x["ended"] * 3 < x["n"])), bad((c < 2 * n) | (c > 14 * n)),
+            bad((n >= 50) & (k * 4 < n)), F.when(prose, GOOD).otherwise(ABSTAIN))
+
+    return let(counts, cast)
 
 
-def fit_label_model(patterns: dict[str, int], rounds: int = 200, tol: float = 1e-9) -> dict:
-    """EM for two classes and conditionally independent labellers.
+def fit_label_model(patterns: dict[str, int], balance: float = BALANCE, rounds: int = 200, tol: float = 1e-9) -> dict:
+    """EM for two classes and labellers that err independently when they vote.
 
-    patterns: votes -> documents.  Returns prior (share good), accuracy (per
-    labeller: share right among its votes) and posterior (votes -> P(good)).
-    Starts from the majority of non-abstaining votes, so class good stays the
-    one the labellers call good.
+    patterns: votes -> documents.  An abstention tells nothing.  balance is the
+    class prior P(good); each accuracy has a Beta prior around START_ACCURACY
+    worth PRIOR_SHARE of its labeller's votes.  Returns accuracy (per labeller:
+    probability that a vote is right) and posterior (votes -> P(good)).
     """
-    if not patterns:
-        return {"prior": 0.5, "accuracy": [0.5] * N_LABELLERS, "posterior": {}}
-    m = len(next(iter(patterns)))
-    total = sum(patterns.values())
-    post = {p: (p.count(GOOD) + 1) / (p.count(GOOD) + p.count(BAD) + 2) for p in patterns}
-    last = -math.inf
+    m = len(next(iter(patterns), "")) or N_LABELLERS
+    accuracy = [START_ACCURACY] * m
+    cast = [sum(c for p, c in patterns.items() if p[k] != ABSTAIN) for k in range(m)]
+    post: dict[str, float] = {}
     for _ in range(rounds):
-        mass = {True: sum(c * post[p] for p, c in patterns.items())}
-        mass[False] = total - mass[True]
-        prior = (mass[True] + 1) / (total + 2)
-        rate = {}
+        for p in patterns:
+            odds = math.log(balance / (1 - balance))
+            for a, v in zip(accuracy, p, strict=True):
+                odds += 0.0 if v == ABSTAIN else math.log(a / (1 - a)) * (1 if v == GOOD else -1)
+            post[p] = 1 / (1 + math.exp(-odds))
+        new = []
         for k in range(m):
-            for cls in (True, False):
-                for v in (GOOD, BAD, ABSTAIN):
-                    s = sum(c * (post[p] if cls else 1 - post[p]) for p, c in patterns.items() if p[k] == v)
-                    rate[k, cls, v] = (s + 0.5) / (mass[cls] + 1.5)
-        like = 0.0
-        for p, c in patterns.items():
-            a = math.log(prior) + sum(math.log(rate[k, True, p[k]]) for k in range(m))
-            b = math.log(1 - prior) + sum(math.log(rate[k, False, p[k]]) for k in range(m))
-            top = max(a, b)
-            norm = top + math.log(math.exp(a - top) + math.exp(b - top))
-            post[p] = math.exp(a - norm)
-            like += c * norm
-        if like - last < tol * total:
+            right = sum(c * (post[p] if p[k] == GOOD else 1 - post[p]) for p, c in patterns.items() if p[k] != ABSTAIN)
+            prior = 1 + PRIOR_SHARE * cast[k]
+            new.append(min((right + prior * START_ACCURACY) / (cast[k] + prior), 1 - 1e-6))
+        moved = max(abs(a - b) for a, b in zip(accuracy, new, strict=True))
+        accuracy = new
+        if moved < tol:
             break
-        last = like
-    accuracy = []
-    for k in range(m):
-        right = prior * rate[k, True, GOOD] + (1 - prior) * rate[k, False, BAD]
-        cast = right + prior * rate[k, True, BAD] + (1 - prior) * rate[k, False, GOOD]
-        accuracy.append(right / cast)
-    return {"prior": prior, "accuracy": accuracy, "posterior": post}
+    return {"accuracy": accuracy, "posterior": post}
 
 
 def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD,
@@ -108,7 +106,7 @@ def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     w, x, raw, prob, pred = private(df, "words", "x", "raw_score", "prob", "pred")
     text = F.col(f"`{text_col}`").cast("string")
     d = df.withColumn(w, word_array(text)).withColumn("votes", votes(text, F.col(w)))
-    # pass 1: vote patterns (729 rows at most) and the sample's ids
+    # pass 1: vote patterns (256 rows at most) and the sample's ids
     patterns = {r["votes"]: r["n"] for r in d.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
     pairs = [F.lit(v) for p, q in model["posterior"].items() for v in (p, float(q))]
