@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +51,25 @@ def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row (a lambda variable), where
     plain reuse would let the optimiser copy the expression into each use."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Size of membership filters sent to Python workers (2 MB), whatever the corpus.
+BITMAP_BITS = 1 << 24
+
+
+def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS) -> bytes:
+    """A bit set at pmod(col, bits) for every row, built by Spark: the driver gets
+    bits / 32768 rows of 4 kB at most."""
+    b = F.pmod(F.col(col), F.lit(bits))
+    rows = (df.select(b.alias("b")).groupBy(F.floor(F.col("b") / 32768).alias("k"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod("b", F.lit(32768)) + 1)).alias("m")).collect())
+    out = bytearray(bits // 8)
+    for k, m in rows:
+        out[k * 4096:(k + 1) * 4096] = m
+    return bytes(out)
+
+
+def in_bitmap(mask: bytes, values: np.ndarray) -> np.ndarray:
+    """Whether each (signed 64-bit) value's bit is set."""
+    at = values.astype(np.int64) % np.int64(len(mask) * 8)
+    return np.frombuffer(mask, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import materialize, private, read
+from .common import bitmap, in_bitmap, materialize, private, read
 
 WINDOW = 10
 MIN_LITERALS = 6   # literal tokens that a window needs (short items: all but 4 of 10, in proportion)
@@ -158,35 +158,17 @@ def _batch(rows, names, types):
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def _bitmap(windows: DataFrame) -> bytes:
-    """BITMAP_BITS bits: which window hashes (mod bits) the benchmark has."""
-    slot = F.pmod("hash", F.lit(BITMAP_BITS))
-    rows = (windows.select(slot.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("k"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("m")).collect())
-    # bucket k >= 1 holds values (k-1)*32768 + 1 .. k*32768; value 0 is in bucket 0 at position 0
-    bits = np.zeros(BITMAP_BITS + 32768, bool)
-    for k, m in rows:
-        on = np.unpackbits(np.frombuffer(bytes(m), np.uint8), bitorder="little")
-        lo = (k - 1) * 32768 + 1
-        if k < 1:
-            bits[0] |= bool(on.any())
-        else:
-            bits[lo:lo + len(on)] |= on.astype(bool)
-    return np.packbits(bits[:BITMAP_BITS]).tobytes()
-
-
 def find_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc, text_hash, item, windows): documents that hold a benchmark item with
     consistent slots; doc is the id as string, text_hash xxhash64 of the text."""
     spark = docs.sparkSession
     items = materialize(benchmark_windows(bench), "bench-windows")
     lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most WINDOW values
-    mask = spark.sparkContext.broadcast(_bitmap(items))  # BITMAP_BITS / 8 bytes
+    mask = spark.sparkContext.broadcast(bitmap(items, "hash", BITMAP_BITS))  # BITMAP_BITS / 8 bytes
 
     def run(batches):
         canon = _Canon()
-        bits = np.unpackbits(np.frombuffer(mask.value, np.uint8)).astype(bool)
-        keep = lambda g: bits[(g.view(np.int64) % np.int64(BITMAP_BITS))]
+        keep = lambda g: in_bitmap(mask.value, g.view(np.int64))
         for b in batches:
             rows = [(b.column(0)[r].as_py(), b.column(1)[r].as_py(), h, p, slots)
                     for r, h, p, slots in _windows(canon, b.column(2), lengths, keep)]

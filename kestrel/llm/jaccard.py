@@ -33,18 +33,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .common import materialize, private, read
+from .common import bitmap, in_bitmap, materialize, private, read
 from .graph import components
 
 SHINGLE = 3
 PERCENT = 90        # link when 100 * intersection >= PERCENT * union
 SPARE = 2
 PIVOT_ROUNDS = 2
-BITMAP_BITS = 1 << 24  # filter for the second reading of the texts (2 MB, whatever the corpus)
 
 
 def size_classes(percent: int, most: int) -> list[int]:
@@ -161,27 +161,16 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -
     """(rid, n, g array<long>) of the classes in wanted (rid, key): a second
     reading of the texts; a fixed-size bitmap of the wanted keys keeps the others
     in the Python worker, the join decides exactly."""
-    spark = df.sparkSession
-    bit = F.pmod(F.xxhash64("key"), F.lit(BITMAP_BITS))
-    maps = (wanted.select(bit.alias("b")).groupBy(F.floor(F.col("b") / 32768).alias("k"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod("b", F.lit(32768)) + 1)).alias("m")).collect())
-    bits = bytearray(BITMAP_BITS // 8)
-    for k, m in maps:
-        bits[k * 4096:(k + 1) * 4096] = m
-    mask = spark.sparkContext.broadcast(bytes(bits))
+    mask = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("m")), "m"))
 
     def run(batches):
-        import xxhash
-        on = mask.value
         for b in batches:
-            keys, sets = [], []
-            for g in _sets(b.column(0), shingle):
-                key = set_key(g)
-                # Spark's xxhash64 of a binary is XXH64 with seed 42, read as signed
-                at = xxhash.xxh64_intdigest(key, 42) % BITMAP_BITS
-                if on[at >> 3] >> (at & 7) & 1:
-                    keys.append(key)
-                    sets.append(g.view(np.int64))
+            sets = list(_sets(b.column(0), shingle))
+            keys = [set_key(g) for g in sets]
+            # Spark's xxhash64 of a binary is XXH64 with seed 42
+            hashes = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).view(np.int64)
+            on = np.flatnonzero(in_bitmap(mask.value, hashes))
+            keys, sets = [keys[k] for k in on], [sets[k].view(np.int64) for k in on]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "g"])
 
     found = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "key binary, g array<long>")

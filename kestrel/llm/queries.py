@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .automata import op9_suffix_automata
 from .chat import SQL_OP2, op2_chat_formatting
 from .decontaminate import op5_decontamination
 from .jaccard import SQL_OP6, op6_jaccard_join
 from .mixing import SQL_OP10, op10_mixing
+from .prefix_free import op7_prefix_free
 from .quality_rules import op4_quality_rules
 from .sharding import op1_sharding
 from .url_filters import op3_url_filters
@@ -13,6 +15,7 @@ from .weak_labels import op8_quality_classifier
 
 QUERIES = {f.__name__: f for f in (
     op1_sharding, op2_chat_formatting, op3_url_filters, op4_quality_rules,
-    op5_decontamination, op6_jaccard_join, op8_quality_classifier, op10_mixing)}
+    op5_decontamination, op6_jaccard_join,
+    op7_prefix_free, op8_quality_classifier, op9_suffix_automata, op10_mixing)}
 
 ORACLE = {"op2_chat_formatting": SQL_OP2, "op6_jaccard_join": SQL_OP6, "op10_mixing": SQL_OP10}
