@@ -127,3 +127,22 @@ def remove_repeated_words(df: DataFrame, text_col: str = "text", id_col: str = "
 def op9_suffix_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = remove_repeated_words(read(spark, sf_dir, "documents"))
     return d.selectExpr("id AS doc_id", "n AS n_words", "n_removed", "kept_sha256", "n_spans")
+
+
+SQL_OP9 = r"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS r,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM w, unnest(range(1, len(w) - 48)) AS t(i)),
+low AS (SELECT h, min(doc_id) AS d FROM win GROUP BY h),
+hit AS (SELECT r, i FROM win JOIN low ON win.h = low.h WHERE low.d < win.doc_id),
+gone AS (SELECT DISTINCT r, i + k AS p FROM hit, unnest(range(0, 50)) AS t(k)),
+word AS (SELECT r, p, w[p] AS word FROM w, unnest(range(1, len(w) + 1)) AS t(p)),
+kept AS (SELECT word.r, string_agg(word, ' ' ORDER BY p) AS kept FROM word WHERE NOT EXISTS
+  (SELECT 1 FROM gone WHERE gone.r = word.r AND gone.p = word.p) GROUP BY word.r),
+spans AS (SELECT r, count(*) AS n, count(*) FILTER (first) AS n_spans
+  FROM (SELECT r, p, coalesce(p - lag(p) OVER (PARTITION BY r ORDER BY p) > 1, true) AS first FROM gone) GROUP BY r)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(spans.n, 0) AS n_removed,
+  sha256(coalesce(kept.kept, '')) AS kept_sha256, coalesce(spans.n_spans, 0) AS n_spans
+FROM w LEFT JOIN kept ON kept.r = w.r LEFT JOIN spans ON spans.r = w.r
+"""

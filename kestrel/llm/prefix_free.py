@@ -53,3 +53,24 @@ def remove_repeated_bytes(df: DataFrame, text_col: str = "text", id_col: str = "
 def op7_prefix_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = remove_repeated_bytes(read(spark, sf_dir, "documents"))
     return d.selectExpr("id AS doc_id", "n AS n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+SQL_OP7 = r"""
+WITH b AS (SELECT doc_id, row_number() OVER () AS r, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT *, octet_length(b) AS n FROM b),
+win AS (SELECT r, i, md5(b[i:i + 199]) AS h FROM n, unnest(range(1, n - 198)) AS t(i)),
+twice AS (SELECT h FROM win GROUP BY h HAVING count(*) >= 2),
+hit AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 200, true) AS first
+  FROM win JOIN twice ON win.h = twice.h),
+island AS (SELECT r, i, sum(CAST(first AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS k FROM hit),
+span AS (SELECT r, k, min(i) AS lo, max(i) + 200 AS hi FROM island GROUP BY r, k),
+gap AS (
+  SELECT r, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS lo, lo AS hi FROM span
+  UNION ALL SELECT n.r, coalesce(s.hi, 1), n.n + 1 FROM n LEFT JOIN (SELECT r, max(hi) AS hi FROM span GROUP BY r) s ON s.r = n.r),
+kept AS (SELECT gap.r, string_agg(CASE WHEN gap.lo < gap.hi THEN hex(n.b[gap.lo:gap.hi - 1]) ELSE '' END, '' ORDER BY gap.lo) AS x
+  FROM gap JOIN n ON n.r = gap.r GROUP BY gap.r),
+s AS (SELECT r, sum(hi - lo) AS removed, count(*) AS n_spans FROM span GROUP BY r)
+SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(s.removed, 0) AS BIGINT) AS n_removed,
+  coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(kept.x)) AS kept_sha256
+FROM n JOIN kept ON kept.r = n.r LEFT JOIN s ON s.r = n.r
+"""
