@@ -3,7 +3,7 @@
 Reference text is every document with a smaller id.  Only text around repeated
 anchors can match (see repeats), so the reference is those phrases, cut into
 shards by anchor; a shard's phrases meet in one task, which builds one suffix
-automaton over them (bounded by a batch of BATCH_SYMBOLS words plus the last
+automaton over them (bounded by BATCH_WORDS words plus the last
 anchor), marks every state with the smallest id it occurs in, and streams the
 shard's documents through it.  Matching statistics give, at each word, the
 longest match; if it reaches 50 words, the state of the last 50 tells whether a
@@ -29,6 +29,7 @@ from .repeats import CAP, Unit, remove_repeats, word_kept, word_symbols
 
 WINDOW = 50
 GRAM = 10
+BATCH_WORDS = 1 << 15  # words of a shard; bounds the automaton
 
 
 class SuffixAutomaton:
@@ -120,7 +121,7 @@ def remove_repeated_words(df: DataFrame, text_col: str = "text", id_col: str = "
                           cap: int = CAP, with_text: bool = False) -> DataFrame:
     """One row per input row: id, key (md5 of the text), n (words), n_removed,
     n_spans, kept_sha256; with_text adds the kept words joined by one space."""
-    unit = Unit(window, min(GRAM, window), word_symbols, word_kept, ordered=True)
+    unit = Unit(window, min(GRAM, window), word_symbols, word_kept, ordered=True, batch=BATCH_WORDS)
     return remove_repeats(df, text_col, id_col, unit, match_statistics, cap, with_text)
 
 

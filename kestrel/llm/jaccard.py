@@ -72,7 +72,7 @@ def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
 def _sets(texts: pa.Array, n: int):
     """Shingle sets of a batch's texts, A-Z lower-cased, in order."""
     buf, off = T.flat(texts)
-    for lo, hi in T.chunks(off, 4 << 20):
+    for lo, hi in T.chunks(off, 1 << 19):
         part, o = T.lower_ascii(buf[off[lo]:off[hi]]), off[lo:hi + 1] - off[lo]
         s, e, first = T.words(part, o)
         h = T.word_hashes(part, s, e)

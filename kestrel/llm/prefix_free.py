@@ -24,7 +24,6 @@ from .repeats import CAP, Unit, byte_kept, byte_symbols, remove_repeats, segment
 
 WINDOW = 200
 GRAM = 24
-BYTES = Unit(WINDOW, GRAM, byte_symbols, byte_kept, ordered=False)
 
 
 def order_suffixes(segments, anchors, ords, needs, unit):
@@ -46,7 +45,7 @@ def remove_repeated_bytes(df: DataFrame, text_col: str = "text", id_col: str = "
                           cap: int = CAP, with_text: bool = False) -> DataFrame:
     """One row per input row: id, key (md5 of the text), n (bytes), n_removed,
     n_spans, kept_sha256; with_text adds what is left (bytes read as UTF-8)."""
-    unit = Unit(window, min(GRAM, window), byte_symbols, byte_kept, ordered=False)
+    unit = Unit(window, min(GRAM, window), byte_symbols, byte_kept, ordered=False, batch=1 << 19)
     return remove_repeats(df, text_col, id_col, unit, order_suffixes, cap, with_text)
 
 

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import bitmap, in_bitmap, materialize
 
+CHUNK = 1 << 19          # bytes of text looked at together
 CAP = 2000               # different phrases of one anchor that may meet in a task
-BATCH_SYMBOLS = 1 << 20  # symbols that a resolver gets at a time (one anchor's phrases stay together)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -48,6 +48,7 @@ class Unit:
     symbols: Callable   # (buf, off) -> (uint64 per symbol, first symbol of each document, context)
     kept: Callable      # (buf, off, context, keep flag per symbol) -> list of kept bytes per document
     ordered: bool       # True: only texts with a smaller id count as elsewhere
+    batch: int          # symbols that the resolver gets at a time (one anchor's phrases stay together)
 
 
 def byte_symbols(buf, off):
@@ -131,7 +132,7 @@ def text_rows(df: DataFrame, text_col: str, id_col: str, unit: Unit) -> DataFram
     def run(batches):
         for batch in batches:
             buf, off = T.flat(batch.column(2))
-            for i, j in T.chunks(off, 1 << 20):
+            for i, j in T.chunks(off, CHUNK):
                 part, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
                 sym, first, context = unit.symbols(part, o)
                 a, b, lo, hi = phrases(sym, first, unit)
@@ -171,13 +172,18 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
     window starts found elsewhere, for the first text of each class."""
     rows = text_rows(df, text_col, id_col, unit)
     ident = F.coalesce("id", F.lit(-(1 << 63)))
-    classes = materialize(rows.groupBy("key").agg(
-        F.min("rid").alias("rid"), F.min(ident).alias("first_id"), F.count("*").alias("copies"),
-        *[F.first(c).alias(c) for c in ("a", "b", "lo", "hi")]), "classes")
-    entries = classes.select("rid", F.col("first_id").alias("ord"), F.explode(F.arrays_zip("a", "b", "lo", "hi")).alias("p"))
+    classes = rows.groupBy("key").agg(F.min("rid").alias("rid"), F.min(ident).alias("first_id"), F.count("*").alias("copies"),
+                                      *[F.first(c).alias(c) for c in ("a", "b", "lo", "hi")])
+    # ord is the id where it decides, and otherwise a column of equal values
+    ord_ = F.col("first_id") if unit.ordered else F.lit(0).cast("long")
+    entries = classes.select("rid", ord_.alias("ord"), F.explode(F.arrays_zip("a", "b", "lo", "hi")).alias("p"))
     entries = entries.select("p.a", "p.b", "rid", "ord", "p.lo", "p.hi")
-    count = entries.groupBy("a").agg(F.count("*").alias("n"), F.min("ord").alias("lowest"), F.max("ord").alias("highest"))
-    again = count.where("lowest != highest" if unit.ordered else "n >= 2").select("a")
+    if unit.ordered:
+        again = entries.groupBy("a").agg(F.min("ord").alias("lowest"), F.max("ord").alias("highest")).where("lowest != highest")
+    else:
+        again = entries.groupBy("a").agg(F.count("*").alias("n")).where("n >= 2")
+    again = again.select("a")
+    classes = materialize(classes.select("key", "rid", "first_id", "copies"), "classes")
     hits = materialize(entries.join(again, "a"), "hits")
 
     found = hits.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("ord", "rid", "lo", "hi")).alias("who"))
@@ -224,7 +230,7 @@ def _cut(texts: DataFrame, unit: Unit) -> DataFrame:
             buf, off = T.flat(batch.column(2))
             rid, ord_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             wanted = batch.column(3).to_pylist()
-            for i, j in T.chunks(off, 1 << 20):
+            for i, j in T.chunks(off, CHUNK):
                 sym, first, _ = unit.symbols(buf[off[i]:off[j]], off[i:j + 1] - off[i])
                 out = [[], [], [], [], [], [], []]
                 for r in range(i, j):
@@ -293,7 +299,7 @@ def _batched(resolve: Callable, unit: Unit):
         for b in batches:
             cols = [b.column(i).to_pylist() for i in (0, 1, 2, 3, 5, 6)]
             for a, rid, ord_, lo, needs, raw in zip(*cols, strict=True):
-                if size >= BATCH_SYMBOLS and group[-1][0] != a:
+                if size >= unit.batch and group[-1][0] != a:
                     yield settle(group)
                     group, size = [], 0
                 seg = _symbols(raw, unit)
@@ -315,7 +321,7 @@ def remove_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolv
         for batch in batches:
             buf, off = T.flat(batch.column(1))
             found = batch.column(2)
-            for i, j in T.chunks(off, 1 << 20):
+            for i, j in T.chunks(off, CHUNK):
                 part, o = buf[off[i]:off[j]], off[i:j + 1] - off[i]
                 sym, first, context = unit.symbols(part, o)
                 delta = np.zeros(len(sym) + 1, np.int32)

@@ -159,7 +159,8 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 16, text_col: str = "text", id
     """
     spark = df.sparkSession
     df = df.drop(*[c for c in ("size", "shard", "slot") if c not in (text_col, id_col)])
-    h, i, size, cell, rest = private(df, "h", "i", "size", "cell", "rest")
+    h, i, size, cell, rest, prefix, base, cuts, at_cell, first = private(
+        df, "h", "i", "size", "cell", "rest", "prefix", "base", "cuts", "at_cell", "first")
     text = F.col(f"`{text_col}`").cast("string")
     keyed = df.withColumns({h: _text_key(text), i: _id_key(df, id_col),
                             size: F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1})
@@ -170,24 +171,24 @@ def shard_by_bytes(df: DataFrame, n_shards: int = 16, text_col: str = "text", id
     n = n_shards * cells_per_shard
     targets = [total * j / n for j in range(1, n)]
     splitters = _refine(keys, targets, tolerance * total / n_shards) if total else []
-    lookup = F.broadcast(_lookup(spark, splitters))
-    at = lambda d, hc, ic: (
-        d.join(lookup, F.shiftright(hc, KEY_BITS - FIRST_BITS) == F.col("_p"))
-        .withColumn(cell, F.col("_base") + F.size(F.filter("_cuts", lambda s: (s["h"] < F.col(hc)) | ((s["h"] == F.col(hc)) & (s["i"] <= F.col(ic))))))
-        .drop("_p", "_base", "_cuts"))
-    counts = at(keys, "h", "i").groupBy(cell).count()
+    lookup = F.broadcast(_lookup(spark, splitters).toDF(prefix, base, cuts))
+    place = lambda d, hc, ic: (
+        d.join(lookup, F.shiftright(hc, KEY_BITS - FIRST_BITS) == F.col(prefix))
+        .withColumn(cell, F.col(base) + F.size(F.filter(cuts, lambda s: (s["h"] < F.col(hc)) | ((s["h"] == F.col(hc)) & (s["i"] <= F.col(ic))))))
+        .drop(prefix, base, cuts))
+    counts = place(keys, "h", "i").groupBy(cell).count()
     shard = F.floor(F.col(cell) / F.lit(cells_per_shard)).cast("int")
     # one row per cell: at most n rows
     before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("shard", shard).select(
-        F.col(cell).alias("_c"), "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
+        F.col(cell).alias(at_cell), "shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias(first))
     # ids differ from their key by the last bit; equal keys are told apart by the other columns
     hashable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    order = Window.partitionBy(cell).orderBy(h, i, id_col, F.xxhash64(*[F.col(f"`{c}`") for c in hashable if c != text_col]))
-    out = at(keyed, h, i).withColumn(rest, F.row_number().over(order))
-    out = out.join(F.broadcast(offsets), F.col(cell) == F.col("_c"))
+    order = Window.partitionBy(cell).orderBy(h, i, F.col(f"`{id_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in hashable if c != text_col]))
+    out = place(keyed, h, i).withColumn(rest, F.row_number().over(order))
+    out = out.join(F.broadcast(offsets), F.col(cell) == F.col(at_cell))
     keep = [F.col(f"`{c}`") for c in df.columns]
-    return out.select(*keep, F.col(size).alias("size"), "shard", (F.col("_first") + F.col(rest) - 1).cast("long").alias("slot"))
+    return out.select(*keep, F.col(size).alias("size"), "shard", (F.col(first) + F.col(rest) - 1).cast("long").alias("slot"))
 
 
 def _lookup(spark: SparkSession, splitters) -> DataFrame:
