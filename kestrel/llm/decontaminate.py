@@ -60,39 +60,57 @@ def _features(word: str) -> tuple[str, int]:
     return core, flags
 
 
+#: Bytes after which a word needs a closer look: upper case, digits, punctuation, non-ASCII.
+_CLOSER = np.array([not (97 <= b <= 122) for b in range(256)])
+
+
+def _hash_texts(texts: list[bytes]) -> np.ndarray:
+    end = np.cumsum([len(t) for t in texts])
+    return T.word_hashes(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, end[:-1]], end)
+
+
+_UNIT_HASHES = np.sort(_hash_texts([u.encode() for u in UNITS]))
+
+
 class _Canon:
-    """Template tokens of whole batches; remembers words seen (bounded)."""
+    """Template tokens of whole batches.  Plain lower-case words are their own
+    token; other words are looked at once each and remembered (bounded)."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 300_000):
         self.known: dict[int, tuple[int, int]] = {}
         self.limit = limit
 
-    def tokens(self, buf, off):
-        """(token hash, literal flag, slot flag, word spans, first word of each document)."""
-        s, e, first = T.words(buf, off)
-        h = T.word_hashes(buf, s, e)
-        kinds, at, code = np.unique(h, return_index=True, return_inverse=True)
-        raw = buf.tobytes()
-        canon = np.empty(len(kinds), np.uint64)
-        flags = np.empty(len(kinds), np.uint8)
+    def _look(self, raw, keys, s, e):
+        """(token hash, flags) of distinct words that need a closer look."""
         if len(self.known) > self.limit:
             self.known.clear()
-        for k, (key, i) in enumerate(zip(kinds.tolist(), at.tolist(), strict=True)):
-            got = self.known.get(key)
-            if got is None:
-                core, f = _features(raw[s[i]:e[i]].decode("utf-8", "replace"))
-                low = np.frombuffer(core.lower().encode(), np.uint8)
-                got = int(T.word_hashes(low, np.array([0]), np.array([len(low)]))[0]), f
-                self.known[key] = got
-            canon[k], flags[k] = got
-        tok, f = canon[code], flags[code]
+        new = [k for k, key in enumerate(keys) if key not in self.known]
+        if new:
+            cores, flags = zip(*(_features(raw[s[k]:e[k]].decode("utf-8", "replace")) for k in new), strict=True)
+            for k, h, f in zip(new, _hash_texts([c.lower().encode() for c in cores]).tolist(), flags, strict=True):
+                self.known[keys[k]] = h, f
+        got = [self.known[key] for key in keys]
+        return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.uint8)
+
+    def tokens(self, buf, off):
+        """(token hash, literal flag, word spans, first word of each document)."""
+        s, e, first = T.words(buf, off)
+        tok = T.word_hashes(buf, s, e)
         n = len(tok)
+        f = np.where(np.isin(tok, _UNIT_HASHES), 2, 0).astype(np.uint8)
+        odd = np.concatenate(([0], np.cumsum(_CLOSER[buf], dtype=np.int32)))
+        odd = np.flatnonzero(odd[e] > odd[s])
+        if len(odd):
+            keys, at, code = np.unique(tok[odd], return_index=True, return_inverse=True)
+            at = odd[at]
+            canon, flags = self._look(buf.tobytes(), keys.tolist(), s[at].tolist(), e[at].tolist())
+            tok[odd], f[odd] = canon[code], flags[code]
         prev = np.zeros(n, np.uint8)
         prev[1:] = f[:-1]
         start = np.zeros(n, bool)
         start[first[:-1][first[:-1] < n]] = True
         # a line break before a word starts a sentence
-        breaks = np.cumsum(np.r_[0, buf == 10])
+        breaks = np.concatenate(([0], np.cumsum(buf == 10, dtype=np.int32)))
         after_break = np.zeros(n, bool)
         after_break[1:] = breaks[s[1:]] > breaks[e[:-1]]
         prev[start] = 0
@@ -113,7 +131,7 @@ def _literals_needed(n: int) -> int:
 def _windows(canon: _Canon, texts: pa.Array, lengths, keep):
     """Per window: (row, hash, pos, slots); keep(hashes) filters before slots are read."""
     buf, off = T.flat(texts)
-    for lo, hi in T.chunks(off, 16 << 20):
+    for lo, hi in T.chunks(off, 4 << 20):
         part, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         tok, lit, (s, e), first = canon.tokens(part, o)
         slot = ~lit

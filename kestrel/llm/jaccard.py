@@ -5,22 +5,25 @@ collapsed to one class first.  The rest goes in three steps.
 
 1. Index.  The 64-bit hash range is cut into m positions; a class files, for
    each position, the hash of the part of its set that falls there.  If two sets
-   are similar enough, at most H elements differ, so with m = H + 1 + SPARE
-   positions at least one non-empty part is the same in both (sets with too many
-   empty parts file those too).  m depends on the size class; classes overlap, so
-   that any two sets whose sizes allow a link share one.  Lists with one member
-   are skipped, and so are blocks of a list whose sizes exclude a link.
-2. Answers from similar sets.  In each list a pivot is compared with the others
-   on whole sets; what a member misses of its pivot and adds to it is kept.  The
-   overlap of two members of one pivot p follows from those differences alone:
-   |x & y| = |p| - |Dx| - |Dy| + |Dx & Dy| + |Ax & Ay|; often its bounds decide.
-3. Skipping.  Links join components after each round; lists inside one component
-   are skipped for good.  After PIVOT_ROUNDS rounds every remaining pair of
-   different components in one list is verified, so no link between components
-   is lost, and no pair inside a component is made.
-
-A shared passage fills no position of a longer document, so very common words,
-lines or passages make no long lists; only near copies do.
+   are similar enough, at most H elements differ, so at least m - H positions hold
+   the same part in both.  Parts of fewer than MIN_PART elements are not filed,
+   unless a set has m - H or more of them.  m depends on the size class; classes
+   overlap, so that any two sets whose sizes allow a link share one.  Lists with
+   one member are skipped.  Classes that share a list, directly or through
+   others, form a cluster: no link leaves it.
+2. Answers from a similar set.  The smallest class of a cluster is its pivot p;
+   every member x is compared with p once, on whole sets, and kept as its
+   difference d(x) = x ^ p.  From then on whole sets are not needed:
+   |x ^ y| = |d(x) ^ d(y)|, so x and y link when |d(x)| + |d(y)| - 2 |d(x) & d(y)|
+   is at most H(x, y).  All members within H of the pivot are one component.
+3. Skipping.  A linked pair in different components shares elements of its
+   differences (if d(x) and d(y) were disjoint, one of them would be p itself).  Each difference files only its H + 1 rarest elements (rarest in
+   the cluster first); later positions of the list cannot decide and are skipped,
+   and so are elements that only one member has.  What meets there is verified on
+   the differences.  Pairs inside one component are never made.
+
+In a large group of near copies the shared text cancels out of the differences,
+so the group is handled by its edits alone.
 
 Defined cases: empty or null texts have no shingles and are linked with nothing
 (component is the row's own id); texts of fewer words than a shingle are one
@@ -43,8 +46,7 @@ from .graph import components
 
 SHINGLE = 3
 PERCENT = 90        # link when 100 * intersection >= PERCENT * union
-SPARE = 2
-PIVOT_ROUNDS = 2
+MIN_PART = 3        # smaller parts say little and are filed only where they must be
 
 
 def size_classes(percent: int, most: int) -> list[int]:
@@ -91,8 +93,8 @@ def set_key(g: np.ndarray) -> bytes:
 class _Signer:
     """Part signatures of sets, by size class."""
 
-    def __init__(self, percent: int, spare: int = SPARE):
-        self.percent, self.spare = percent, spare
+    def __init__(self, percent: int):
+        self.percent = percent
         self.bounds = size_classes(percent, 1000)
         self.cuts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -100,7 +102,7 @@ class _Signer:
         """(differences allowed, cut points, one salt per position) of size classes f and f + 1."""
         if f not in self.cuts:
             allowed = max_difference(2 * (self.bounds[f + 2] - 1), self.percent)
-            m = allowed + 1 + (self.spare if allowed else 0)
+            m = allowed + 1 + allowed // 8
             cuts = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
             self.cuts[f] = allowed, cuts, T.mix(np.arange(m, dtype=np.uint64) + (np.uint64(f) << np.uint64(32)))
         return self.cuts[f]
@@ -124,9 +126,9 @@ class _Signer:
                     continue  # only equal sets link: one class already
                 at = np.concatenate(([0], np.searchsorted(g, cuts), [n]))
                 part = total[at[1:]] - total[at[:-1]]
-                full = at[1:] > at[:-1]
+                full = at[1:] - at[:-1] >= MIN_PART
                 sig = T.mix(part ^ salt)
-                # with at least (positions - allowed) empty parts, only those may be the same
+                # with at least (positions - allowed) small parts, only those may be the same
                 out.append(sig if np.count_nonzero(~full) >= len(salt) - allowed else sig[full])
         return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
@@ -179,122 +181,68 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -
     return materialize(wanted.join(found, "key").select("rid", F.size("g").cast("long").alias("n"), "g"), "whole-sets")
 
 
-def _linked(overlap, n1, n2, percent):
-    return 100 * overlap >= percent * (n1 + n2 - overlap)
+def _allowed(n1, n2, percent):
+    """Largest symmetric difference of two linked sets of these sizes (long columns)."""
+    return F.floor((n1 + n2) * (100 - percent) / F.lit(100 + percent))
 
 
 def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", shingle: int = SHINGLE,
-                       percent: int = PERCENT, pivot_rounds: int = PIVOT_ROUNDS) -> DataFrame:
+                       percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, th, n, component (smallest id), keeper (true for
     one row (id, th) of each component)."""
     rows = _row_signatures(df, text_col, id_col, shingle, percent)
-    classes = materialize(rows.where("n > 0").groupBy("key").agg(
-        F.min("rid").alias("rid"), F.min(F.struct("id", "th")).alias("low"), F.min("id").alias("min_id"),
-        F.first("n").alias("n"), F.first("sigs").alias("sigs")), "classes")
-    entries = classes.select(F.explode("sigs").alias("sig"), "rid", "n")
+    classes = rows.where("n > 0").groupBy("key").agg(
+        F.min("rid").alias("rid"), F.min(F.struct("id", "th")).alias("low"), F.min("id").alias("min_id"), F.first("sigs").alias("sigs"))
+    entries = classes.select(F.explode("sigs").alias("sig"), "rid")
     of_list = Window.partitionBy("sig")
-    lists = materialize(entries.withColumn("lo", F.min("rid").over(of_list)).withColumn("hi", F.max("rid").over(of_list))
-                        .where("lo != hi").select("sig", "rid", "n"), "lists")
-    comp = _resolve(df, classes, lists, text_col, shingle, percent, pivot_rounds)
-    named = classes.select("key", "rid", "low", "min_id").join(comp, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
+    lists = entries.withColumn("lo", F.min("rid").over(of_list)).withColumn("hi", F.max("rid").over(of_list))
+    shared = materialize(lists.where("rid != lo").select("rid", "lo").distinct(), "shared")
+    classes = materialize(classes.drop("sigs"), "classes")
+    comp = _resolve(df, classes, shared, text_col, shingle, percent)
+    named = classes.join(comp, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
     best = named.groupBy("c").agg(F.min("low").alias("first_row"), F.min("min_id").alias("component"))
     named = named.select("key", "c").join(best, "c").select("key", "component", "first_row")
-    out = rows.select("id", "th", "n", "key", "rid").join(named, "key", "left")
+    out = rows.select("id", "th", "n", "key").join(named, "key", "left")
     mine = F.struct("id", "th").eqNullSafe(F.col("first_row"))
     return out.select("id", "th", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"),
                       F.when(F.col("n") > 0, mine).otherwise(True).alias("keeper"))
 
 
-def _resolve(df, classes, lists, text_col, shingle, percent, pivot_rounds) -> DataFrame:
-    """(rid, c): the component of every class in a list; c is its smallest rid."""
-    members = materialize(lists.select("rid").distinct(), "members")
-    comp = members.withColumn("c", F.col("rid"))
-    if members.isEmpty():
-        return comp
-    sets = _whole_sets(df, members.join(classes.select("rid", "key"), "rid"), text_col, shingle)
-    deltas = None
-    for round_ in range(pivot_rounds + 1):
-        live = lists.join(comp, "rid")
-        of_list = Window.partitionBy("sig")
-        live = materialize(live.withColumn("lo", F.min("c").over(of_list)).withColumn("hi", F.max("c").over(of_list))
-                           .where("lo != hi").drop("lo", "hi"), "live")
-        if live.isEmpty():
-            break
-        if round_ < pivot_rounds:
-            pairs = _pivot_pairs(live, round_, percent)
-        else:
-            pairs = _cross_pairs(live, percent)
-        pairs = materialize(pairs, "pairs")
-        if deltas is None:
-            checked = materialize(_compare(pairs, sets), "pivots")
-            deltas = checked.select("x", F.col("y").alias("p"), F.col("np"), "nx", "missing", "added")
-            own = checked.select(F.col("y").alias("x")).distinct().join(sets.select(F.col("rid").alias("x"), F.col("n").alias("np")), "x")
-            # a pivot differs from itself by nothing
-            none = F.array().cast("array<long>")
-            deltas = deltas.union(own.select("x", F.col("x").alias("p"), "np", F.col("np").alias("nx"), none, none))
-            deltas = materialize(deltas, "deltas")
-            links = checked.where(_linked(F.col("np") - F.size("missing"), F.col("nx"), F.col("np"), percent)).select("x", "y")
-        else:
-            links = _derive(pairs, sets, deltas, percent)
-        links = links.join(comp.select(F.col("rid").alias("x"), F.col("c").alias("cx")), "x").join(
-            comp.select(F.col("rid").alias("y"), F.col("c").alias("cy")), "y")
-        merged = components(links.select(F.col("cx").alias("a"), F.col("cy").alias("b")))
-        comp = materialize(comp.join(merged, comp.c == merged.node, "left").select("rid", F.coalesce("component", "c").alias("c")), "comp")
-    return comp
-
-
-def _sizes_fit(a, b, percent):
-    return (100 * a >= percent * b) & (100 * b >= percent * a)
-
-
-def _pivot_pairs(live: DataFrame, round_: int, percent: int) -> DataFrame:
-    """(x, y): each class with the pivot (of another component) it shares most lists with."""
-    rank = F.struct((F.col("rid") if round_ == 0 else F.xxhash64(F.lit(round_), "rid")).alias("r"), "rid", "n", "c")
-    p = live.withColumn("p", F.min(rank).over(Window.partitionBy("sig")))
-    p = p.where((F.col("c") != F.col("p.c")) & _sizes_fit(F.col("n"), F.col("p.n"), percent))
-    shared = p.groupBy(F.col("rid").alias("x"), F.col("p.rid").alias("y")).agg(F.count("*").alias("k"))
-    return shared.groupBy("x").agg(F.max_by("y", F.struct("k", "y")).alias("y"))
-
-
-def _cross_pairs(live: DataFrame, percent: int) -> DataFrame:
-    """(x, y): every pair of one list in different components whose sizes allow a link."""
-    other = live.select("sig", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"))
-    both = live.join(other, "sig").where((F.col("rid") < F.col("y")) & (F.col("c") != F.col("cy"))
-                                         & _sizes_fit(F.col("n"), F.col("ny"), percent))
-    return both.select(F.col("rid").alias("x"), "y").distinct()
-
-
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Whole sets of (x, y): sizes and x's differences from y."""
-    a = sets.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("g").alias("gx"))
-    b = sets.select(F.col("rid").alias("y"), F.col("n").alias("np"), F.col("g").alias("gp"))
+def _resolve(df, classes, shared, text_col, shingle, percent) -> DataFrame:
+    """(rid, c): the component of every class that shares a list (c: its smallest
+    rid among those linked)."""
+    clusters = materialize(components(shared.select(F.col("rid").alias("a"), F.col("lo").alias("b"))).select(
+        F.col("node").alias("rid"), F.col("component").alias("p")), "clusters")
+    sets = _whole_sets(df, clusters.join(classes.select("rid", "key"), "rid"), text_col, shingle)
+    members = _differences(clusters, sets)
+    # allowed: for any partner, which has n * 100 / percent elements at most
+    members = materialize(members.withColumn("allowed", _allowed(F.col("n"), F.floor(F.col("n") * 100 / percent), percent))
+                          .withColumn("k", F.size("d")).withColumn("c", F.when(F.col("k") <= _allowed(F.col("n"), F.col("np"), percent), F.col("p"))
+                                                                    .otherwise(F.col("rid"))), "differences")
+    # the rarest allowed + 1 elements of each difference, without those of one member only
+    el = members.select("p", "rid", "allowed", F.explode("d").alias("e"))
+    freq = el.groupBy("p", "e").agg(F.count("*").alias("m"))
+    el = el.join(freq, ["p", "e"]).withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("m", "e")))
+    el = el.where((F.col("pos") <= F.col("allowed") + 1) & (F.col("m") >= 2)).select("p", "rid", "e")
+    name = members.select("rid", "c")
+    side = lambda v: el.join(name, "rid").select("p", "e", F.col("rid").alias(v), F.col("c").alias(f"c{v}"))
+    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select("x", "y")
+    pairs = materialize(pairs.distinct(), "pairs")
+    a = members.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
+    b = members.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"))
     met = pairs.join(a, "x").join(b, "y")
-    return met.select("x", "y", "nx", "np", F.array_except("gp", "gx").alias("missing"), F.array_except("gx", "gp").alias("added"))
-
-
-def _derive(pairs: DataFrame, sets: DataFrame, deltas: DataFrame, percent: int) -> DataFrame:
-    """Linked pairs (x, y): from the differences to a common pivot where there is
-    one (bounds first, then the differences themselves), else from whole sets."""
-    side = lambda v: deltas.select(
-        F.col("x").alias(v), F.col("p").alias(f"p{v}"), F.col("np").alias(f"np{v}"), F.col("nx").alias(f"n{v}"),
-        F.size("missing").alias(f"d{v}"), F.size("added").alias(f"a{v}"))
-    met = pairs.join(side("x"), "x", "left").join(side("y"), "y", "left")
-    same = F.coalesce(F.col("px") == F.col("py"), F.lit(False))
-    least = F.col("npx") - F.col("dx") - F.col("dy")
-    most = F.col("npx") - F.greatest("dx", "dy") + F.least("ax", "ay")
-    sure = same & _linked(least, F.col("nx"), F.col("ny"), percent)
-    never = same & ~_linked(F.least(most, F.col("nx"), F.col("ny")), F.col("nx"), F.col("ny"), percent)
-    met = materialize(met.withColumn("same", same).withColumn("sure", sure).withColumn("never", never)
-                      .where(~F.col("never")).select("x", "y", "px", "same", "sure"), "bounded")
-    open_ = met.where("not sure")
-    dx = deltas.select("x", F.col("p").alias("px"), F.col("np"), F.col("nx"), F.col("missing").alias("mx"), F.col("added").alias("ax"))
-    dy = deltas.select(F.col("x").alias("y"), F.col("p").alias("px"), F.col("nx").alias("ny"), F.col("missing").alias("my"), F.col("added").alias("ay"))
-    near = open_.where("same").select("x", "y", "px").join(dx, ["x", "px"]).join(dy, ["y", "px"])
-    overlap = (F.col("np") - F.size("mx") - F.size("my") + F.size(F.array_intersect("mx", "my")) + F.size(F.array_intersect("ax", "ay")))
-    near = near.where(_linked(overlap, F.col("nx"), F.col("ny"), percent)).select("x", "y")
-    far = _compare(open_.where("not same").select("x", "y"), sets)
-    far = far.where(_linked(F.col("np") - F.size("missing"), F.col("nx"), F.col("np"), percent)).select("x", "y")
-    return met.where("sure").select("x", "y").union(near).union(far)
+    apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
+    links = met.where(apart <= _allowed(F.col("nx"), F.col("ny"), percent)).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
+    merged = components(links)
+    return name.join(merged, name.c == merged.node, "left").select("rid", F.coalesce("component", "c").alias("c"))
+
+
+def _differences(clusters: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rid, p, n, np, d): sizes of member and pivot, and their symmetric difference."""
+    p = sets.select(F.col("rid").alias("p"), F.col("n").alias("np"), F.col("g").alias("gp"))
+    met = clusters.join(sets, "rid").join(p, "p")
+    d = F.concat(F.array_except("gp", "g"), F.array_except("g", "gp"))
+    return met.select("rid", "p", "n", "np", d.alias("d"))
 
 
 def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", **kw) -> DataFrame:

@@ -88,12 +88,12 @@ def log_ratios(df: DataFrame, trusted: DataFrame, text_col: str, id_col: str, bi
     corpus, so an unseen cell leans to 0 and the log stays finite.  The driver
     gets one (cell, raw, good) row per cell: bounded by `bins`.
     """
-    tid, flag, w, ident = private(df, "tid", "flag", "w", "ident")
+    tid, flag, g, ident = private(df, "tid", "flag", "g", "ident")
     ids = F.broadcast(trusted.select(F.col("doc_id").alias(tid), F.lit(1).alias(flag)))
-    src = df.select(F.col(f"`{id_col}`").alias(ident), word_hashes(word_array(F.col(f"`{text_col}`").cast("string"))).alias(w))
+    src = df.select(F.col(f"`{id_col}`").alias(ident), let(word_hashes(word_array(F.col(f"`{text_col}`").cast("string"))), lambda h: gram_bins(h, bins)).alias(g))
     src = src.join(ids, F.col(ident) == F.col(tid), "left")
-    grams = src.select(F.coalesce(F.col(flag), F.lit(0)).alias("t"), F.explode(gram_bins(F.col(w), bins)).alias("b"))
-    rows = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
+    grams = src.select(F.coalesce(F.col(flag), F.lit(0)).alias("t"), F.explode_outer(g).alias("b"))
+    rows = grams.where("b is not null").groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("good")).collect()
     raw, good = [0] * bins, [0] * bins
     for b, r, g in rows:
         raw[b], good[b] = r, g
@@ -122,13 +122,18 @@ def judge_quality(df: DataFrame, labels: DataFrame, text_col: str = "text", id_c
     """df with the base counts, base_failed, score and kept."""
     new = [*BASE, "base_failed", "score", "kept"]
     df = df.drop(*[c for c in new if c not in (text_col, id_col)])
-    w, h = private(df, "words", "hashes")
     table = _literal(log_ratios(df, trusted_ids(labels), text_col, id_col, bins))
     text = F.col(f"`{text_col}`").cast("string")
-    d = df.withColumn(w, word_array(text)).withColumn(h, word_hashes(F.col(w)))
-    total = F.aggregate(gram_bins(F.col(h), bins), F.lit(0.0), lambda a, b: a + F.get(table, b))
-    grams = F.greatest(2 * F.size(w) - 1, F.lit(0))
-    d = d.withColumns(base_features(text, F.col(w), F.col(h)) | {"score": F.when(grams > 0, total / grams).otherwise(0.0)}).drop(w, h)
+
+    def features(words, hashes):
+        total = F.aggregate(gram_bins(hashes, bins), F.lit(0.0), lambda a, b: a + F.get(table, b))
+        grams = F.greatest(2 * F.size(words) - 1, F.lit(0))
+        score = F.when(grams > 0, total / grams).otherwise(0.0)
+        return F.struct(*[c.alias(n) for n, c in base_features(text, words, hashes).items()], score.alias("score"))
+
+    each = let(word_array(text), lambda w: let(word_hashes(w), lambda h: features(w, h)))
+    # a one-row generator: filters on its columns stay above it, so the texts are split and hashed once
+    d = df.select("*", F.inline(F.array(each)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PCT * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 

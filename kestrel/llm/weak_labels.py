@@ -105,7 +105,11 @@ def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     df = df.drop(*[c for c in ("votes", "posterior", "score", "kept") if c not in (text_col, id_col)])
     w, x, raw, prob, pred = private(df, "words", "x", "raw_score", "prob", "pred")
     text = F.col(f"`{text_col}`").cast("string")
-    d = df.withColumn(w, word_array(text)).withColumn("votes", votes(text, F.col(w)))
+    def read_text(t):
+        """(words, votes) of a text, as a one-row generator: evaluated once, whatever filters follow."""
+        return F.inline(F.array(let(word_array(t), lambda v: F.struct(v.alias(w), votes(t, v).alias("votes")))))
+
+    d = df.select("*", read_text(text))
     # pass 1: vote patterns (256 rows at most) and the sample's ids
     patterns = {r["votes"]: r["n"] for r in d.groupBy("votes").agg(F.count("*").alias("n")).collect()}
     model = fit_label_model(patterns)
@@ -114,10 +118,9 @@ def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     d = d.withColumn("posterior", posterior)
     ident = F.concat_ws("|", F.lit(seed), F.col(f"`{id_col}`").cast("string"))
     sample = df.select(F.xxhash64(ident).alias("h"), text.alias("t")).orderBy("h", F.xxhash64("t")).limit(fit_limit)
-    ws = word_array(F.col("t"))
-    sample = sample.select(ws.alias("w"), votes(F.col("t"), ws).alias("votes")).withColumn("posterior", posterior)
-    sample = materialize(sample.select("w", "posterior").repartition(16), "weak-sample")
-    hashing = HashingTF(inputCol="w", outputCol="x", numFeatures=FEATURES, binary=True)
+    sample = sample.repartition(16).select(read_text(F.col("t"))).withColumn("posterior", posterior)
+    sample = materialize(sample.select(w, "posterior"), "weak-sample")
+    hashing = HashingTF(inputCol=w, outputCol="x", numFeatures=FEATURES, binary=True)
     both = hashing.transform(sample).select("x", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("y"))

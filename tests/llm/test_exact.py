@@ -49,9 +49,8 @@ def test_components(spark):
 
 def test_jaccard_matches_all_pairs(spark, docs):
     df, rows = docs
-    for rounds in (0, 2):
-        got = jaccard.jaccard_components(df, pivot_rounds=rounds).select("id", "n", "component").collect()
-        assert X.by_id(got) == X.by_id(X.jaccard(rows))
+    got = jaccard.jaccard_components(df).select("id", "n", "component").collect()
+    assert X.by_id(got) == X.by_id(X.jaccard(rows))
 
 
 def test_jaccard_near_threshold(spark):
@@ -66,9 +65,8 @@ def test_jaccard_near_threshold(spark):
         for _ in range(rng.randrange(0, 1 + n // 30)):
             w[rng.randrange(n)] = f"v{rng.randrange(4)}"
         rows.append((k, " ".join(w), "s"))
-    for rounds in (0, 1, 2):
-        got = jaccard.jaccard_components(X.frame(spark, rows), pivot_rounds=rounds).select("id", "n", "component").collect()
-        assert X.by_id(got) == X.by_id(X.jaccard(rows))
+    got = jaccard.jaccard_components(X.frame(spark, rows)).select("id", "n", "component").collect()
+    assert X.by_id(got) == X.by_id(X.jaccard(rows))
 
 
 def test_jaccard_keeps_one_of_each_group(spark, docs):
