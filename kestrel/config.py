@@ -57,6 +57,12 @@ TOP_N = 10
 TOP_FRACTION = 0.01
 SOURCE_MAX_LEN = 40
 
+# Parameter grids of the study, in Spark's parameter names.
+GBT_GRID = {"maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "maxIter": [100, 200, 300],
+            "subsamplingRate": [0.8, 0.9, 1.0], "featureSubsetStrategy": ["0.3", "0.5", "0.7"]}
+FOREST_GRID = {"maxDepth": [10, 20, 30], "numTrees": [50, 80, 100, 150, 200]}
+LOGISTIC_CS = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
+
 # Model feature lists.
 POST_FEATURES = ["month", "ind_code1_index", "ind_code2_index", "sentiment", "topic"]
 AUTHOR_FEATURES = ["robo_site", "robo_media", "robo_sma",

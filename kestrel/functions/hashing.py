@@ -1,7 +1,7 @@
 """Deterministic hashing shared by Spark and the SQL oracle.
 
-``hash_int(parts)`` is the first 8 hex digits of ``md5`` of the parts joined
-with ``'|'``, read as an unsigned 32-bit integer.  Unlike Spark's ``hash`` or
+``hash_int(parts)`` is the first 15 hex digits of ``md5`` of the parts joined
+with ``'|'``, read as an unsigned 60-bit integer.  Unlike Spark's ``hash`` or
 ``rand`` it has the same value in any SQL engine that offers ``md5``, does not
 depend on partitioning, and survives task retries unchanged.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TWO_32 = 4294967296.0
+TWO_60 = float(1 << 60)
 
 
 def hash_str(*parts) -> Column:
@@ -20,15 +20,5 @@ def hash_str(*parts) -> Column:
 
 
 def hash_int(*parts) -> Column:
-    """Unsigned 32-bit integer from md5 of ``'|'``-joined parts (BIGINT)."""
-    return F.conv(F.substring(F.md5(hash_str(*parts)), 1, 8), 16, 10).cast("bigint")
-
-
-def hash_unit(*parts) -> Column:
-    """Uniform value in [0, 1) from :func:`hash_int`."""
-    return hash_int(*parts) / F.lit(TWO_32)
-
-
-def sql_hash_int(expr: str) -> str:
-    """The same hash as SQL text (DuckDB and Spark SQL) for a string expression."""
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+    """Unsigned 60-bit integer from md5 of ``'|'``-joined parts (BIGINT)."""
+    return F.conv(F.substring(F.md5(hash_str(*parts)), 1, 15), 16, 10).cast("bigint")

@@ -53,7 +53,7 @@ def topic_prob(arr, topic: int) -> Column:
 def best_topic(arr) -> Column:
     """Topic of the largest probability, the first wins ties; null for an empty list."""
     a = _c(arr)
-    best = F.aggregate(F.slice(a, 2, 1_000_000), F.get(a, 0),
+    best = F.aggregate(F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0))), F.get(a, 0),
                        lambda acc, x: F.when(x["prob"] > acc["prob"], x).otherwise(acc))
     return F.when(F.size(a) > 0, best["topic"])
 

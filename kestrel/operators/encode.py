@@ -82,14 +82,12 @@ def apply_label_encoder(df: DataFrame, codes: DataFrame, col: str, out: str | No
               .withColumn(out, F.coalesce(F.col("_code"), F.lit(unseen)).cast("bigint")).drop("_code"))
 
 
-def one_hot(df: DataFrame, col: str, levels: list | None = None, max_levels: int = 1000) -> DataFrame:
-    """One 0/1 column per level (dense form); the level list is a bounded
-    set of categorical values (collected only when not given)."""
+def one_hot(df: DataFrame, col: str, levels: list | None = None) -> DataFrame:
+    """One 0/1 column per level (dense form).  Levels become columns, so the
+    level list is schema, read from the data when not given; for a column with
+    many levels use :func:`one_hot_vector`."""
     if levels is None:
-        levels = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct()
-                  .orderBy(col).limit(max_levels + 1).collect()]
-        if len(levels) > max_levels:
-            raise ValueError(f"{col} has more than {max_levels} levels; use a sparse encoder")
+        levels = [r[0] for r in df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
     return df.select("*", *[(F.col(col) == F.lit(v)).cast("int").alias(f"{col}_{v}") for v in levels])
 
 

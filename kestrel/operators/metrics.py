@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number
+from .ranking import before_or_at, global_row_number, kth_row
 
 
 def _div(a, b):
@@ -146,6 +146,15 @@ def _cutoff(n: int, k):
     raise ValueError("k must be None, in (0, 1), or >= 1")
 
 
+def _first_ranked(base: DataFrame, order, cut: int) -> DataFrame:
+    """The first ``cut`` rows of an order with their row number: a threshold row
+    first, then only the rows up to it are sorted."""
+    row, n, k = kth_row(base, order, lambda n: cut)
+    if row is not None and k < n:
+        base = base.filter(before_or_at(order, row))
+    return global_row_number(base, order, "_rn")
+
+
 def ndcg(df: DataFrame, y: str = "y", score: str = "score", k=None, key: str = "post_id") -> DataFrame:
     """M7: DCG with gain 2^y - 1 and discount 1/log2(rank + 1) over the
     first k rows by score (ties by key), divided by the ideal DCG; 0 when the
@@ -154,15 +163,8 @@ def ndcg(df: DataFrame, y: str = "y", score: str = "score", k=None, key: str = "
     n = base.count()
     cut = _cutoff(n, k)
     gain = F.pow(F.lit(2.0), F.col("_y")) - 1
-    if k is not None and k >= 1 and cut < n:
-        # top-k is the feature: TakeOrderedAndProject keeps only k rows per task
-        pred = (base.orderBy(F.col("_s").desc(), F.col(key)).limit(cut)
-                    .withColumn("_rn", F.row_number().over(Window.orderBy(F.col("_s").desc(), F.col(key)))))
-        ideal = (base.orderBy(F.col("_y").desc(), F.col(key)).limit(cut)
-                     .withColumn("_rn", F.row_number().over(Window.orderBy(F.col("_y").desc(), F.col(key)))))
-    else:
-        pred = global_row_number(base, [("_s", False), (key, True)], "_rn")
-        ideal = global_row_number(base, [("_y", False), (key, True)], "_rn")
+    pred = _first_ranked(base, [("_s", False), (key, True)], cut)
+    ideal = _first_ranked(base, [("_y", False), (key, True)], cut)
     dcg = pred.filter(F.col("_rn") <= cut).agg(F.sum(gain * _disc(F.col("_rn"))).alias("dcg"))
     idcg = ideal.filter(F.col("_rn") <= cut).agg(F.sum(gain * _disc(F.col("_rn"))).alias("idcg"))
     d, i = dcg.first()["dcg"] or 0.0, idcg.first()["idcg"] or 0.0

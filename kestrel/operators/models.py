@@ -8,27 +8,29 @@ The driver only loops over grid points or elimination steps.
 
 from __future__ import annotations
 
-import math
 from itertools import product
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, VectorAssembler, VectorSlicer, Word2Vec
+from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler, VectorSlicer, Word2Vec
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import FOREST_GRID, GBT_GRID, LOGISTIC_CS, MAX_RANK
 from .encode import class_weights
 from .ranking import argmax_position, label_top_fraction
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
-    """J8."""
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
+    """J8.  A null feature becomes, by rule, one past the rank cap (``*_rank``
+    columns) or -1 (codes and flags) before assembling."""
+    fill = {c: MAX_RANK + 1 if c.endswith("_rank") else -1 for c in cols}
+    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="error").transform(df.na.fill(fill))
 
 
 def param_grid(estimator, grid: dict):
@@ -45,14 +47,11 @@ def _accuracy_eval(label: str):
 
 
 def fit_gbt_grid(train: DataFrame, label: str = "viral", features: str = "features", grid: dict | None = None,
-                 folds: int = 3, parallelism: int = 4, seed: int = 42, full: bool = False):
-    """L1: boosted trees, grid searched by k-fold accuracy, best refitted.
-    ``full=True`` uses the 3^5 = 243-point grid of the original study."""
-    gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=seed, featureSubsetStrategy="0.3")
-    if grid is None:
-        grid = ({"maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "maxIter": [50, 100, 200],
-                 "subsamplingRate": [0.6, 0.8, 1.0], "minInstancesPerNode": [1, 3, 5]} if full
-                else {"maxDepth": [3, 5], "maxIter": [20]})
+                 folds: int = 3, parallelism: int = 4, seed: int = 42):
+    """L1: boosted trees, grid searched by k-fold accuracy, best refitted.  The
+    default grid is the study's (config.GBT_GRID, 3^5 = 243 points)."""
+    gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=seed)
+    grid = grid or GBT_GRID
     cv = CrossValidator(estimator=gbt, estimatorParamMaps=param_grid(gbt, grid), evaluator=_accuracy_eval(label),
                         numFolds=folds, parallelism=parallelism, seed=seed)
     return cv.fit(train)
@@ -60,9 +59,10 @@ def fit_gbt_grid(train: DataFrame, label: str = "viral", features: str = "featur
 
 def fit_forest_cv(train: DataFrame, label: str = "viral", features: str = "features", grid: dict | None = None,
                   folds: int = 5, parallelism: int = 4, seed: int = 42):
-    """L2: random forest with k-fold search over depth × trees."""
+    """L2: random forest with k-fold search over depth × trees (default
+    config.FOREST_GRID, 15 points)."""
     rf = RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed)
-    grid = grid or {"maxDepth": [5, 10], "numTrees": [20, 50]}
+    grid = grid or FOREST_GRID
     cv = CrossValidator(estimator=rf, estimatorParamMaps=param_grid(rf, grid), evaluator=_accuracy_eval(label),
                         numFolds=folds, parallelism=parallelism, seed=seed)
     return cv.fit(train)
@@ -86,8 +86,8 @@ def fit_logistic_grid(train: DataFrame, label: str = "viral", features: str = "f
                       parallelism: int = 4, seed: int = 42):
     """L3: L2 logistic regression, C on a log grid; sklearn's C maps to
     ``regParam = 1 / (C · n)``; balanced class weights when ``weighted``."""
-    n = train.count()
-    cs = cs or [10.0 ** e for e in (-4, -2, 0, 2, 4)]
+    n = train.count() * (folds - 1) / folds  # rows that each fit of the search sees
+    cs = cs or LOGISTIC_CS
     data = with_class_weights(train, label) if weighted else train
     lr = LogisticRegression(labelCol=label, featuresCol=features, elasticNetParam=0.0, standardization=False,
                             maxIter=100, **({"weightCol": "weight"} if weighted else {}))
@@ -100,13 +100,17 @@ def fit_logistic_grid(train: DataFrame, label: str = "viral", features: str = "f
 def rfe(df: DataFrame, feature_cols: list[str], label: str = "viral", keep: int = 5, step: int = 1):
     """L4: recursive elimination by |coefficient|; returns [(feature, rank)],
     rank 1 = kept.  Each fit is distributed; the driver only drops columns."""
-    data = assemble(df, feature_cols, "_all")
+    data = with_class_weights(assemble(df, feature_cols, "_raw"), label)
+    # unit deviation, so that coefficient sizes can be compared
+    data = StandardScaler(inputCol="_raw", outputCol="_all").fit(data).transform(data)
+    reg = 1.0 / max(1, df.count())
     remaining = list(range(len(feature_cols)))
     ranks = {}
     rank = len(feature_cols) - keep + 1
     while len(remaining) > keep:
         sl = VectorSlicer(inputCol="_all", outputCol="_f", indices=remaining)
-        m = LogisticRegression(labelCol=label, featuresCol="_f", maxIter=50).fit(sl.transform(data))
+        m = LogisticRegression(labelCol=label, featuresCol="_f", weightCol="weight", regParam=reg, standardization=False,
+                               maxIter=50).fit(sl.transform(data))
         coefs = list(m.coefficients.toArray())
         drop = sorted(range(len(remaining)), key=lambda i: abs(coefs[i]))[:min(step, len(remaining) - keep)]
         for i in sorted(drop, reverse=True):
@@ -198,11 +202,17 @@ def score_and_report(model, test: DataFrame, cols: list[str], label: str = "vira
 # ---------------------------------------------------------------- text models
 
 
-def fit_topics(df: DataFrame, tokens: str, k: int = 3, seed: int = 10, vocab_size: int = 1 << 16,
+def n_tokens(df: DataFrame, tokens: str) -> int:
+    """Number of different tokens (at least 1)."""
+    return max(1, df.select(F.explode(tokens).alias("t")).agg(F.countDistinct("t")).first()[0])
+
+
+def fit_topics(df: DataFrame, tokens: str, k: int = 3, seed: int = 10, vocab_size: int | None = None,
                max_iter: int = 20):
-    """CountVectorizer + online LDA."""
+    """CountVectorizer + online LDA; the vocabulary is every token unless
+    ``vocab_size`` says otherwise."""
     from pyspark.ml.clustering import LDA
-    cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab_size, minDF=1.0)
+    cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab_size or n_tokens(df, tokens), minDF=1.0)
     lda = LDA(k=k, seed=seed, optimizer="online", featuresCol="bow", maxIter=max_iter)
     return Pipeline(stages=[cv, lda]).fit(df)
 
@@ -210,8 +220,12 @@ def fit_topics(df: DataFrame, tokens: str, k: int = 3, seed: int = 10, vocab_siz
 def top_terms(spark, pipeline_model, n: int = 10) -> DataFrame:
     """(topic, rank, term, weight) for the n heaviest terms of each topic."""
     cvm, lda = pipeline_model.stages[0], pipeline_model.stages[-1]
-    vocab = spark.createDataFrame(list(enumerate(cvm.vocabulary)), "term_index INT, term STRING")
-    t = lda.describeTopics(n).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
+    topics = lda.describeTopics(n)
+    # only the terms of the k x n heaviest places are needed
+    used = sorted({i for r in topics.select("termIndices").collect() for i in r[0]})
+    words = cvm.vocabulary
+    vocab = spark.createDataFrame([(i, words[i]) for i in used], "term_index INT, term STRING")
+    t = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
     t = t.select("topic", (F.col("rank") + 1).alias("rank"), F.col("z.termIndices").alias("term_index"),
                  F.col("z.termWeights").alias("weight"))
     return t.join(vocab, "term_index").select("topic", "rank", "term", "weight")
@@ -250,17 +264,13 @@ def fit_topic_classifier(train: DataFrame, features: str, label: str, n_in: int,
                                           seed=seed, blockSize=128).fit(train)
 
 
-def fit_sentiment_labeller(train: DataFrame, tokens: str, label: str, vocab_size: int = 1 << 16):
+def fit_sentiment_labeller(train: DataFrame, tokens: str, label: str, vocab_size: int | None = None):
     """T15 default model: logistic regression on bag-of-words."""
-    cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab_size)
+    cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab_size or n_tokens(train, tokens))
     lr = LogisticRegression(featuresCol="bow", labelCol=label, maxIter=50, regParam=0.01)
     return Pipeline(stages=[cv, lr]).fit(train)
 
 
-def grid_size(grid: dict) -> int:
-    return math.prod(len(v) for v in grid.values()) if grid else 0
-
-
 def grid_points(grid: dict):
     keys = list(grid)
     return [dict(zip(keys, vals)) for vals in product(*[grid[k] for k in keys])]

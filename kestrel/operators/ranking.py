@@ -21,10 +21,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
+
 Order = list  # list of (column name, ascending) tuples
 
 
@@ -51,7 +52,7 @@ def before_or_at(order: Order, row) -> Column:
 
 @dataclass
 class RangeRanked:
-    frame: DataFrame          # input + _pid, _idx (persisted)
+    frame: DataFrame          # input + _pid, _idx (stored in the shared folder)
     offsets: list             # [(pid, rows before pid, rows in pid)]
     total: int
 
@@ -62,9 +63,6 @@ class RangeRanked:
                 return pid, k - before - 1
         return None
 
-    def release(self):
-        self.frame.unpersist()
-
 
 def range_ranked(df: DataFrame, order: Order, num_partitions: int | None = None) -> RangeRanked:
     spark = df.sparkSession
@@ -75,7 +73,7 @@ def range_ranked(df: DataFrame, order: Order, num_partitions: int | None = None)
                 .withColumn("_pid", pid)
                 .withColumn("_idx", F.monotonically_increasing_id()
                             - F.shiftleft(pid.cast("bigint"), 33)))
-    framed = framed.persist(StorageLevel.MEMORY_AND_DISK)
+    framed = checkpointed(framed)
     counts = sorted((r["_pid"], r["count"]) for r in framed.groupBy("_pid").count().collect())
     offsets, run = [], 0
     for p, c in counts:
@@ -101,27 +99,22 @@ def global_row_number(df: DataFrame, order: Order, out: str = "rn",
 def _kth_row_ranked(df: DataFrame, order: Order, k: int, offset: int = 0):
     cols = [c for c, _ in order]
     rr = range_ranked(df.select(*cols), order)
-    try:
-        loc = rr.locate(k - offset)
-        if loc is None:
-            return None
-        pid, idx = loc
-        row = rr.frame.filter((F.col("_pid") == pid) & (F.col("_idx") == idx)).select(*cols).first()
-        return row.asDict()
-    finally:
-        rr.release()
-
-
-def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002,
-            direct_rows: int = 2_000_000) -> tuple:
+    loc = rr.locate(k - offset)
+    if loc is None:
+        return None
+    pid, idx = loc
+    row = rr.frame.filter((F.col("_pid") == pid) & (F.col("_idx") == idx)).select(*cols).first()
+    return row.asDict()
+
+
+def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002) -> tuple:
     """Return (row, n, k): the k-th row (1-based) of ``df`` in ``order`` where
     ``k = k_of_n(n)``; row is None when k is outside 1..n.
 
-    Distributed selection.  Up to ``direct_rows`` rows the order columns are
-    range-sorted directly.  Above it, one aggregate pass gives a grid of
-    approximate quantiles of the leading (numeric) column, a second counts the rows before a value band around quantile
-    k/n and inside it, and only the band (≈ 2·eps·n rows) is sorted by the
-    full order.  If the approximation misses, the band widens, ending with
+    Distributed selection, the same way at every size: one aggregate pass gives a
+    grid of approximate quantiles of the leading (numeric) column, a second counts
+    the rows before a value band around quantile k/n and inside it, and only the
+    band (≈ 2·eps·n rows) is sorted by the full order.  If the approximation misses, the band widens, ending with
     the whole table, so the answer is always exact.
     """
     from pyspark.sql.types import NumericType
@@ -133,7 +126,7 @@ def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002,
     k = int(k_of_n(n))
     if k < 1 or k > n:
         return None, n, k
-    if not numeric or n <= direct_rows:
+    if not numeric:  # no quantiles of strings or dates: sort them all
         return _kth_row_ranked(base, order, k), n, k
     grid = [i / 1000 for i in range(1001)]
     q = base.agg(F.percentile_approx(lead, grid, 100000).alias("q")).first()["q"]
@@ -179,8 +172,11 @@ def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
     out = out or f"{col}_rank"
     counts = ((source if source is not None else df).filter(F.col(col).isNotNull())
                 .groupBy(year, month, col).agg(F.count(F.lit(1)).alias("_n")))
+    # the rank depends on the count alone: rank each month's distinct counts, join back
     w = Window.partitionBy(year, month).orderBy(F.col("_n").desc())
-    ranked = counts.select(year, month, col, F.dense_rank().over(w).cast("bigint").alias(out))
+    places = counts.select(year, month, "_n").distinct().select(
+        year, month, "_n", F.row_number().over(w).cast("bigint").alias(out))
+    ranked = counts.join(places, [year, month, "_n"]).select(year, month, col, out)
     if lag_months:
         shifted = F.add_months(F.make_date(F.col(year), F.col(month), F.lit(1)), lag_months)
         ranked = ranked.select(F.year(shifted).alias(year), F.month(shifted).alias(month), col, out)

@@ -121,11 +121,18 @@ def sum_columns(cols: list[str]) -> Column:
 # ---------------------------------------------------------------- 2.3
 
 
-def dedupe_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def dedupe_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Keep the first row per key in a stated order (deterministic
-    ``dropDuplicates``)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    ``dropDuplicates``): a grouped minimum of (order, row), combined map-side, so
+    a key with very many rows is no task of its own.  ``order``: column names
+    (ascending) or (name, ascending) pairs; descending columns are numeric."""
+    lead = []
+    for o in order:
+        name, asc = (o, True) if isinstance(o, str) else o
+        lead += [F.col(name)] if asc else [F.col(name).isNull(), -F.col(name)]
+    first = F.struct(F.struct(*[c.alias(f"o{k}") for k, c in enumerate(lead)]).alias("_order"),
+                     F.struct(*[F.col(c) for c in df.columns]).alias("_row"))
+    return df.groupBy(*keys).agg(F.min(first).alias("_first")).select("_first._row.*")
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:
@@ -134,12 +141,12 @@ def dedupe_rows(df: DataFrame) -> DataFrame:
 
 
 def enrich_left(df: DataFrame, dim: DataFrame, on: str, fill: dict | None = None,
-                dim_order: list[Column] | None = None, small_dim: bool = False) -> DataFrame:
+                dim_order: list | None = None, small_dim: bool = False) -> DataFrame:
     """Dedupe the dimension on its key (first row in ``dim_order``), left
     join, fill unmatched columns.  ``small_dim`` forces a broadcast only when
     the caller knows the dimension's size bound; otherwise Catalyst/AQE pick
     the strategy from statistics."""
-    order = dim_order or [F.col(c) for c in dim.columns if c != on]
+    order = dim_order or [c for c in dim.columns if c != on]
     d = dedupe_first(dim, [on], order)
     if small_dim:
         d = F.broadcast(d)
@@ -167,11 +174,12 @@ def unmatched_keys(df: DataFrame, dim: DataFrame, on: str) -> DataFrame:
 
 def attach_by_position(left: DataFrame, right: DataFrame, left_order, right_order) -> DataFrame:
     """Put rows side by side by their position in a stated order on each
-    side (distributed row numbers, then an equi-join on the position)."""
+    side (distributed row numbers, then an equi-join on the position).  Every
+    left row stays; a shorter right side leaves nulls."""
     from .ranking import global_row_number
     l = global_row_number(left, left_order, "_pos")
     r = global_row_number(right, right_order, "_pos")
-    return l.join(r, "_pos", "inner").withColumnRenamed("_pos", "position")
+    return l.join(r, "_pos", "left").withColumnRenamed("_pos", "position")
 
 
 # ---------------------------------------------------------------- 2.4
@@ -221,45 +229,43 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float]) -> dict:
     reach the driver."""
     import math
     from .ranking import range_ranked
-    stacked = df.select(F.explode(F.array(*[
+    # _t only spreads equal values over partitions; which of them comes first does not show
+    stacked = df.withColumn("_t", F.monotonically_increasing_id()).select("_t", F.explode(F.array(*[
         F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_x")) for i, c in enumerate(cols)]))
-        .alias("_s")).select("_s._c", "_s._x").filter(F.col("_x").isNotNull())
+        .alias("_s")).select("_s._c", "_s._x", "_t").filter(F.col("_x").isNotNull())
     counts = {r["_c"]: r["n"] for r in stacked.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rr = range_ranked(stacked, [("_c", True), ("_x", True)])
-    try:
-        start, wanted = 0, {}
-        plan = {}
-        for i in range(len(cols)):
-            n = counts.get(i, 0)
-            plan[i] = []
-            for q in qs:
-                if n == 0:
-                    plan[i].append(None)
-                    continue
-                h = (n - 1) * q
-                lo, hi = math.floor(h), math.ceil(h)
-                plan[i].append((start + lo + 1, start + hi + 1, h - lo))
-                wanted[start + lo + 1] = wanted[start + hi + 1] = None
-            start += n
-        locs = {k: rr.locate(k) for k in wanted}
-        cond = F.lit(False)
-        for pid, idx in set(locs.values()):
-            cond = cond | ((F.col("_pid") == pid) & (F.col("_idx") == idx))
-        got = {(r["_pid"], r["_idx"]): r["_x"] for r in rr.frame.filter(cond).select("_pid", "_idx", "_x").collect()}
-        out = {}
-        for i, c in enumerate(cols):
-            vals = []
-            for item in plan[i]:
-                if item is None:
-                    vals.append(None)
-                    continue
-                a, b, frac = item
-                lo_v, hi_v = got[locs[a]], got[locs[b]]
-                vals.append(lo_v + frac * (hi_v - lo_v))
-            out[c] = vals
-        return out
-    finally:
-        rr.release()
+    rr = range_ranked(stacked, [("_c", True), ("_x", True), ("_t", True)])
+    start, wanted = 0, {}
+    plan = {}
+    for i in range(len(cols)):
+        n = counts.get(i, 0)
+        plan[i] = []
+        for q in qs:
+            if n == 0:
+                plan[i].append(None)
+                continue
+            h = (n - 1) * q
+            lo, hi = math.floor(h), math.ceil(h)
+            plan[i].append((start + lo + 1, start + hi + 1, h - lo))
+            wanted[start + lo + 1] = wanted[start + hi + 1] = None
+        start += n
+    locs = {k: rr.locate(k) for k in wanted}
+    cond = F.lit(False)
+    for pid, idx in set(locs.values()):
+        cond = cond | ((F.col("_pid") == pid) & (F.col("_idx") == idx))
+    got = {(r["_pid"], r["_idx"]): r["_x"] for r in rr.frame.filter(cond).select("_pid", "_idx", "_x").collect()}
+    out = {}
+    for i, c in enumerate(cols):
+        vals = []
+        for item in plan[i]:
+            if item is None:
+                vals.append(None)
+                continue
+            a, b, frac = item
+            lo_v, hi_v = got[locs[a]], got[locs[b]]
+            vals.append(lo_v + frac * (hi_v - lo_v))
+        out[c] = vals
+    return out
 
 
 def describe_numeric(df: DataFrame, cols: list[str]) -> DataFrame:

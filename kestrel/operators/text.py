@@ -66,22 +66,19 @@ def stopwords_from_corpus(df: DataFrame, tokens: str, n: int = 50) -> DataFrame:
 
 
 def remove_stopwords(df: DataFrame, tokens: str, words: DataFrame, out: str | None = None,
-                     bounded: bool = True, max_words: int = 100_000) -> DataFrame:
+                     most: int = 10_000) -> DataFrame:
     """Drop stopwords from a token array, keeping order.
 
-    A bounded list (``bounded``: at most ``max_words`` entries, checked) is
-    shipped to every task as one array literal-like broadcast column and
-    filtered with ``array_contains``; an unbounded list falls back to an
-    anti-join on exploded tokens followed by an ordered re-collect.
+    Up to ``most`` words travel with the plan as a hash set; a longer list is
+    joined instead (anti-join on exploded tokens, ordered re-collect).  At most
+    ``most`` + 1 words reach the driver.
     """
     out = out or tokens
-    if bounded:
-        lst = words.agg(F.collect_set("word").alias("_sw"), F.count(F.lit(1)).alias("_n"))
-        row = lst.first()
-        if row["_n"] > max_words:
-            raise ValueError("stopword list larger than the broadcast bound")
-        sw = F.array(*[F.lit(w) for w in sorted(row["_sw"])]) if row["_sw"] else F.array().cast("array<string>")
-        return df.withColumn(out, F.filter(F.col(tokens), lambda t: ~F.array_contains(sw, t)))
+    listed = [r[0] for r in words.select("word").distinct().limit(most + 1).collect()]
+    if len(listed) <= most:
+        if not listed:
+            return df.withColumn(out, F.col(tokens))
+        return df.withColumn(out, F.filter(F.col(tokens), lambda t: ~t.isin(*listed)))
     id_col = df.columns[0]
     kept = (explode_tokens(df, id_col, tokens, with_pos=True)
             .join(words.select(F.col("word").alias("token")), "token", "left_anti")

@@ -4,6 +4,9 @@ columns and row count are stable, and tests check their properties."""
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -14,7 +17,8 @@ from ..operators import sampling as S
 from ..operators import text as T
 from ..operators.splits import chrono_split, random_split
 from ..sources import adapters as A
-from ..sources.tables import checkpointed, table
+from ..session import shared_path
+from ..sources.tables import checkpointed, fingerprint, materialize_once, table, table_path
 from .q_encode_metrics import posts_features, rounded
 from .registry import query
 
@@ -24,27 +28,24 @@ FEATURES = C.POST_FEATURES + C.AUTHOR_FEATURES
 PAIR_KEYS = ["item_author", "article_author", "article_source", "stock_code"]
 
 
-def _input_fingerprint(sf, names=("orders", "customer", "nation", "region")) -> str:
-    import hashlib
-    import os
-    parts = []
-    for n in names:
-        st = os.stat(os.path.join(sf, f"{n}.parquet"))
-        parts.append(f"{os.path.abspath(sf)}|{n}|{st.st_size}|{st.st_mtime_ns}")
-    return hashlib.md5("\n".join(parts).encode()).hexdigest()[:16]
+def _code_version() -> str:
+    """Hash of the library code that the feature table depends on."""
+    root = Path(__file__).resolve().parent.parent
+    files = [root / "config.py", *sorted(f for d in ("functions", "operators", "plans", "sources") for f in (root / d).glob("*.py"))]
+    return hashlib.md5(b"".join(f.read_bytes() for f in files)).hexdigest()
 
 
 def _feature_table(spark, sf):
     """Feature table with its split, materialised once (A10) in the shared
-    checkpoint folder under a fingerprint of its input files: every model
+    checkpoint folder under a fingerprint of its input files and of the code: every model
     query rereads the compact table instead of re-deriving it, and a lost
     executor never forces the derivation again."""
-    from ..session import shared_path
-    from ..sources.tables import materialize_once
     def build():
         f = chrono_split(posts_features(spark, sf), "year_month", C.SPLITS)
         return f.select("post_id", "split", "viral", *PAIR_KEYS, *FEATURES)
-    return materialize_once(build, shared_path(spark, f"features-{_input_fingerprint(sf)}"), spark)
+    inputs = [table_path(sf, n) for n in ("orders", "customer", "nation", "region")]
+    key = fingerprint(spark, inputs, _code_version())
+    return materialize_once(build, shared_path(spark, f"features-{key}"), spark)
 
 
 def _split_features(spark, sf, table_=None):
@@ -67,14 +68,16 @@ def assemble_features(spark, sf):
 @query("gbt_grid")
 def gbt_grid(spark, sf):
     d = _split_features(spark, sf)
-    cv = ML.fit_gbt_grid(d.filter("split = 'train'"))
+    # a corner of config.GBT_GRID (which is the default): 243 points x 3 folds take hours on one machine
+    cv = ML.fit_gbt_grid(d.filter("split = 'train'"), grid={"maxDepth": [3, 5], "maxIter": [20], "featureSubsetStrategy": ["0.3"]})
     return rounded(_acc_rows(cv.bestModel, d.filter("split <> 'train'")))
 
 
 @query("forest_cv")
 def forest_cv(spark, sf):
     d = _split_features(spark, sf)
-    cv = ML.fit_forest_cv(d.filter("split = 'train'"), folds=3)
+    # a smaller grid than config.FOREST_GRID (the default), for one machine
+    cv = ML.fit_forest_cv(d.filter("split = 'train'"), grid={"maxDepth": [5, 10], "numTrees": [20, 50]})
     return rounded(_acc_rows(cv.bestModel, d.filter("split <> 'train'")))
 
 
@@ -102,7 +105,7 @@ def rfe_q(spark, sf):
 @query("feature_importance")
 def feature_importance_q(spark, sf):
     d = _split_features(spark, sf)
-    m = ML.fit_forest_fixed(d.filter("split = 'train'"), depth=10, trees=30)
+    m = ML.fit_forest_fixed(d.filter("split = 'train'"))
     return rounded(ML.feature_importance(spark, m, FEATURES))
 
 
@@ -207,9 +210,9 @@ def param_sweep(spark, sf):
 
 
 def _tok(spark, sf):
-    t = A.texts(spark, sf).select("post_id", "item_title", "viral", "year_month")
+    t = A.labelled_titles(spark, sf).select("post_id", "item_title", "viral")
     t = T.tokenize(T.clean_text(t, "item_title", "clean"), "clean")
-    return checkpointed(t.select("post_id", "viral", "year_month", "tokens"))
+    return checkpointed(t.select("post_id", "viral", "tokens"))
 
 
 @query("lda_topics")
@@ -241,18 +244,23 @@ def _vec_split(spark, sf):
     return checkpointed(random_split(v, [8, 2], 3, id_col="vec_id", names=["train", "test"]))
 
 
+def _shape(v):
+    """(inputs, classes) of the labelled vectors, read from the data."""
+    r = v.agg(F.max(F.size("embedding")), F.max("label")).first()
+    return int(r[0]), int(r[1]) + 1
+
+
 @query("topic_classifier")
 def topic_classifier(spark, sf):
     v = _vec_split(spark, sf)
-    n_classes = 10
-    m = ML.fit_topic_classifier(v.filter("split = 'train'"), "features", "label", 64, n_classes, max_iter=50)
+    m = ML.fit_topic_classifier(v.filter("split = 'train'"), "features", "label", *_shape(v), max_iter=50)
     return rounded(_acc_rows(m, v, "label"))
 
 
 @query("classify_topics")
 def classify_topics(spark, sf):
     v = _vec_split(spark, sf)
-    m = ML.fit_topic_classifier(v.filter("split = 'train'"), "features", "label", 64, 10, max_iter=50)
+    m = ML.fit_topic_classifier(v.filter("split = 'train'"), "features", "label", *_shape(v), max_iter=50)
     return m.transform(v.filter("split = 'test'")).select("vec_id", F.col("prediction").cast("int").alias("topic"))
 
 

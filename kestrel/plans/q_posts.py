@@ -113,7 +113,7 @@ def dropna_any(spark, sf):
   UNION ALL SELECT 'article_source', count(*) - count(article_source) FROM texts
   UNION ALL SELECT 'viral', count(*) - count(viral) FROM texts)""")
 def null_counts(spark, sf):
-    return Rel.null_counts(A.texts(spark, sf), ["post_id", "item_title", "article_source", "viral"])
+    return Rel.null_counts(A.labelled_titles(spark, sf), ["post_id", "item_title", "article_source", "viral"])
 
 
 @query("positives", with_(POSTS) + "SELECT post_id, item_author, popularity FROM posts WHERE viral = 1")
@@ -158,7 +158,7 @@ def unmatched_keys(spark, sf):
 
 @query("attach_position", """SELECT l.rn AS position, l.o_orderkey, r.c_custkey, r.c_name FROM
   (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) l
-  JOIN (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) r
+  LEFT JOIN (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) r
   ON l.rn = r.rn""")
 def attach_position(spark, sf):
     o = table(spark, sf, "orders", ["o_orderkey", "o_orderdate"])
@@ -199,7 +199,7 @@ def distinct_values(spark, sf):
   FROM customer) WHERE rn = 1""")
 def dedupe_first(spark, sf):
     c = table(spark, sf, "customer", ["c_nationkey", "c_custkey", "c_acctbal"])
-    return Rel.dedupe_first(c, ["c_nationkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")])
+    return Rel.dedupe_first(c, ["c_nationkey"], [("c_acctbal", False), "c_custkey"])
 
 
 @query("dedupe_rows", with_(POSTS_BASE) + "SELECT DISTINCT item_author, article_author, article_source FROM posts_base")

@@ -20,7 +20,7 @@ def tokenized(spark, sf, reused: bool = False):
     """Token arrays of the whole texts; ``reused`` materialises them once in
     the shared checkpoint folder when a query derives several tables
     (stopwords, lexicon, vocabulary) from them."""
-    t = T.tokenize(A.texts(spark, sf).select("post_id", "item_title"), "item_title").select("post_id", "tokens")
+    t = T.tokenize(A.titles(spark, sf).select("post_id", "item_title"), "item_title").select("post_id", "tokens")
     return checkpointed(t) if reused else t
 
 
@@ -42,7 +42,7 @@ CLEAN_SQL = (r"regexp_replace(regexp_replace(regexp_replace({x}, '[ \t\n\f\r\x0B
 
 @query("clean_text", with_(TEXTS) + f"SELECT post_id, {CLEAN_SQL.format(x='item_title')} AS clean_title FROM texts")
 def clean_text(spark, sf):
-    t = A.texts(spark, sf).select("post_id", "item_title")
+    t = A.titles(spark, sf).select("post_id", "item_title")
     return T.clean_text(t, "item_title", "clean_title").select("post_id", "clean_title")
 
 
@@ -89,11 +89,12 @@ s AS (SELECT r.post_id, sum(coalesce(l.score, 0.0)) / count(*) AS v FROM crow r
   LEFT JOIN lex l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM sw) GROUP BY r.post_id)
 SELECT t.post_id, round(coalesce(s.v, 0.0), 6) AS drop_sentiment_score FROM ctoks t LEFT JOIN s ON t.post_id = s.post_id""")
 def lexicon_sentiment_clean_q(spark, sf):
-    t = tokenized(spark, sf, reused=True)
+    # both token lists in one reading of the texts, stored once
+    t = T.tokenize(A.titles(spark, sf).select("post_id", "item_title"), "item_title")
+    t = T.tokenize(T.clean_text(t, "item_title", "clean"), "clean", "ctoks")
+    t = checkpointed(t.select("post_id", "tokens", "ctoks"))
     sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
-    c = T.clean_text(A.texts(spark, sf).select("post_id", "item_title"), "item_title", "clean")
-    c = T.tokenize(c, "clean", "ctoks")
-    c = T.remove_stopwords(c, "ctoks", sw, out="ctoks")
+    c = T.remove_stopwords(t.select("post_id", "ctoks"), "ctoks", sw, out="ctoks")
     return rounded(T.lexicon_sentiment(c, "post_id", "ctoks", lex, 0.0, out="drop_sentiment_score"))
 
 
@@ -124,7 +125,7 @@ def encode_tokens_q(spark, sf):
   CAST(contains(item_title, '?') AS INTEGER) AS question_mark, CAST(contains(item_title, ':') AS INTEGER) AS colon_mark
 FROM texts""")
 def punct_flags(spark, sf):
-    t = A.texts(spark, sf).select("post_id", "item_title")
+    t = A.titles(spark, sf).select("post_id", "item_title")
     return Rel.flag_contains(t, "item_title", {"exclamation_mark": "!", "question_mark": "?",
                                                "colon_mark": ":"}).drop("item_title")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 
 def h(expr: str) -> str:
-    """First 8 hex digits of md5 as an integer (see functions.hashing)."""
-    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+    """First 15 hex digits of md5 as an integer (see functions.hashing)."""
+    return f"CAST(('0x' || substr(md5({expr}), 1, 15)) AS BIGINT)"
 
 
 IND = """ind AS (
@@ -53,13 +53,13 @@ TEXTS = """texts AS (
          CAST(month(o.o_orderdate) AS INTEGER) AS month,
          make_date(year(o.o_orderdate), month(o.o_orderdate), 1) AS year_month
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
-  JOIN orders o ON d.doc_id = o.o_orderkey
+  LEFT JOIN orders o ON d.doc_id = o.o_orderkey
 )"""
 
 SCORED = f"""{POSTS},
 scored0 AS (
   SELECT post_id, viral AS y,
-         CAST({h("'s|' || CAST(post_id AS VARCHAR)")} AS DOUBLE) / CAST(4294967296 AS DOUBLE)
+         CAST({h("'s|' || CAST(post_id AS VARCHAR)")} AS DOUBLE) / CAST(1152921504606846976 AS DOUBLE)
            + CAST(0.3 AS DOUBLE) * viral AS score
   FROM posts
 ),

@@ -8,7 +8,9 @@ create one under the system temp folder.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,22 +57,21 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, configuring a local one only if unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    try:
-        sc = spark.sparkContext
-    except Exception:  # noqa: BLE001 - no driver-side context (remote session)
-        sc = None
-    if not d and sc is not None:
-        d = sc.getCheckpointDir()
+    """The shared folder named by ``spark.checkpoint.dir``.  Only a local session
+    without one gets a folder of its own; a cluster must name it."""
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
-        d = tempfile.mkdtemp(prefix="kestrel-ckpt-")  # local runs and tests only
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        d = tempfile.mkdtemp(prefix="kestrel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc is not None and not sc.getCheckpointDir():
+        atexit.register(shutil.rmtree, d, ignore_errors=True)
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
     return d
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table inside the shared checkpoint folder."""
-    return os.path.join(checkpoint_dir(spark), "tables", name)
+    return "/".join((checkpoint_dir(spark).rstrip("/"), "tables", name))

@@ -1,7 +1,7 @@
 """Adapters from the driver's tables to the analytic data model.
 
 ``posts``   orders ⋈ customer ⋈ industry dimension (nation, region)
-``texts``   documents ⟕ labels ⋈ orders (for the date)
+``titles``  documents; ``labelled_titles`` adds labels, ``texts`` the order's date
 ``scored``  posts with a deterministic pseudo-score and top-1 % labels
 ``vectors`` embeddings
 
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SENTIMENT_CODES, TOP_FRACTION
-from ..functions.hashing import TWO_32, hash_int
+from ..functions.hashing import TWO_60, hash_int
 from ..operators.ranking import before_or_at, kth_row, label_top_fraction
 from ..operators.relational import enrich_left
 from .tables import table
@@ -102,32 +102,30 @@ def posts(spark: SparkSession, sf_dir: str, date_range: tuple[str, str] | None =
     return base.withColumn("viral", before_or_at(VIRAL_ORDER, row).cast("int"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Text work is CPU-bound per row: when the scan yields fewer partitions
-    than there are cores (one large file, one row group), hash-spread the
-    rows by key.  With many input files this is a no-op."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without an RDD API keep the scan as is
-        return df
-    return df.repartition(cores, key) if parts < cores else df
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline texts alone (documents): what needs neither date nor label reads
+    nothing else."""
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+    return docs.select(F.col("doc_id").alias("post_id"), F.col("text").alias("item_title"),
+                       F.col("source").alias("article_source"), F.col("lang").alias("industry"))
 
 
-def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline-text table: documents, their quality label (null when
-    unlabelled), dated by the order with the same key."""
-    docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
+def labelled_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline texts with their quality label (null when unlabelled)."""
     lab = table(spark, sf_dir, "labels", ["doc_id", "quality"])
+    lab = lab.select(F.col("doc_id").alias("post_id"), F.col("quality").alias("viral"))
+    return titles(spark, sf_dir).join(lab, "post_id", "left")
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled headline texts dated by the order with the same key (null
+    dates where there is none): every document stays."""
     o = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
     d = F.to_date(F.col("o_orderdate"))
-    return (spread(docs.join(lab, "doc_id", "left"), "doc_id")
-                .join(o, F.col("doc_id") == F.col("o_orderkey"), "inner")
-                .select(F.col("doc_id").alias("post_id"), F.col("text").alias("item_title"),
-                        F.col("source").alias("article_source"), F.col("lang").alias("industry"),
-                        F.col("quality").alias("viral"),
-                        F.year(d).alias("year"), F.month(d).alias("month"),
-                        F.make_date(F.year(d), F.month(d), F.lit(1)).alias("year_month")))
+    return (labelled_titles(spark, sf_dir).join(o, F.col("post_id") == F.col("o_orderkey"), "left")
+            .select("post_id", "item_title", "article_source", "industry", "viral",
+                    F.year(d).alias("year"), F.month(d).alias("month"),
+                    F.make_date(F.year(d), F.month(d), F.lit(1)).alias("year_month")))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +137,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = viral_threshold(spark, sf_dir)
     viral = before_or_at(VIRAL_ORDER, row).cast("int") if row is not None else F.lit(0)
     p = o.select("post_id", viral.alias("y"))
-    s = p.withColumn("score", hash_int(F.lit("s"), F.col("post_id")) / F.lit(TWO_32)
+    s = p.withColumn("score", hash_int(F.lit("s"), F.col("post_id")) / F.lit(TWO_60)
                      + F.lit(0.3) * F.col("y"))
     return label_top_fraction(s, "score", TOP_FRACTION, key="post_id", out="pred")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import checkpoint_dir
+from ..session import shared_path
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None,
@@ -87,25 +89,61 @@ def write_delimited(df: DataFrame, path: str, sep: str, mode: str = "overwrite")
     df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", False).csv(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object: any store Spark can read."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a Spark job has finished writing ``path``."""
+    fs, p = file_system(spark, path.rstrip("/") + "/_SUCCESS")
+    return fs.exists(p)
+
+
+def fingerprint(spark: SparkSession, paths: list[str], *versions: str) -> str:
+    """Hash of every file's path, length and time below ``paths`` (files or
+    folders, on any store) and of ``versions``."""
+    h = hashlib.md5()
+    for path in sorted(paths):
+        fs, p = file_system(spark, path)
+        files = fs.listFiles(p, True)
+        names = []
+        while files.hasNext():
+            f = files.next()
+            names.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        h.update("\n".join(sorted(names)).encode())
+    for v in versions:
+        h.update(v.encode())
+    return h.hexdigest()[:16]
+
+
 def materialize_once(df, path: str, spark: SparkSession | None = None) -> DataFrame:
-    """A10: compute and write the table only when ``path`` holds none yet,
-    then read the stored table (lineage is cut at the write).  ``df`` may be
-    a DataFrame or a function building it, called only when the table is
-    missing (so eager steps of the build are skipped as well)."""
-    spark = spark or getattr(df, "sparkSession", None)
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - not there yet
-        pass
-    built = df() if callable(df) else df
-    built.write.mode("ignore").parquet(path)
-    return built.sparkSession.read.parquet(path)
+    """A10: compute and write the table only when ``path`` holds no finished
+    one, then read the stored table (lineage is cut at the write).  ``df`` may
+    be a DataFrame or a function building it, called only when needed.
+
+    The table is written under a fresh name and renamed when its ``_SUCCESS``
+    mark is there, so a write that died is never read; what such a write (of
+    anyone) left under ``path`` itself is moved aside."""
+    spark = spark or df.sparkSession
+    if not is_complete(spark, path):
+        fresh = f"{path}.{uuid.uuid4().hex}"
+        (df() if callable(df) else df).write.parquet(fresh)
+        fs, p = file_system(spark, path)
+        if not is_complete(spark, path):  # else another session was first: read its table
+            if fs.exists(p):
+                fs.rename(p, file_system(spark, f"{fresh}.unfinished")[1])
+            fs.rename(file_system(spark, fresh)[1], p)
+    return spark.read.parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the shared ``spark.checkpoint.dir`` (never a local checkpoint)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage by a Parquet table in the shared ``spark.checkpoint.dir``:
+    column pruning and filter pushdown still work on what is read back."""
+    path = shared_path(df.sparkSession, f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def save_metadata(meta: DataFrame, path: str) -> None:

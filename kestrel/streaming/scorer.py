@@ -1,4 +1,4 @@
-"""Score newly arrived posts with a frozen model under Structured
+"""Score newly arrived posts with a stored model under Structured
 Streaming.
 
 The source is a file stream over the arriving table; each micro-batch is
@@ -10,46 +10,64 @@ idempotent per batch id, so a restarted query does not duplicate output.
 
 from __future__ import annotations
 
-import os
 import uuid
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import shared_path
+from ..sources.tables import file_system
 
 
 def run_available_now(stream_df: DataFrame, transform, sink_path: str, ckpt_path: str) -> None:
     def write_batch(batch: DataFrame, batch_id: int):
         (transform(batch).withColumn("_batch_id", F.lit(batch_id))
-         .write.mode("overwrite").parquet(os.path.join(sink_path, f"batch={batch_id}")))
+         .write.mode("overwrite").parquet(f"{sink_path}/batch={batch_id}"))
 
     q = (stream_df.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", ckpt_path).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def score_new_arrivals(spark: SparkSession, source_dir: str, file_glob: str, schema, transform,
-                       max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream the files of ``source_dir`` matching ``file_glob`` through
-    ``transform`` and return the sink as a batch DataFrame."""
-    base = os.path.join(checkpoint_dir(spark), "streams", uuid.uuid4().hex)
-    src = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files_per_trigger).parquet(source_dir))
-    run_available_now(src, transform, os.path.join(base, "sink"), os.path.join(base, "checkpoint"))
-    return spark.read.parquet(os.path.join(base, "sink")).drop("_batch_id", "batch")
+def score_new_arrivals(spark: SparkSession, path: str, schema, transform,
+                       max_files_per_trigger: int = 1000) -> DataFrame:
+    """Stream a table (a folder of part files or a single file, on any store)
+    through ``transform`` and return the sink as a batch DataFrame."""
+    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    sink = f"{base}/sink"
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    fs, p = file_system(spark, path)
+    if fs.isDirectory(p):
+        stream = src.parquet(path)
+    else:  # a file source watches folders: the file's folder, narrowed to its name
+        folder, name = path.rsplit("/", 1)
+        stream = src.option("pathGlobFilter", name).parquet(folder)
+    out = transform(stream)
+    run_available_now(stream, transform, sink, f"{base}/checkpoint")
+    empty = spark.createDataFrame([], out.schema)
+    empty.write.mode("append").parquet(f"{sink}/batch=-1")  # the sink exists even if nothing arrived
+    return spark.read.schema(out.schema).parquet(sink).select(*out.columns)
 
 
-# Frozen linear scorer (fixed weights of a previously fitted model).
-FROZEN_WEIGHTS = {"robo_site": -0.4, "robo_media": 0.1, "robo_sma": 0.3, "topic": 0.05}
+def fit_arrival_model(history: DataFrame, path: str) -> PipelineModel:
+    """Least squares of the price on the author number over past posts, saved
+    under ``path`` and loaded back: the stream scores with the stored model."""
+    stages = [SQLTransformer(statement="SELECT *, CAST(o_custkey % 200 AS DOUBLE) AS author FROM __THIS__"),
+              VectorAssembler(inputCols=["author"], outputCol="features"),
+              LinearRegression(featuresCol="features", labelCol="o_totalprice", solver="normal")]
+    Pipeline(stages=stages).fit(history.where("o_custkey IS NOT NULL AND o_totalprice IS NOT NULL")).write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
-def frozen_post_scorer(batch: DataFrame) -> DataFrame:
-    d = F.to_date("o_orderdate")
-    status = F.col("o_orderstatus")
-    feats = {"robo_site": (status == "F").cast("double"), "robo_media": (status == "O").cast("double"),
-             "robo_sma": (status == "P").cast("double"), "topic": (F.col("o_custkey") % 3).cast("double")}
-    z = sum((feats[k] * F.lit(w) for k, w in FROZEN_WEIGHTS.items()), F.lit(0.0))
-    return batch.select(F.col("o_orderkey").alias("post_id"),
-                        F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")).alias("period"),
-                        F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-z)), 6).alias("score"))
+def arrival_scorer(model: PipelineModel):
+    """transform for :func:`score_new_arrivals`: (post_id, period, score)."""
+    def score(batch: DataFrame) -> DataFrame:
+        d = F.to_date("o_orderdate")
+        return model.transform(batch).select(
+            F.col("o_orderkey").alias("post_id"),
+            F.concat(F.year(d).cast("string"), F.lit("Q"), F.quarter(d).cast("string")).alias("period"),
+            F.round("prediction", 4).alias("score"))
+    return score
