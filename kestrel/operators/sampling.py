@@ -2,17 +2,18 @@
 
 Group-slot sampling, no positive × group blow-up:
 
-1. Slot the pool per key spec.  Every negative gets a dense ring position
+1. Slot the pool per key spec.  Every negative gets a dense position
    ``slot`` in 0..n-1 inside its key group, in the order of a seeded md5
    hash.  The ranking window is partitioned by (key, hash bucket), so a hot
    key (a source holding a third of all rows) is spread over ``buckets``
    tasks; bucket offsets come from a per-(key, bucket) count table whose
    window is bounded by ``buckets`` rows per key.
 2. Each positive looks up its group size n (join with the (key, n) table).
-3. It draws m = min(k, n) consecutive ring slots from a hashed start:
-   distinct, without replacement, deterministic.
-4. ``explode(sequence(0, m-1))`` and an equi-join on (key, slot) fetch the
-   negatives.  Work is O(P·k + N).
+3. It draws a uniform subset of m = min(k, n) slots by Floyd's algorithm in m
+   hashed draws: distinct, without replacement, deterministic.
+4. An equi-join on (key, slot) turns slots into negatives' ids.  Work is
+   O(P·k + N), on ids and keys alone; the columns of both sides are joined once
+   at the end.
 5. Ladder rule (S1): positives with n1 >= k keep their k 3-key draws; the
    others take the union of all 3-key candidates and up to k per fallback
    spec, deduplicated, then the k first by a per-pair hash.  Fallback rule
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
@@ -72,18 +73,25 @@ def slot_pool(pool: DataFrame, keys: list[str], seed: int, id_col: str = "post_i
     return slotted, sizes
 
 
+def floyd(n, m, draw_hash) -> Column:
+    """A uniform m-subset of 0..n-1 as an array, in m draws (Floyd's algorithm):
+    draw i takes a position t in 0..j with j = n - m + i - 1, or j if t is taken.
+    ``draw_hash(i)`` is the random integer of draw i."""
+    def take(acc, i):
+        top = n - m + i - 1
+        t = F.pmod(draw_hash(i), top + 1)
+        return F.array_append(acc, F.when(F.array_contains(acc, t), top).otherwise(t))
+    return F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.array().cast("array<bigint>"), take)
+
+
 def draw(pos: DataFrame, slotted: DataFrame, sizes: DataFrame, keys: list[str], spec: str,
          k: int, seed: int, id_col: str = "post_id") -> DataFrame:
-    """m = min(k, n) distinct negatives per positive from consecutive ring slots.
-    ``pos`` must carry the key columns and ``id_col``; output = pos columns +
-    slotted pool columns + ``_spec``."""
-    q = pos.join(sizes, keys, "inner")
-    start = F.pmod(hash_int(F.lit(seed), F.lit(spec), F.col(id_col)), F.col("_n"))
-    q = (q.withColumn("_j", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                 F.least(F.lit(k), F.col("_n")).cast("bigint") - 1)))
-          .withColumn("_slot", F.pmod(start + F.col("_j"), F.col("_n")))
-          .drop("_j", "_n"))
-    return q.join(slotted, keys + ["_slot"], "inner").drop("_slot").withColumn("_spec", F.lit(spec))
+    """(id, neg id): a uniform subset of min(k, n) slots of its key group for each
+    positive of ``pos`` (which carries the key columns and ``id_col``)."""
+    q = pos.join(sizes, keys, "inner").withColumn("_m", F.least(F.lit(k).cast("bigint"), F.col("_n")))
+    slots = floyd(F.col("_n"), F.col("_m"), lambda i: hash_int(F.lit(seed), F.lit(spec), F.col(id_col), i))
+    q = q.select(id_col, *keys, F.explode(slots).alias("_slot"))
+    return q.join(slotted, keys + ["_slot"], "inner").select(id_col, "neg_" + id_col)
 
 
 def _pool(data: DataFrame, aux: list[DataFrame] | None, label: str) -> DataFrame:
@@ -92,35 +100,53 @@ def _pool(data: DataFrame, aux: list[DataFrame] | None, label: str) -> DataFrame
     return pool.filter(F.col(label) == 0)
 
 
+def ladder_pairs(pos: DataFrame, pool: DataFrame, k: int = 3, seed: int = 7, id_col: str = "post_id",
+                 buckets: int = 1024) -> DataFrame:
+    """S1 as (id, neg id): only ids and keys are slotted, drawn and shuffled."""
+    specs = dict(LADDER_SPECS)
+    keys = sorted({c for ks in specs.values() for c in ks})
+    pos, pool = pos.select(id_col, *keys), pool.select(id_col, *keys)
+    slots = {name: slot_pool(pool, ks, seed, id_col, buckets) for name, ks in LADDER_SPECS}
+    s3, n3 = slots["k3"]
+    pos_n = pos.join(n3.withColumnRenamed("_n", "_n1"), KEYS3, "left").withColumn("_n1", F.coalesce(F.col("_n1"), F.lit(0)))
+    rich = pos_n.filter(F.col("_n1") >= k).drop("_n1")
+    poor = pos_n.filter(F.col("_n1") < k).drop("_n1")
+    # positives with enough 3-key candidates: k draws from that group
+    direct = draw(rich, s3, n3, KEYS3, "k3", k, seed, id_col)
+    # the rest: all 3-key candidates and up to k per fallback spec, then the k first by pair hash
+    cand = reduce(lambda a, b: a.unionByName(b), [draw(poor, *slots[name], ks, name, k, seed, id_col) for name, ks in LADDER_SPECS])
+    neg_id = "neg_" + id_col
+    w = Window.partitionBy(id_col).orderBy(hash_int(F.lit(seed), F.col(id_col), F.col(neg_id)), F.col(neg_id))
+    picked = cand.distinct().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+    return direct.unionByName(picked)
+
+
+def fallback_pairs(pos: DataFrame, pool: DataFrame, k: int = 10, seed: int = 7, id_col: str = "post_id",
+                   buckets: int = 1024) -> DataFrame:
+    """S2 as (id, neg id)."""
+    pos, pool = (d.select(id_col, *KEYS3, "stock_code") for d in (pos, pool))
+    s3, n3 = slot_pool(pool, KEYS3, seed, id_col, buckets)
+    ss, ns = slot_pool(pool, ["stock_code"], seed, id_col, buckets)
+    with3 = pos.join(n3.select(*KEYS3), KEYS3, "left_semi")
+    without = pos.join(n3.select(*KEYS3), KEYS3, "left_anti")
+    return draw(with3, s3, n3, KEYS3, "k3", k, seed, id_col).unionByName(
+        draw(without, ss, ns, ["stock_code"], "stock", k, seed, id_col))
+
+
+def pair_rows(pairs: DataFrame, pos: DataFrame, pool: DataFrame, id_col: str = "post_id") -> DataFrame:
+    """The columns of both sides, joined once to the drawn id pairs."""
+    neg = pool.select(*[F.col(c).alias("neg_" + c) for c in pool.columns])
+    return pairs.join(pos, id_col).join(neg, "neg_" + id_col)
+
+
 def sample_negatives_ladder(data: DataFrame, aux: list[DataFrame] | None = None, k: int = 3,
                             seed: int = 7, id_col: str = "post_id", label: str = "viral",
                             buckets: int = 1024) -> DataFrame:
     """S1. Positives of ``data``; pool = negatives of ``data`` ∪ ``aux``.
     Output: positive columns + ``neg_``-prefixed negative columns, at most k
     rows per positive (fewer only when all three specs together have fewer)."""
-    pos = data.filter(F.col(label) == 1)
-    pool = _pool(data, aux, label)
-    neg_id = "neg_" + id_col
-    slots = {name: slot_pool(pool, keys, seed, id_col, buckets) for name, keys in LADDER_SPECS}
-
-    s3, n3 = slots["k3"]
-    pos_n = pos.join(n3.withColumnRenamed("_n", "_n1"), KEYS3, "left") \
-               .withColumn("_n1", F.coalesce(F.col("_n1"), F.lit(0)))
-    pos_cols = pos.columns
-    rich = pos_n.filter(F.col("_n1") >= k).select(*pos_cols)
-    poor = pos_n.filter(F.col("_n1") < k).select(*pos_cols)
-
-    # positives with enough 3-key candidates: k draws from that group
-    direct = draw(rich, s3, n3, KEYS3, "k3", k, seed, id_col).drop("_spec")
-
-    # the rest: all 3-key candidates ∪ up to k per fallback spec, then k by pair hash
-    cands = [draw(poor, *slots[name], keys, name, k, seed, id_col) for name, keys in LADDER_SPECS]
-    cand = reduce(lambda a, b: a.unionByName(b), cands).drop("_spec")
-    w = Window.partitionBy(id_col).orderBy(hash_int(F.lit(seed), F.col(id_col), F.col(neg_id)),
-                                           F.col(neg_id))
-    picked = (cand.withColumn("_r", F.dense_rank().over(w)).filter(F.col("_r") <= k).drop("_r")
-                  .dropDuplicates([id_col, neg_id]))
-    return direct.unionByName(picked)
+    pos, pool = data.filter(F.col(label) == 1), _pool(data, aux, label)
+    return pair_rows(ladder_pairs(pos, pool, k, seed, id_col, buckets), pos, pool, id_col)
 
 
 def sample_negatives_fallback(data: DataFrame, aux: list[DataFrame] | None = None, k: int = 10,
@@ -128,17 +154,8 @@ def sample_negatives_fallback(data: DataFrame, aux: list[DataFrame] | None = Non
                               buckets: int = 1024) -> DataFrame:
     """S2. Negatives sharing the three keys if there are any, else sharing
     the stock code; positives with neither are skipped; at most k each."""
-    pos = data.filter(F.col(label) == 1)
-    pool = _pool(data, aux, label)
-    s3, n3 = slot_pool(pool, KEYS3, seed, id_col, buckets)
-    ss, ns = slot_pool(pool, ["stock_code"], seed, id_col, buckets)
-    pos_cols = pos.columns
-    pos_n = pos.join(n3.withColumnRenamed("_n", "_n1"), KEYS3, "left")
-    with3 = pos_n.filter(F.col("_n1").isNotNull()).select(*pos_cols)
-    without = pos_n.filter(F.col("_n1").isNull()).select(*pos_cols)
-    a = draw(with3, s3, n3, KEYS3, "k3", k, seed, id_col)
-    b = draw(without, ss, ns, ["stock_code"], "stock", k, seed, id_col)
-    return a.unionByName(b).drop("_spec")
+    pos, pool = data.filter(F.col(label) == 1), _pool(data, aux, label)
+    return pair_rows(fallback_pairs(pos, pool, k, seed, id_col, buckets), pos, pool, id_col)
 
 
 def shortage(pairs: DataFrame, positives: DataFrame, k: int, id_col: str = "post_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..operators import relational as Rel
 from ..operators import sampling as S
 from ..operators.splits import chrono_split, random_split, rounds_assignment, sample_n, take_split, union_all
 from ..sources import adapters as A
@@ -46,13 +47,14 @@ def _draw_sql(name, keys, k, src):
     on_g = " AND ".join(f"p.{c} = g.{c}" for c in keys)
     on_s = " AND ".join(f"q.{c} = s.{c}" for c in keys)
     kp = ", ".join(f"p.{c}" for c in keys)
-    kq = ", ".join(keys)
+    t = f"""{h(f"'{SEED}|{name}|' || CAST(p.post_id AS VARCHAR) || '|' || CAST(x[1] AS VARCHAR)")} % (g._n - least({k}, g._n) + x[1])"""
+    top = f"g._n - least({k}, g._n) + x[1] - 1"
     return f"""q_{name}_{src} AS (
-  SELECT pos_id, {kq}, (_start + j) % _n AS _slot FROM (
-    SELECT p.post_id AS pos_id, {kp}, g._n,
-           {h(f"'{SEED}|{name}|' || CAST(p.post_id AS VARCHAR)")} % g._n AS _start,
-           unnest(range(0, least({k}, g._n))) AS j
-    FROM {src} p JOIN size_{name} g ON {on_g})),
+  SELECT p.post_id AS pos_id, {kp}, unnest(list_reduce(
+      list_transform(range(1, least({k}, g._n) + 1), lambda i: [i]),
+      lambda acc, x: list_append(acc, CASE WHEN list_contains(acc, {t}) THEN {top} ELSE {t} END),
+      CAST([] AS BIGINT[]))) AS _slot
+  FROM {src} p JOIN size_{name} g ON {on_g}),
 d_{name}_{src} AS (SELECT q.pos_id, s.neg_id FROM q_{name}_{src} q JOIN slot_{name} s ON {on_s} AND q._slot = s._slot)"""
 
 
@@ -107,7 +109,36 @@ def neg_sample_ladder(spark, sf):
 @query("neg_sample_round2", _ladder_sql(["test1"], ["train", "valid"]))
 def neg_sample_round2(spark, sf):
     """Round 2 training pairs: positives of test1, negatives also from earlier periods."""
-    return _ladder(spark, sf, ["test1"], ["train", "valid"])
+    return _ladder(spark, sf, *_round(2, "train"))
+
+
+def _round(r, role, strict_history=True):
+    """(data splits, auxiliary splits) of a walk-forward round; without
+    ``strict_history`` the pools are the original ones."""
+    pools = C.ROUND_AUX if strict_history else C.ROUND_AUX_AS_ORIGINAL
+    return [s for n, what, s in C.ROUNDS if (n, what) == (r, role)], pools[r, role]
+
+
+@query("neg_sample_valid", _ladder_sql(*_round(1, "valid")))
+def neg_sample_valid(spark, sf):
+    """Validation pairs: positives of the validation period, negatives also from training."""
+    return _ladder(spark, sf, *_round(1, "valid"))
+
+
+@query("neg_sample_round3", _ladder_sql(*_round(3, "train")))
+def neg_sample_round3(spark, sf):
+    return _ladder(spark, sf, *_round(3, "train"))
+
+
+@query("neg_sample_round4", _ladder_sql(*_round(4, "train")))
+def neg_sample_round4(spark, sf):
+    return _ladder(spark, sf, *_round(4, "train"))
+
+
+@query("neg_sample_round4_original", _ladder_sql(*_round(4, "train", False)))
+def neg_sample_round4_original(spark, sf):
+    """Round 4 with the pool of the original study, which leaves test2 out."""
+    return _ladder(spark, sf, *_round(4, "train", strict_history=False))
 
 
 def _fallback_sql(k=C.NEG_PER_POS_FALLBACK):
@@ -140,8 +171,8 @@ FROM (SELECT p.post_id, count(pairs.pos_id) AS m FROM pos p LEFT JOIN pairs ON p
       GROUP BY p.post_id)"""))
 def neg_sample_shortage(spark, sf):
     data = checkpointed(take_split(split_posts(spark, sf, ["train"]), "train").drop("split"))
-    pairs = S.sample_negatives_ladder(data, None, k=C.NEG_PER_POS_LADDER, seed=SEED)
-    return S.shortage(pairs, data.filter(F.col("viral") == 1), C.NEG_PER_POS_LADDER)
+    pos = Rel.positives(data)
+    return S.shortage(S.ladder_pairs(pos, Rel.negatives(data), C.NEG_PER_POS_LADDER, SEED), pos, C.NEG_PER_POS_LADDER)
 
 
 _MATCH_SQL = with_(POSTS, f"data AS {_split_sql(['train'])}") + """,
