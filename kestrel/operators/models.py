@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -155,20 +156,47 @@ def fit_pairwise_ranker(pairs: DataFrame, cols: list[str], reg: float = 0.0, max
 
 
 def ranker_score(model, df: DataFrame, cols: list[str], out: str = "score") -> DataFrame:
-    w = list(model.coefficients.toArray())
+    """Linear score with a fitted ranker or a list of weights."""
+    w = model if isinstance(model, list) else list(model.coefficients.toArray())
     s = sum((F.col(c).cast("double") * F.lit(float(wi)) for c, wi in zip(cols, w)), F.lit(0.0))
     return df.withColumn(out, s)
 
 
-def train_rounds(pairs_by_round: dict, cols: list[str]):
-    """Continual training over walk-forward rounds.  Round r is fitted
-    on the pairs of rounds ≤ r (the cumulative equivalent of warm-starting
-    from round r-1); returns {round: model}."""
-    models, acc = {}, None
+def ranker_steps(pairs: DataFrame, cols: list[str], start: list[float] | None = None, steps: int = 8,
+                 reg: float = 1e-6) -> list[float]:
+    """``steps`` Newton steps on the mean of -log σ(w·(x⁺ − x⁻)) from weights
+    ``start`` (zeros if None).  Each step is one aggregate over the pairs; the
+    driver gets d + d(d+1)/2 sums and solves a d × d system."""
+    d = [(F.col(c).cast("double") - F.col("neg_" + c).cast("double")) for c in cols]
+    x = pairs.select(*[v.alias(f"d{k}") for k, v in enumerate(d)]).na.drop()
+    w = np.zeros(len(cols)) if start is None else np.array(start, float)
+    for _ in range(steps):
+        margin = sum((F.col(f"d{k}") * F.lit(float(v)) for k, v in enumerate(w)), F.lit(0.0))
+        p = 1 / (1 + F.exp(margin))  # derivative of the loss, up to sign
+        both = [(a, b) for a in range(len(cols)) for b in range(a, len(cols))]
+        sums = x.withColumn("_p", p).agg(
+            F.count(F.lit(1)), *[F.sum(F.col(f"d{a}") * F.col("_p")) for a in range(len(cols))],
+            *[F.sum(F.col(f"d{a}") * F.col(f"d{b}") * F.col("_p") * (1 - F.col("_p"))) for a, b in both]).first()
+        n = sums[0]
+        if not n:
+            break
+        grad = np.array(sums[1:1 + len(cols)], float) / n - reg * w
+        hess = np.zeros((len(cols), len(cols)))
+        for (a, b), v in zip(both, sums[1 + len(cols):], strict=True):
+            hess[a, b] = hess[b, a] = v / n
+        w = w + np.linalg.solve(hess + reg * np.eye(len(cols)), grad)
+    return [float(v) for v in w]
+
+
+def train_rounds(pairs_by_round: dict, cols: list[str], steps: int = 3):
+    """Continual training over walk-forward rounds.  Round r starts from the
+    weights of round r-1 and takes a few steps on its own pairs only; returns
+    {round: weights}."""
+    weights, w = {}, None
     for r in sorted(pairs_by_round):
-        acc = pairs_by_round[r] if acc is None else acc.unionByName(pairs_by_round[r])
-        models[r] = fit_pairwise_ranker(acc, cols)
-    return models
+        w = ranker_steps(pairs_by_round[r], cols, w, steps)
+        weights[r] = w
+    return weights
 
 
 def fit_gbt_early_stop(train: DataFrame, valid: DataFrame, label: str = "viral", features: str = "features",

@@ -163,8 +163,8 @@ def pairwise_ranker(spark, sf):
 @query("train_rounds")
 def train_rounds(spark, sf):
     ft = _feature_table(spark, sf)
-    by_round = {1: _feature_pairs(spark, sf, ["train"], table_=ft),
-                2: _feature_pairs(spark, sf, ["test1"], ["train", "valid"], table_=ft)}
+    splits = {r: s for r, role, s in C.ROUNDS if role == "train"}
+    by_round = {r: _feature_pairs(spark, sf, [s], C.ROUND_AUX[r, "train"], table_=ft) for r, s in splits.items()}
     models = ML.train_rounds(by_round, FEATURES)
     rows = []
     for r, m in models.items():
