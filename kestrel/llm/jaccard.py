@@ -18,8 +18,8 @@ collapsed to one class first.  The rest goes in three steps.
    is at most H(x, y).  All members within H of the pivot are one component.
 3. Skipping.  A linked pair in different components shares elements of its
    differences (if d(x) and d(y) were disjoint, one of them would be p itself).  Each difference files only its H + 1 rarest elements (rarest in
-   the cluster first); later positions of the list cannot decide and are skipped,
-   and so are elements that only one member has.  What meets there is verified on
+   the cluster first); elements that only one member has are skipped, and so are
+   positions from which the rest of either difference cannot give enough overlap.  What meets there is verified on
    the differences.  Pairs inside one component are never made.
 
 In a large group of near copies the shared text cancels out of the differences,
@@ -223,10 +223,14 @@ def _resolve(df, classes, shared, text_col, shingle, percent) -> DataFrame:
     el = members.select("p", "rid", "allowed", F.explode("d").alias("e"))
     freq = el.groupBy("p", "e").agg(F.count("*").alias("m"))
     el = el.join(freq, ["p", "e"]).withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("m", "e")))
-    el = el.where((F.col("pos") <= F.col("allowed") + 1) & (F.col("m") >= 2)).select("p", "rid", "e")
+    el = el.where((F.col("pos") <= F.col("allowed") + 1) & (F.col("m") >= 2)).select("p", "rid", "e", "pos")
     name = members.select("rid", "c")
-    side = lambda v: el.join(name, "rid").select("p", "e", F.col("rid").alias(v), F.col("c").alias(f"c{v}"))
-    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy"))).select("x", "y")
+    el = el.join(members.select("rid", "c", "n", "k"), "rid")
+    side = lambda v: el.select("p", "e", F.col("rid").alias(v), *[F.col(c).alias(f"{c}{v}") for c in ("c", "n", "k", "pos")])
+    # skipping by position: if e is the first element that both share, the rest of either bounds the overlap
+    most = 1 + F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
+    enough = 2 * most >= F.col("kx") + F.col("ky") - _allowed(F.col("nx"), F.col("ny"), percent)
+    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & enough).select("x", "y")
     pairs = materialize(pairs.distinct(), "pairs")
     a = members.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
     b = members.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"))
