@@ -63,6 +63,15 @@ GBT_GRID = {"maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1, 0.2], "maxIter": [100
 FOREST_GRID = {"maxDepth": [10, 20, 30], "numTrees": [50, 80, 100, 150, 200]}
 LOGISTIC_CS = [10.0 ** (-4 + 8 * i / 9) for i in range(10)]
 
+# Names and sums of the match-statistics summary.
+SUMMARY_COMBOS = [
+    ("n1", ["neg_count1"]), ("n1+n21", ["neg_count1", "neg_count21"]),
+    ("n1+n22", ["neg_count1", "neg_count22"]), ("n1+n23", ["neg_count1", "neg_count23"]),
+    ("n2", ["neg_count2"]), ("n3", ["neg_count3"]), ("n1+n3", ["neg_count1", "neg_count3"]),
+    ("n21+n3", ["neg_count21", "neg_count3"]), ("n22+n3", ["neg_count22", "neg_count3"]),
+    ("n23+n3", ["neg_count23", "neg_count3"]),
+]
+
 # Model feature lists.
 POST_FEATURES = ["month", "ind_code1_index", "ind_code2_index", "sentiment", "topic"]
 AUTHOR_FEATURES = ["robo_site", "robo_media", "robo_sma",

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import is_in_table
 from .ranking import global_row_number, top_categories
 
 
@@ -126,12 +127,5 @@ def reduce_to_top_n(df: DataFrame, col: str, n: int = 10, other: str = "Others",
     """Keep the n most frequent values (ties by value), others and nulls → ``other``.
     The top table has at most n rows, so broadcasting it is bounded."""
     top = top_categories(df, col, n).select(F.col(col).alias("_top"))
-    j = df.join(F.broadcast(top), F.col(col) == F.col("_top"), "left")
-    return j.withColumn(out or f"{col}_reduced",
-                        F.when(F.col("_top").isNotNull(), F.col(col)).otherwise(F.lit(other))).drop("_top")
-
-
-def assemble(df: DataFrame, cols: list[str], out: str = "features"):
-    """Feature vector for Spark ML."""
-    from pyspark.ml.feature import VectorAssembler
-    return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
+    j = is_in_table(df, col, F.broadcast(top), "_top", "_kept")
+    return j.withColumn(out or f"{col}_reduced", F.when(F.col("_kept"), F.col(col)).otherwise(F.lit(other))).drop("_kept")

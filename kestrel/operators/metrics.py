@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import dcg_term
 from .ranking import before_or_at, global_row_number, kth_row
 
 
@@ -162,11 +163,10 @@ def ndcg(df: DataFrame, y: str = "y", score: str = "score", k=None, key: str = "
     base = df.select(key, F.col(y).cast("double").alias("_y"), F.col(score).alias("_s"))
     n = base.count()
     cut = _cutoff(n, k)
-    gain = F.pow(F.lit(2.0), F.col("_y")) - 1
     pred = _first_ranked(base, [("_s", False), (key, True)], cut)
     ideal = _first_ranked(base, [("_y", False), (key, True)], cut)
-    dcg = pred.filter(F.col("_rn") <= cut).agg(F.sum(gain * _disc(F.col("_rn"))).alias("dcg"))
-    idcg = ideal.filter(F.col("_rn") <= cut).agg(F.sum(gain * _disc(F.col("_rn"))).alias("idcg"))
+    dcg = pred.filter(F.col("_rn") <= cut).agg(F.sum(dcg_term("_y", "_rn")).alias("dcg"))
+    idcg = ideal.filter(F.col("_rn") <= cut).agg(F.sum(dcg_term("_y", "_rn")).alias("idcg"))
     d, i = dcg.first()["dcg"] or 0.0, idcg.first()["idcg"] or 0.0
     spark = df.sparkSession
     return spark.createDataFrame([(float(d / i) if i > 0 else 0.0, int(cut))], "ndcg DOUBLE, k BIGINT")

@@ -214,14 +214,6 @@ def label_top_fraction(df: DataFrame, score: str, fraction: float = 0.01,
     return df.withColumn(out, (F.col(score) >= F.lit(row[score])).cast("int"))
 
 
-def label_first_rows(df: DataFrame, order: Order, fraction: float, out: str) -> DataFrame:
-    """1 for the first ``floor(n * fraction)`` rows in ``order`` (a total order), else 0."""
-    row, n, k = kth_row(df, order, lambda n: int(n * fraction))
-    if row is None:
-        return df.withColumn(out, F.lit(0).cast("int"))
-    return df.withColumn(out, before_or_at(order, row).cast("int"))
-
-
 # ---------------------------------------------------------------- E8 / D15
 
 def argmax_position(values: list[Column]) -> Column:

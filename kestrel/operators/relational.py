@@ -103,7 +103,7 @@ def between_dates(df: DataFrame, col: str, start: str, end: str) -> DataFrame:
 
 def is_in_table(df: DataFrame, col: str, values: DataFrame, value_col: str, out: str = "is_in") -> DataFrame:
     """Membership against a table (a join, not a collected list)."""
-    v = values.select(F.col(value_col).alias("_v")).distinct().withColumn("_hit", F.lit(True))
+    v = dedupe_rows(values.select(F.col(value_col).alias("_v"))).withColumn("_hit", F.lit(True))
     return (df.join(v, F.col(col) == F.col("_v"), "left")
               .withColumn(out, F.coalesce(F.col("_hit"), F.lit(False))).drop("_v", "_hit"))
 
@@ -151,7 +151,7 @@ def enrich_left(df: DataFrame, dim: DataFrame, on: str, fill: dict | None = None
     if small_dim:
         d = F.broadcast(d)
     out = df.join(d, on, "left")
-    return out.na.fill(fill) if fill else out
+    return fill_nulls(out, fill) if fill else out
 
 
 def enrich_multi(df: DataFrame, dim: DataFrame, left_on: str, right_on: str) -> DataFrame:

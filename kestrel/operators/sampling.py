@@ -30,7 +30,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import SUMMARY_COMBOS
 from ..functions.hashing import hash_int
+from .relational import join_counts, negatives, positives, sum_columns
 
 KEYS3 = ["item_author", "article_author", "article_source"]
 LADDER_SPECS = [("k3", KEYS3), ("src", ["article_source"]), ("stock", ["stock_code"])]
@@ -97,7 +99,7 @@ def draw(pos: DataFrame, slotted: DataFrame, sizes: DataFrame, keys: list[str],
 def _pool(data: DataFrame, aux: list[DataFrame] | None, label: str) -> DataFrame:
     frames = [data] + list(aux or [])
     pool = reduce(lambda a, b: a.unionByName(b), frames)
-    return pool.filter(F.col(label) == 0)
+    return negatives(pool, label)
 
 
 def ladder_pairs(pos: DataFrame, pool: DataFrame, k: int = 3, seed: int = 7, id_col: str = "post_id",
@@ -179,27 +181,16 @@ def match_statistics(data: DataFrame, id_col: str = "post_id", label: str = "vir
     """Per positive, the number of negatives sharing the 3 keys, each key
     alone (and their sum), the stock code, and the total.  Counts are
     pre-aggregated per key (map-side partial aggregation) and joined back."""
-    pos = data.filter(F.col(label) == 1)
-    neg = data.filter(F.col(label) == 0)
-    out = pos
+    out, neg = positives(data, label), negatives(data, label)
     for name, keys in MATCH_SPECS:
         counts = neg.filter(_not_null(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-        out = out.join(counts, keys, "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
-    out = out.withColumn("neg_count2", F.col("neg_count21") + F.col("neg_count22") + F.col("neg_count23"))
-    out = out.withColumn("total", F.col("neg_count1") + F.col("neg_count2") + F.col("neg_count3"))
+        out = join_counts(out, counts, keys, name)
+    out = out.withColumn("neg_count2", sum_columns(["neg_count21", "neg_count22", "neg_count23"]))
+    out = out.withColumn("total", sum_columns(["neg_count1", "neg_count2", "neg_count3"]))
     return out.select(id_col, "neg_count1", "neg_count21", "neg_count22", "neg_count23",
                       "neg_count2", "neg_count3", "total")
 
 
-SUMMARY_COMBOS = [
-    ("n1", ["neg_count1"]), ("n1+n21", ["neg_count1", "neg_count21"]),
-    ("n1+n22", ["neg_count1", "neg_count22"]), ("n1+n23", ["neg_count1", "neg_count23"]),
-    ("n2", ["neg_count2"]), ("n3", ["neg_count3"]), ("n1+n3", ["neg_count1", "neg_count3"]),
-    ("n21+n3", ["neg_count21", "neg_count3"]), ("n22+n3", ["neg_count22", "neg_count3"]),
-    ("n23+n3", ["neg_count23", "neg_count3"]),
-]
-
-
 def summarize_counts(stats: DataFrame, combos=SUMMARY_COMBOS) -> DataFrame:
     """Mean, median and number of zeros of each count (or sum of two)."""
     exprs = ", ".join(f"'{name}', CAST({' + '.join(cols)} AS DOUBLE)" for name, cols in combos)

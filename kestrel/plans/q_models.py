@@ -21,6 +21,7 @@ from ..session import shared_path
 from ..sources.tables import checkpointed, fingerprint, materialize_once, table, table_path
 from .q_encode_metrics import posts_features, rounded
 from .registry import query
+from .sql import POSTS, SPLIT_CASE, with_
 
 FEATURES = C.POST_FEATURES + C.AUTHOR_FEATURES
 
@@ -59,7 +60,8 @@ def _acc_rows(model, data, label="viral"):
                                       F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")))
 
 
-@query("assemble_features")
+@query("assemble_features", with_(POSTS) + f"""SELECT post_id, CAST({len(FEATURES)} AS BIGINT) AS n_features
+FROM (SELECT post_id, {SPLIT_CASE} AS split FROM posts) WHERE split IS NOT NULL""")
 def assemble_features(spark, sf):
     f = _split_features(spark, sf)
     return f.select("post_id", F.size(vector_to_array("features")).cast("bigint").alias("n_features"))
@@ -234,7 +236,7 @@ def embed_text(spark, sf):
     t = _tok(spark, sf)
     m = ML.fit_embedder(t, "tokens", dim=16)
     e = m.transform(t)
-    return e.select("post_id", F.size(vector_to_array("embedding_vec")).cast("bigint").alias("dims"))
+    return e.select("post_id", vector_to_array("embedding_vec").alias("embedding"))
 
 
 def _vec_split(spark, sf):

@@ -6,12 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions import scalar as S
+from ..operators import metrics as M
 from ..operators import ranking as R
 from ..operators import relational as Rel
 from ..sources import adapters as A
 from ..sources.tables import read_capped, table
 from .registry import query
-from .sql import IND, POSTS, POSTS_BASE, SPLIT_CASE, TEXTS, with_
+from .sql import IND, POSTS, POSTS_BASE, SCORED, SPLIT_CASE, TEXTS, with_
 
 POST_COLS = ["post_id", "item_author", "article_author", "article_source", "stock_code",
              "IndustryCode1", "IndustryCode2", "year", "month", "year_month", "robo_site",
@@ -291,3 +293,26 @@ def rank_capped(spark, sf):
 def rank_prev_month(spark, sf):
     return ranked_posts(spark, sf, lag=1).select("post_id", "item_author_rank", "article_author_rank",
                                                  "article_source_rank")
+
+
+@query("match_filter", with_(POSTS) + """SELECT post_id, item_author, article_source FROM posts
+WHERE article_source = '1-URGENT' AND sentiment = 0 AND topic = 1 AND viral = 0""")
+def match_filter(spark, sf):
+    p = Rel.match_filter(A.posts(spark, sf), {"article_source": "1-URGENT", "sentiment": 0, "topic": 1})
+    return p.select("post_id", "item_author", "article_source")
+
+
+@query("crosstab", with_(SCORED) + """SELECT y, CAST(sum(CAST(pred = 0 AS BIGINT)) AS BIGINT) AS pred_0,
+  CAST(sum(CAST(pred = 1 AS BIGINT)) AS BIGINT) AS pred_1 FROM scored GROUP BY y""")
+def crosstab(spark, sf):
+    """Wide confusion table."""
+    c = M.crosstab(A.scored(spark, sf), "y", "pred", [0, 1])
+    return c.select("y", F.col("0").alias("pred_0"), F.col("1").alias("pred_1"))
+
+
+@query("sigmoid", with_(SCORED) + """SELECT post_id, round(1.0 / (1.0 + exp(-score)), 9) AS p,
+  round(-ln(1.0 / (1.0 + exp(-score)) + 1e-10), 9) AS loss FROM scored""")
+def sigmoid(spark, sf):
+    """σ(score) and -log(σ(score) + ε)."""
+    p = S.sigmoid("score")
+    return A.scored(spark, sf).select("post_id", F.round(p, 9).alias("p"), F.round(-F.log(p + F.lit(1e-10)), 9).alias("loss"))

@@ -11,7 +11,7 @@ from ..sources import adapters as A
 from ..sources.tables import checkpointed, parse_lexicon, table
 from .q_encode_metrics import rounded
 from .registry import query
-from .sql import POSTS, TEXTS, with_
+from .sql import POSTS, TEXTS, h, with_
 
 TOK = r"[\p{L}\p{N}_]+"
 
@@ -24,6 +24,13 @@ def tokenized(spark, sf, reused: bool = False):
     return checkpointed(t) if reused else t
 
 
+def token_lists(spark, sf):
+    """Tokens of the raw and of the cleaned texts in one reading, stored once."""
+    t = T.tokenize(A.titles(spark, sf).select("post_id", "item_title"), "item_title")
+    t = T.tokenize(T.clean_text(t, "item_title", "clean"), "clean", "ctoks")
+    return checkpointed(t.select("post_id", "tokens", "ctoks"))
+
+
 def _stopwords(tok):
     return T.stopwords_from_corpus(tok, "tokens", 50)
 
@@ -89,15 +96,31 @@ s AS (SELECT r.post_id, sum(coalesce(l.score, 0.0)) / count(*) AS v FROM crow r
   LEFT JOIN lex l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM sw) GROUP BY r.post_id)
 SELECT t.post_id, round(coalesce(s.v, 0.0), 6) AS drop_sentiment_score FROM ctoks t LEFT JOIN s ON t.post_id = s.post_id""")
 def lexicon_sentiment_clean_q(spark, sf):
-    # both token lists in one reading of the texts, stored once
-    t = T.tokenize(A.titles(spark, sf).select("post_id", "item_title"), "item_title")
-    t = T.tokenize(T.clean_text(t, "item_title", "clean"), "clean", "ctoks")
-    t = checkpointed(t.select("post_id", "tokens", "ctoks"))
+    t = token_lists(spark, sf)
     sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
     c = T.remove_stopwords(t.select("post_id", "ctoks"), "ctoks", sw, out="ctoks")
     return rounded(T.lexicon_sentiment(c, "post_id", "ctoks", lex, 0.0, out="drop_sentiment_score"))
 
 
+@query("sentiment_comparison", with_(TOKS) + f""", ctoks AS (
+  SELECT post_id, regexp_extract_all(lower({CLEAN_SQL.format(x='item_title')}), '{TOK}') AS toks FROM texts),
+crow AS (SELECT post_id, unnest(toks) AS token FROM ctoks),
+a AS (SELECT r.post_id, sum(coalesce(l.score, 0.0)) / count(*) AS v FROM tok_rows r LEFT JOIN lex l ON r.token = l.word GROUP BY r.post_id),
+b AS (SELECT r.post_id, sum(coalesce(l.score, 0.0)) / count(*) AS v FROM crow r
+  LEFT JOIN lex l ON r.token = l.word WHERE r.token NOT IN (SELECT word FROM sw) GROUP BY r.post_id)
+SELECT t.post_id, round(coalesce(a.v, 0.0), 6) AS sentiment_score, round(coalesce(b.v, 0.0), 6) AS drop_sentiment_score
+FROM toks t LEFT JOIN a ON t.post_id = a.post_id LEFT JOIN b ON t.post_id = b.post_id
+ORDER BY {h("'5|' || CAST(t.post_id AS VARCHAR)")}, t.post_id LIMIT 20""")
+def sentiment_comparison(spark, sf):
+    """Both scores side by side for 20 texts drawn for review."""
+    t = token_lists(spark, sf)
+    sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
+    c = T.remove_stopwords(t, "ctoks", sw, out="ctoks")
+    few = T.sample_pairs_for_review(c, 20, 5, "post_id")
+    raw = T.lexicon_sentiment(few, "post_id", "tokens", lex, 0.0)
+    return rounded(raw.join(T.lexicon_sentiment(few, "post_id", "ctoks", lex, 0.0, out="drop_sentiment_score"), "post_id"))
+
+
 @query("bag_of_words", with_(TOKS) + """, vocab AS (
   SELECT token, row_number() OVER (ORDER BY token) - 1 AS term_id FROM (SELECT DISTINCT token FROM tok_rows))
 SELECT r.post_id, CAST(v.term_id AS BIGINT) AS term_id, CAST(count(*) AS BIGINT) AS n
