@@ -10,7 +10,7 @@ from .mixing import SQL_OP10, op10_mixing
 from .prefix_free import SQL_OP7, op7_prefix_free
 from .quality_rules import op4_quality_rules
 from .sharding import op1_sharding
-from .url_filters import op3_url_filters
+from .url_filters import SQL_OP3, op3_url_filters
 from .weak_labels import op8_quality_classifier
 
 QUERIES = {f.__name__: f for f in (
@@ -18,5 +18,5 @@ QUERIES = {f.__name__: f for f in (
     op5_decontamination, op6_jaccard_join,
     op7_prefix_free, op8_quality_classifier, op9_suffix_automata, op10_mixing)}
 
-ORACLE = {"op2_chat_formatting": SQL_OP2, "op6_jaccard_join": SQL_OP6, "op7_prefix_free": SQL_OP7,
+ORACLE = {"op2_chat_formatting": SQL_OP2, "op3_url_filters": SQL_OP3, "op6_jaccard_join": SQL_OP6, "op7_prefix_free": SQL_OP7,
           "op9_suffix_automata": SQL_OP9, "op10_mixing": SQL_OP10}

@@ -144,3 +144,43 @@ def filter_urls(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SU
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"))
+
+
+_RULE_ROWS = ", ".join(f"('{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in HOST_RULES)
+
+SQL_OP3 = rf"""
+WITH u AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url,
+    CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT r, page_id, url,
+    coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+toks AS (
+  SELECT *, CASE WHEN host = '' THEN [] ELSE list_sort(list_distinct(list_filter(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: 'h:' || array_to_string(string_split(host, '.')[i:], '.'))
+    || ['l:' || string_split(host, '.')[1]]
+    || list_transform(list_filter(regexp_split_to_array(regexp_replace(path, '[0-9]+', '#', 'g'), '[^\p{{L}}\p{{N}}#]+'), lambda x: x <> ''), lambda x: 'p:' || x)
+    || list_transform(list_filter(string_split(regexp_extract(url, '\?([^#]*)', 1), '&'), lambda x: x <> ''), lambda x: 'q:' || split_part(x, '=', 1)),
+    lambda x: x <> 'h:'))) END AS tokens FROM parts),
+lab AS (SELECT doc_id, bool_or(coalesce(toxic = 1, false) OR coalesce(quality = 0, false)) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+train AS (SELECT page_id, tokens, bad FROM (SELECT page_id, any_value(tokens) AS tokens FROM toks GROUP BY page_id) t JOIN lab ON page_id = doc_id),
+n AS (SELECT count(*) AS n FROM train WHERE len(tokens) > 0 OR bad),
+one AS (SELECT page_id, bad, unnest(tokens) AS t FROM train),
+sets AS (
+  SELECT [t] AS s, count(*) AS c, count(*) FILTER (bad) AS b FROM one GROUP BY t
+  UNION ALL SELECT [x.t, y.t], count(*), count(*) FILTER (x.bad) FROM one x JOIN one y ON x.page_id = y.page_id AND x.t < y.t GROUP BY x.t, y.t
+  UNION ALL SELECT [x.t, y.t, z.t], count(*), count(*) FILTER (x.bad) FROM one x JOIN one y ON x.page_id = y.page_id AND x.t < y.t
+    JOIN one z ON x.page_id = z.page_id AND y.t < z.t GROUP BY x.t, y.t, z.t),
+good AS (SELECT s FROM sets, n WHERE b >= greatest(1, ceil({MIN_SUPPORT} * n)) AND CAST(b AS DOUBLE) / c >= {MIN_CONFIDENCE}),
+rules AS (SELECT s FROM good g WHERE NOT EXISTS (SELECT 1 FROM good o WHERE len(o.s) < len(g.s) AND list_has_all(g.s, o.s))),
+hits AS (SELECT tokens, count(*) AS n_rules FROM (SELECT DISTINCT tokens FROM toks) t JOIN rules ON list_has_all(t.tokens, rules.s) GROUP BY tokens),
+fixed(rule, h, p, verdict) AS (VALUES {_RULE_ROWS}),
+fits AS (
+  SELECT toks.r, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM toks JOIN fixed ON (host = h OR suffix(host, '.' || h)) AND prefix(path, p) GROUP BY toks.r)
+SELECT page_id, host, path, fits.rule AS rule,
+  coalesce(fits.verdict, CASE WHEN hits.n_rules IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  CAST(coalesce(hits.n_rules, 0) AS BIGINT) AS n_rules
+FROM toks LEFT JOIN fits ON fits.r = toks.r LEFT JOIN hits ON hits.tokens = toks.tokens
+"""
