@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .repeats import CAP, Unit, remove_repeats, word_kept, word_symbols
+from .repeats import CAP, Unit, remove_repeats, word_kept, word_load, word_ship, word_symbols
 
 WINDOW = 50
 GRAM = 10
@@ -121,7 +121,7 @@ def remove_repeated_words(df: DataFrame, text_col: str = "text", id_col: str = "
                           cap: int = CAP, with_text: bool = False) -> DataFrame:
     """One row per input row: id, key (md5 of the text), n (words), n_removed,
     n_spans, kept_sha256; with_text adds the kept words joined by one space."""
-    unit = Unit(window, min(GRAM, window), word_symbols, word_kept, ordered=True, batch=BATCH_WORDS)
+    unit = Unit(window, min(GRAM, window), word_symbols, word_kept, ordered=True, batch=BATCH_WORDS, ship=word_ship, load=word_load)
     return remove_repeats(df, text_col, id_col, unit, match_statistics, cap, with_text)
 
 

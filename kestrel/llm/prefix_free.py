@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
-from .repeats import CAP, Unit, byte_kept, byte_symbols, remove_repeats, segment_windows
+from .repeats import CAP, Unit, byte_kept, byte_load, byte_ship, byte_symbols, remove_repeats, segment_windows
 
 WINDOW = 200
 GRAM = 24
@@ -45,7 +45,7 @@ def remove_repeated_bytes(df: DataFrame, text_col: str = "text", id_col: str = "
                           cap: int = CAP, with_text: bool = False) -> DataFrame:
     """One row per input row: id, key (md5 of the text), n (bytes), n_removed,
     n_spans, kept_sha256; with_text adds what is left (bytes read as UTF-8)."""
-    unit = Unit(window, min(GRAM, window), byte_symbols, byte_kept, ordered=False, batch=1 << 19)
+    unit = Unit(window, min(GRAM, window), byte_symbols, byte_kept, ordered=False, batch=1 << 18, ship=byte_ship, load=byte_load)
     return remove_repeats(df, text_col, id_col, unit, order_suffixes, cap, with_text)
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .common import bitmap, in_bitmap, materialize
 
-CHUNK = 1 << 19          # bytes of text looked at together
+CHUNK = 1 << 18          # bytes of text looked at together
 CAP = 2000               # different phrases of one anchor that may meet in a task
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -49,12 +49,22 @@ class Unit:
     kept: Callable      # (buf, off, context, keep flag per symbol) -> list of kept bytes per document
     ordered: bool       # True: only texts with a smaller id count as elsewhere
     batch: int          # symbols that the resolver gets at a time (one anchor's phrases stay together)
+    ship: Callable      # (buf, symbols) -> array with one entry per symbol, as it is shuffled
+    load: Callable      # its bytes -> symbols
 
 
 def byte_symbols(buf, off):
     return T._CODES[buf], off, None
 
 
+def byte_ship(buf, sym):
+    return buf
+
+
+def byte_load(raw):
+    return T._CODES[np.frombuffer(raw, np.uint8)]
+
+
 def byte_kept(buf, off, _, keep):
     return [buf[a:b][keep[a:b]].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
 
@@ -64,6 +74,14 @@ def word_symbols(buf, off):
     return T.word_hashes(buf, s, e), first, (s, e, first)
 
 
+def word_ship(buf, sym):
+    return sym
+
+
+def word_load(raw):
+    return np.frombuffer(raw, np.uint64)
+
+
 def word_kept(buf, off, context, keep):
     """Kept words joined by one space, per document."""
     s, e, first = context
@@ -224,20 +242,22 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
 
 
 def _cut(texts: DataFrame, unit: Unit) -> DataFrame:
-    """(a, rid, ord, lo, n windows, needs, sym): the symbol hashes of each wanted phrase."""
+    """(a, rid, ord, lo, n windows, needs, sym): the symbols of each wanted phrase."""
     def run(batches):
         for batch in batches:
             buf, off = T.flat(batch.column(2))
             rid, ord_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             wanted = batch.column(3).to_pylist()
             for i, j in T.chunks(off, CHUNK):
-                sym, first, _ = unit.symbols(buf[off[i]:off[j]], off[i:j + 1] - off[i])
+                part = buf[off[i]:off[j]]
+                sym, first, _ = unit.symbols(part, off[i:j + 1] - off[i])
+                sent = unit.ship(part, sym)
                 out = [[], [], [], [], [], [], []]
                 for r in range(i, j):
                     for p in wanted[r]:
                         at = int(first[r - i]) + p["lo"]
                         for col, v in zip(out, (p["a"], rid[r], ord_[r], p["lo"], p["hi"] - p["lo"], p["needs"],
-                                                sym[at:at + p["hi"] - p["lo"] + unit.window - 1].tobytes()), strict=True):
+                                                sent[at:at + p["hi"] - p["lo"] + unit.window - 1].tobytes()), strict=True):
                             col.append(v)
                         if len(out[0]) >= 512:
                             yield _segment_batch(out)
@@ -266,16 +286,12 @@ def segment_windows(segments, unit: Unit):
     return wh[at], seg[at], at - first[seg[at]]
 
 
-def _symbols(raw, unit):
-    return np.frombuffer(raw, np.uint64)
-
-
 def _windows(unit: Unit):
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            segs = [_symbols(x, unit) for x in b.column(6).to_pylist()]
+            segs = [unit.load(x) for x in b.column(6).to_pylist()]
             h, s, w = segment_windows(segs, unit)
             lo = b.column(3).to_numpy()[s] + w
             yield pa.RecordBatch.from_arrays(
@@ -302,7 +318,7 @@ def _batched(resolve: Callable, unit: Unit):
                 if size >= unit.batch and group[-1][0] != a:
                     yield settle(group)
                     group, size = [], 0
-                seg = _symbols(raw, unit)
+                seg = unit.load(raw)
                 group.append((a, rid, ord_, lo, needs, seg))
                 size += len(seg)
         if group:
