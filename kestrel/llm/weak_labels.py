@@ -19,7 +19,7 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +28,7 @@ from .common import let, materialize, private, read, word_array
 
 FIT_LIMIT = 12_000   # rows of the training sample
 FEATURES = 1 << 15
-THRESHOLD = 0.5
+THRESHOLD = 0.33  # a document goes only when it leans clearly to bad
 GOOD, BAD, ABSTAIN = "g", "b", "-"
 N_LABELLERS = 8
 BALANCE = 0.5          # class prior of the label model
@@ -99,11 +99,17 @@ def fit_label_model(patterns: dict[str, int], balance: float = BALANCE, rounds:
     return {"accuracy": accuracy, "posterior": post}
 
 
+def _features(df: DataFrame, words: str, out: str, tf: str) -> DataFrame:
+    """Hashed words, present or not, scaled to length 1 whatever the text's length."""
+    df = HashingTF(inputCol=words, outputCol=tf, numFeatures=FEATURES, binary=True).transform(df)
+    return Normalizer(inputCol=tf, outputCol=out, p=2.0).transform(df)
+
+
 def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD,
                      fit_limit: int = FIT_LIMIT, seed: str = "weak-1") -> DataFrame:
     """df with votes, posterior (label model), score (linear scorer), kept."""
     df = df.drop(*[c for c in ("votes", "posterior", "score", "kept") if c not in (text_col, id_col)])
-    w, x, raw, prob, pred = private(df, "words", "x", "raw_score", "prob", "pred")
+    w, x, tf, raw, prob, pred = private(df, "words", "x", "tf", "raw_score", "prob", "pred")
     text = F.col(f"`{text_col}`").cast("string")
     def read_text(t):
         """(words, votes) of a text, as a one-row generator: evaluated once, whatever filters follow."""
@@ -119,21 +125,22 @@ def classify_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_i
     ident = F.concat_ws("|", F.lit(seed), F.col(f"`{id_col}`").cast("string"))
     sample = df.select(F.xxhash64(ident).alias("h"), text.alias("t")).orderBy("h", F.xxhash64("t")).limit(fit_limit)
     sample = sample.repartition(16).select(read_text(F.col("t"))).withColumn("posterior", posterior)
+    # where every labeller abstains there is nothing to learn from
+    sample = sample.where(F.col("votes") != ABSTAIN * N_LABELLERS)
     sample = materialize(sample.select(w, "posterior"), "weak-sample")
-    hashing = HashingTF(inputCol=w, outputCol="x", numFeatures=FEATURES, binary=True)
-    both = hashing.transform(sample).select("x", F.explode(F.array(
+    both = _features(sample, w, "x", tf).select("x", F.explode(F.array(
         F.struct(F.lit(1.0).alias("label"), F.col("posterior").alias("weight")),
         F.struct(F.lit(0.0).alias("label"), (1 - F.col("posterior")).alias("weight")))).alias("y"))
     both = materialize(both.select("x", "y.label", "y.weight").where("weight > 0"), "weak-train")
     mass = {r["label"]: r["w"] for r in both.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
     if min(mass.get(0.0, 0.0), mass.get(1.0, 0.0)) < 1e-6:  # one class only: the posterior is all there is
         return d.withColumn("score", F.col("posterior")).withColumn("kept", F.col("score") >= threshold).drop(w)
-    scorer = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=40, regParam=0.001,
+    scorer = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=40, regParam=0.0002,
                                 standardization=False, rawPredictionCol=raw, probabilityCol=prob,
                                 predictionCol=pred).fit(both)
-    d = HashingTF(inputCol=w, outputCol=x, numFeatures=FEATURES, binary=True).transform(d)
+    d = _features(d, w, x, tf)
     d = scorer.setFeaturesCol(x).transform(d).withColumn("score", F.get(vector_to_array(prob), F.lit(1)))
-    return d.withColumn("kept", F.col("score") >= threshold).drop(w, x, raw, prob, pred)
+    return d.withColumn("kept", F.col("score") >= threshold).drop(w, x, tf, raw, prob, pred)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
