@@ -215,10 +215,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_
     docs = docs.drop(*[c for c in ("items", "n_windows", "contaminated") if c not in (text_col, id_col)])
     leaks = find_leaks(docs, bench, text_col, id_col).groupBy("doc", "text_hash").agg(
         F.array_sort(F.collect_set("item")).alias("items"), F.sum("windows").alias("n_windows"))
-    d, t = private(docs, "leak_doc", "leak_text")
+    d, t, own_d, own_t = private(docs, "leak_doc", "leak_text", "own_doc", "own_text")
     leaks = leaks.withColumnsRenamed({"doc": d, "text_hash": t})
-    on = [F.col(f"`{id_col}`").cast("string").eqNullSafe(F.col(d)), F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(t)]
-    out = docs.join(leaks, on, "left").drop(d, t)
+    # the hash is a column of its own, so the join moves the text only if the caller wants it
+    docs = docs.withColumns({own_d: F.col(f"`{id_col}`").cast("string"), own_t: F.xxhash64(F.col(f"`{text_col}`").cast("string"))})
+    out = docs.join(leaks, F.col(own_d).eqNullSafe(F.col(d)) & (F.col(own_t) == F.col(t)), "left").drop(d, t, own_d, own_t)
     return out.withColumns({"items": F.coalesce("items", F.array().cast("array<string>")),
                             "n_windows": F.coalesce("n_windows", F.lit(0)).cast("long"),
                             "contaminated": F.col("n_windows").isNotNull()})
