@@ -44,8 +44,11 @@ def votes(text: Column, words: Column) -> Column:
     n = F.size(words)
     chars = F.length(F.array_join(words, ""))
     share = lambda test: F.size(F.filter(words, test))
-    marked = share(lambda w: w.rlike(r"[#*$%&|<>]"))
-    loud = share(lambda w: w.endswith("!!") | ((w == F.upper(w)) & (w != F.lower(w)) & (F.length(w) > 2)))
+    # whole-text counts are cheaper than a test per word
+    marked = F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))
+    shouts = F.floor((F.length(t) - F.length(F.replace(t, F.lit("!!"), F.lit("")))) / 2)
+    capitals = F.length(t) - F.length(F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
+    loud = F.greatest(shouts, F.floor(capitals / 5))
     stutter = share(lambda w, i: w == F.get(words, i - 1))
     kinds = F.size(F.array_distinct(words))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -59,10 +62,10 @@ def votes(text: Column, words: Column) -> Column:
 
     def cast(v):
         m, l, s, k, c, x = (v[f] for f in ("m", "l", "s", "k", "c", "x"))
-        prose = ((n >= 20) & (m * 20 <= n) & (l * 20 <= n) & (s * 20 <= n) & (c >= 3.5 * n) & (c <= 10 * n)
+        prose = ((n >= 20) & (m * 20 <= n) & (l * 10 <= n) & (s * 20 <= n) & (c >= 3.5 * n) & (c <= 10 * n)
                  & (x["ended"] * 2 > x["n"]) & (x["kinds"] * 10 > x["n"] * 9))
         return F.concat(
-            bad(m * 10 > n), bad(l * 5 > n), bad(s * 10 > n), bad((x["n"] - x["kinds"]) * 3 > x["n"]),
+            bad(m * 5 > n), bad(l * 5 > n), bad(s * 10 > n), bad((x["n"] - x["kinds"]) * 3 > x["n"]),
             bad((n >= 20) & (x["ended"] * 3 < x["n"])), bad((c < 2 * n) | (c > 14 * n)),
             bad((n >= 50) & (k * 4 < n)), F.when(prose, GOOD).otherwise(ABSTAIN))
 
