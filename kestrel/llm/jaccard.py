@@ -230,7 +230,8 @@ def _resolve(df, classes, shared, text_col, shingle, percent) -> DataFrame:
     # skipping by position: if e is the first element that both share, the rest of either bounds the overlap
     most = 1 + F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
     enough = 2 * most >= F.col("kx") + F.col("ky") - _allowed(F.col("nx"), F.col("ny"), percent)
-    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & enough).select("x", "y")
+    close = F.abs(F.col("kx") - F.col("ky")) <= _allowed(F.col("nx"), F.col("ny"), percent)  # |x ^ y| is no less
+    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & enough & close).select("x", "y")
     pairs = materialize(pairs.distinct(), "pairs")
     a = members.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
     b = members.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"))
