@@ -213,9 +213,9 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
         settled = hits.join(found.where("n >= 2").select("a", "b"), ["a", "b"])
         needs = F.col("n") == 1
     settled = settled.select(hits.rid, hits.lo, hits.hi)
-    several = found.groupBy("a").agg(F.count("*").alias("kinds"), F.max(needs.cast("int")).alias("open")).where("kinds >= 2 and open = 1")
-    mixed = found.join(several.select("a", "kinds"), "a").select(
-        "a", "kinds", "who.rid", "who.ord", "who.lo", "who.hi", needs.alias("needs"))
+    several = found.groupBy("a").agg(F.count("*").alias("kinds"), F.max(needs.cast("int")).alias("open"), F.min("who.ord").alias("lowest"))
+    mixed = found.join(several.where("kinds >= 2 and open = 1").select("a", "kinds", "lowest"), "a").select(
+        "a", "b", "n", "kinds", "lowest", "who.rid", "who.ord", "who.lo", "who.hi", needs.alias("needs"))
     mixed = materialize(mixed, "mixed")
 
     def segments(part: DataFrame) -> DataFrame:
@@ -226,14 +226,18 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
     parts = [settled]
     if not mixed.isEmpty():
         cold = segments(mixed.where(F.col("kinds") <= cap)).repartition("a").sortWithinPartitions("a", "ord")
-        parts.append(cold.mapInArrow(_batched(resolve, unit), "rid long, lo int, hi int"))
+        alone = cold.mapInArrow(_batched(resolve, unit), "rid long, start int, lo int, hi int")
         hot = mixed.where(F.col("kinds") > cap)
         if not hot.isEmpty():
-            wins = materialize(segments(hot).mapInArrow(_windows(unit), "h long, rid long, ord long, lo int, needs boolean"), "windows")
+            wins = materialize(segments(hot).mapInArrow(_windows(unit), "h long, rid long, ord long, start int, lo int, needs boolean"), "windows")
             seen = wins.groupBy("h").agg(F.count("*").alias("n"), F.min("ord").alias("lowest"))
             met = wins.where("needs").join(seen.where("n >= 2"), "h")
             met = met.where(F.col("lowest") < F.col("ord")) if unit.ordered else met
-            parts.append(met.select("rid", "lo", (F.col("lo") + 1).alias("hi")))
+            alone = alone.union(met.select("rid", "start", "lo", (F.col("lo") + 1).alias("hi")))
+        if unit.ordered:
+            alone = materialize(alone, "resolved")
+            parts.append(_twins(hits, mixed, alone))
+        parts.append(alone.select("rid", "lo", "hi"))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.union(p)
@@ -241,6 +245,17 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
     return rows, classes, materialize(spans, "spans")
 
 
+def _twins(hits: DataFrame, mixed: DataFrame, alone: DataFrame) -> DataFrame:
+    """(rid, lo, hi): windows found for the first holder of a phrase, in its other
+    holders of the same ord.  Holders of the anchor's lowest ord have none."""
+    who = mixed.where((F.col("n") >= 2) & (F.col("ord") > F.col("lowest"))).select(
+        "a", "b", "ord", F.col("rid").alias("who"), F.col("lo").alias("start"))
+    same = hits.join(who, ["a", "b", "ord"]).where((F.col("rid") != F.col("who")) | (F.col("lo") != F.col("start")))
+    same = same.select("who", "start", "rid", (F.col("lo") - F.col("start")).alias("shift"))
+    met = alone.withColumnRenamed("rid", "who").join(same, ["who", "start"])
+    return met.select("rid", (F.col("lo") + F.col("shift")).alias("lo"), (F.col("hi") + F.col("shift")).alias("hi"))
+
+
 def _cut(texts: DataFrame, unit: Unit) -> DataFrame:
     """(a, rid, ord, lo, n windows, needs, sym): the symbols of each wanted phrase."""
     def run(batches):
@@ -295,8 +310,8 @@ def _windows(unit: Unit):
             h, s, w = segment_windows(segs, unit)
             lo = b.column(3).to_numpy()[s] + w
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), b.column(1).take(pa.array(s)), b.column(2).take(pa.array(s)),
-                 pa.array(lo, pa.int32()), b.column(5).take(pa.array(s))], names=["h", "rid", "ord", "lo", "needs"])
+                [pa.array(h.view(np.int64)), b.column(1).take(pa.array(s)), b.column(2).take(pa.array(s)), b.column(3).take(pa.array(s)),
+                 pa.array(lo, pa.int32()), b.column(5).take(pa.array(s))], names=["h", "rid", "ord", "start", "lo", "needs"])
     return run
 
 
@@ -306,9 +321,9 @@ def _batched(resolve: Callable, unit: Unit):
     def settle(group):
         a, rid, ord_, lo, needs, segs = (list(c) for c in zip(*group, strict=True))
         s, w = resolve(segs, a, np.array(ord_, np.int64), np.array(needs, bool), unit)
-        lo = np.array(lo, np.int64)[s] + w
-        return pa.RecordBatch.from_arrays([pa.array(np.array(rid, np.int64)[s]), pa.array(lo, pa.int32()), pa.array(lo + 1, pa.int32())],
-                                          names=["rid", "lo", "hi"])
+        start = np.array(lo, np.int64)[s]
+        return pa.RecordBatch.from_arrays([pa.array(np.array(rid, np.int64)[s]), pa.array(start, pa.int32()), pa.array(start + w, pa.int32()),
+                                           pa.array(start + w + 1, pa.int32())], names=["rid", "start", "lo", "hi"])
 
     def run(batches):
         group, size = [], 0
