@@ -5,7 +5,8 @@ returns a DataFrame, which run() writes as Parquet to the shared folder and read
 again as the next stage's docs.  All but the last return the columns of documents.
 
 1. quality_rules: documents that the base rules or the n-gram score reject go.
-2. near_duplicates: one document of each group of similar documents stays.
+2. near_duplicates: one document of each group of similar documents (Jaccard of
+   five-word shingles 0.8 or more) stays.
 3. decontaminate: documents that hold a benchmark item go.
 4. mix: sources are brought to their target weights by Poisson replication.
 5. shard: everything is put into 16 shards of near-equal bytes, with slots.
@@ -33,7 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    # five-word shingles and 80 %; operator 6's own query has other limits
+    return drop_near_duplicates(docs, shingle=5, percent=80)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,3 +20,25 @@ def test_block_repeated_inside_one_document(spark, cap):
     got = automata.remove_repeated_words(X.frame(spark, rows), cap=cap).select("id", "n", "n_removed", "kept_sha256").collect()
     assert X.by_id(got) == X.by_id(X.word_repeats(rows))
     assert sorted(r["n_removed"] for r in got if r["id"] == 2) == [70, 140]
+
+
+# ---- pipeline, near_duplicates
+
+def test_near_duplicate_stage_limits(spark, sf):
+    """Against all pairs: five-word shingles, linked from 0.8 on."""
+    import random
+
+    import corpus_pipeline as P
+    rng = random.Random(3)
+    w = [[f"w{rng.randrange(5000)}" for _ in range(200)] for _ in range(4)]
+    more = [f"n{k}" for k in range(80)]
+    texts = [w[0], w[0] + more[:30], w[0][:170], w[1], w[1] + more[:60], w[2], [*w[2][:100], "changed", *w[2][101:]],
+             w[3], [x if k % 50 != 25 else "changed" for k, x in enumerate(w[3])]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    low = list(range(len(texts)))
+    for x, y in [(x, y) for y in range(len(texts)) for x in range(y)] * len(texts):
+        if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]):
+            low[x] = low[y] = min(low[x], low[y])
+    got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(low)) == [0, 3, 4, 5, 7]
