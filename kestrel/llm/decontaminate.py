@@ -3,9 +3,10 @@
 Words become template tokens: numbers, names (capitalised inside a sentence) and
 units after a number turn into typed placeholders, all else is lower-cased
 without edge punctuation.  Windows of WINDOW tokens (whole items if shorter) of
-documents and benchmark items are hash-joined; for every (document, item,
-alignment) the slot values of all matching windows must map one to one, so a
-re-parameterised question is caught and a chance match of placeholders is not.
+documents and benchmark items are hash-joined; in a matching window each slot
+value of the item must map to one value of the document, so a re-parameterised
+question is caught and a chance match of placeholders is not.  Windows are judged
+one by one: a clash in one does not void the others.
 
 Before the join a bitmap of BITMAP_BITS bits over the benchmark's window hashes
 (fixed size, built by Spark) drops document windows that cannot match.
@@ -198,16 +199,11 @@ def find_leaks(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col
     cand = src.mapInArrow(run, f"doc string, text_hash long, {_SCHEMA}").distinct()
     theirs = items.select("hash", "item", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots"))
     met = cand.join(theirs, "hash").where(F.size("slots") == F.size("item_slots"))
-    met = met.select("doc", "text_hash", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos",
-                     F.explode_outer(F.arrays_zip("item_slots", "slots")).alias("pair"))
-    key = ["doc", "text_hash", "item", "diagonal"]
-    # a one-to-one map: as many distinct values on either side as distinct pairs
-    maps = met.groupBy(*key, F.col("pair").alias("pair")).agg(F.count("*").alias("c"))
-    own = maps.where("pair is not null").groupBy(*key).agg(
-        F.count("*").alias("pairs"), F.countDistinct("pair.item_slots").alias("lefts"), F.countDistinct("pair.slots").alias("rights"))
-    n = met.groupBy(*key).agg(F.countDistinct("pos").alias("windows"))
-    good = n.join(own, [n[k].eqNullSafe(own[k]) for k in key], "left").where("pairs is null or (pairs = lefts and pairs = rights)")
-    return good.select(n.doc, n.text_hash, n.item, "windows").groupBy("doc", "text_hash", "item").agg(F.sum("windows").alias("windows"))
+    # one item value maps to one value of the document; equal slots always do
+    pairs = F.arrays_zip("item_slots", "slots")
+    met = met.where(F.size(F.array_distinct(pairs)) == F.size(F.array_distinct("item_slots")))
+    met = met.select("doc", "text_hash", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal"), "pos").distinct()
+    return met.groupBy("doc", "text_hash", "item").agg(F.count("*").alias("windows"))
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from kestrel.llm import automata
+from kestrel.llm import automata, decontaminate
 
 from . import fixtures as X
 
@@ -42,3 +42,21 @@ def test_near_duplicate_stage_limits(spark, sf):
             low[x] = low[y] = min(low[x], low[y])
     got = P.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), sf)
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(set(low)) == [0, 3, 4, 5, 7]
+
+
+# ---- op5
+
+def _contaminated(spark, item, texts):
+    docs = X.frame(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    return {r["doc_id"] for r in decontaminate.decontaminate(docs, bench).where("contaminated").collect()}
+
+
+def test_slots_are_judged_per_window(spark):
+    item = "the first of the two trains covers 120 km before it stops at the last station and then goes on for 120 km to the coast"
+    two = "we put 3 red balls and 5 blue balls into the big box"
+    assert _contaminated(spark, item, [item.replace("for 120", "for 999"), item.replace("120", "95")]) == {0, 1}
+    # 3 and 5 become 4 and 4, but equal values of the item may not part
+    assert _contaminated(spark, two, [two.replace("3", "4").replace("5", "4")]) == {0}
+    same = "we put 3 red balls and 3 blue balls into"
+    assert _contaminated(spark, same, [same.replace("3 blue", "7 blue"), same.replace("3", "7")]) == {1}
