@@ -6,13 +6,16 @@ without edge punctuation.  Windows of WINDOW tokens (whole items if shorter) of
 documents and benchmark items are hash-joined; in a matching window each slot
 value of the item must map to one value of the document, so a re-parameterised
 question is caught and a chance match of placeholders is not.  Windows are judged
-one by one: a clash in one does not void the others.
+one by one: a clash in one does not void the others.  Each window is also joined by
+its exact tokens (no placeholders), which finds copies of windows with few literals
+and items whose first word is capitalised inside a sentence of the document.
 
 Before the join a bitmap of BITMAP_BITS bits over the benchmark's window hashes
 (fixed size, built by Spark) drops document windows that cannot match.
 
 Defined cases: null and empty texts and items have no tokens and match nothing;
-items with fewer than MIN_LITERALS literal tokens in each window match nothing;
+items of fewer than MIN_ITEM tokens match nothing; windows with fewer than
+MIN_LITERALS literal tokens match by their exact tokens only;
 windows never cross documents; documents with equal (id, text) share one
 verdict; without benchmark every document is kept; an empty table gives no
 rows; columns named like the outputs are replaced by them.
@@ -41,7 +44,7 @@ UNITS = frozenset("""mm cm m km in ft yd mi mg g kg t lb lbs oz ml l gal s sec s
 minutes h hr hrs hour hours day days week weeks month months year years km/h mph m/s % percent dollar dollars euro
 euros usd eur degree degrees""".split())
 _EDGE = "\"'`´’‘“”«»()[]{}<>.,;:!?¡¿…-–—*_"
-NUM, NAME, UNIT = (int(x) for x in T.mix(np.arange(7001, 7004, dtype=np.uint64)))
+NUM, NAME, UNIT, EXACT = (int(x) for x in T.mix(np.arange(7001, 7005, dtype=np.uint64)))
 
 _SCHEMA = "hash long, pos int, slots array<string>"
 
@@ -94,7 +97,7 @@ class _Canon:
         return np.array([g[0] for g in got], np.uint64), np.array([g[1] for g in got], np.uint8)
 
     def tokens(self, buf, off):
-        """(token hash, literal flag, word spans, first word of each document)."""
+        """(token hash, the same without placeholders, literal flag, word spans, first word of each document)."""
         s, e, first = T.words(buf, off)
         tok = T.word_hashes(buf, s, e)
         n = len(tok)
@@ -118,8 +121,8 @@ class _Canon:
         num = f & 1 > 0
         unit = (f & 2 > 0) & (prev & 1 > 0) & ~num
         name = (f & 4 > 0) & ~num & ~unit & ~start & ~after_break & (prev & 8 == 0)
-        tok = np.where(num, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), tok)))
-        return tok, ~(num | unit | name), (s, e), first
+        slotted = np.where(num, np.uint64(NUM), np.where(unit, np.uint64(UNIT), np.where(name, np.uint64(NAME), tok)))
+        return slotted, tok, ~(num | unit | name), (s, e), first
 
     def core(self, buf, s, e) -> str:
         return _features(buf[s:e].tobytes().decode("utf-8", "replace"))[0].lower()
@@ -130,11 +133,12 @@ def _literals_needed(n: int) -> int:
 
 
 def _windows(canon: _Canon, texts: pa.Array, lengths, keep):
-    """Per window: (row, hash, pos, slots); keep(hashes) filters before slots are read."""
+    """Per window: (row, hash, pos, slots); keep(hashes) filters before slots are
+    read.  A window counts as template, if it has enough literals, and as exact tokens (no slots)."""
     buf, off = T.flat(texts)
     for lo, hi in T.chunks(off, 4 << 20):
         part, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
-        tok, lit, (s, e), first = canon.tokens(part, o)
+        tok, exact, lit, (s, e), first = canon.tokens(part, o)
         slot = ~lit
         ahead = np.cumsum(np.r_[0, lit])
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -142,7 +146,12 @@ def _windows(canon: _Canon, texts: pa.Array, lengths, keep):
             g = T.gram_hashes(tok, n)
             if not len(g):
                 continue
-            ok = (doc[:len(g)] == doc[n - 1:]) & (ahead[n:] - ahead[:-n] >= _literals_needed(n))
+            own_doc = doc[:len(g)] == doc[n - 1:]
+            x = T.mix(T.gram_hashes(exact, n) ^ np.uint64(EXACT))
+            for i in np.flatnonzero(own_doc & keep(x)).tolist():
+                d = doc[i]
+                yield lo + int(d), int(x[i].view(np.int64)), int(i - first[d]), []
+            ok = own_doc & (ahead[n:] - ahead[:-n] >= _literals_needed(n))
             ok &= keep(g)
             for i in np.flatnonzero(ok).tolist():
                 d = doc[i]

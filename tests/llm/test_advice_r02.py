@@ -60,3 +60,10 @@ def test_slots_are_judged_per_window(spark):
     assert _contaminated(spark, two, [two.replace("3", "4").replace("5", "4")]) == {0}
     same = "we put 3 red balls and 3 blue balls into"
     assert _contaminated(spark, same, [same.replace("3 blue", "7 blue"), same.replace("3", "7")]) == {1}
+
+
+def test_exact_windows(spark):
+    dense = "1 2 3 4 5 6 7 8 9 10 11 12"
+    assert _contaminated(spark, dense, [f"see {dense} there", "9 " * 14, "12 11 10 9 8 7 6 5 4 3 2 1"]) == {0}
+    item = "What is the capital of France"
+    assert _contaminated(spark, item, [f"then we asked {item} and waited", "then we asked about the capital of France"]) == {0}
