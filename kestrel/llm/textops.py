@@ -70,21 +70,26 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word index of each document; one longer than documents)."""
-    w = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
-    prev = np.zeros(len(buf), bool)
-    prev[1:] = w[:-1]
-    inner = off[(off > 0) & (off < len(buf))]
+def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first run index of each document; one longer than documents)
+    of the maximal runs of marked bytes; runs end with their document."""
+    prev = np.zeros(len(inside), bool)
+    prev[1:] = inside[:-1]
+    inner = off[(off > 0) & (off < len(inside))]
     prev[inner] = False
-    starts = np.flatnonzero(w & ~prev)
-    nxt = np.zeros(len(buf), bool)
-    nxt[:-1] = w[1:]
+    starts = np.flatnonzero(inside & ~prev)
+    nxt = np.zeros(len(inside), bool)
+    nxt[:-1] = inside[1:]
     nxt[inner - 1] = False
-    ends = np.flatnonzero(w & ~nxt) + 1
+    ends = np.flatnonzero(inside & ~nxt) + 1
     return starts, ends, np.searchsorted(starts, off)
 
 
+def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of bytes outside [\\x20\\x09-\\x0D]."""
+    return runs(~((buf == 32) | ((buf >= 9) & (buf <= 13))), off)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
     out = np.empty(len(starts), dtype=np.uint64)
