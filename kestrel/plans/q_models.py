@@ -11,8 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..functions.hashing import TWO_60, hash_int
 from ..operators import metrics as M
 from ..operators import models as ML
+from ..operators import rankers as R
 from ..operators import sampling as S
 from ..operators import text as T
 from ..operators.splits import chrono_split, random_split
@@ -21,7 +23,7 @@ from ..session import shared_path
 from ..sources.tables import checkpointed, fingerprint, materialize_once, table, table_path
 from .q_encode_metrics import posts_features, rounded
 from .registry import query
-from .sql import POSTS, SPLIT_CASE, with_
+from .sql import POSTS, SPLIT_CASE, h, with_
 
 FEATURES = C.POST_FEATURES + C.AUTHOR_FEATURES
 
@@ -178,6 +180,67 @@ def train_rounds(spark, sf):
     return rounded(spark.createDataFrame(rows, "round INT, n_pairs BIGINT, mean_loss DOUBLE"))
 
 
+@query("bilinear_ranker")
+def bilinear_ranker(spark, sf):
+    """Post vector times author vector, from the linear ranker's weights; the loss of each."""
+    pairs = _feature_pairs(spark, sf, ["train"])
+    linear = ML.ranker_steps(pairs, FEATURES)
+    start = R.mean_loss(R.pair_diffs(pairs, FEATURES), FEATURES, linear)
+    m = R.fit_bilinear(pairs, C.POST_FEATURES, C.AUTHOR_FEATURES, linear)
+    rows = [("linear", start), ("bilinear", R.pair_loss(pairs, m))]
+    return rounded(spark.createDataFrame(rows, "model STRING, mean_loss DOUBLE"))
+
+
+@query("early_stop_ranker")
+def early_stop_ranker(spark, sf):
+    """Epochs until the validation loss has not fallen twice; the best one is kept."""
+    ft = _feature_table(spark, sf)
+    train = _feature_pairs(spark, sf, ["train"], table_=ft)
+    valid = _feature_pairs(spark, sf, ["valid"], C.ROUND_AUX[1, "valid"], table_=ft)
+    got = R.fit_with_patience(train, valid, FEATURES)
+    rows = [(e, a, b, e == got.epoch) for e, a, b in got.history]
+    return rounded(spark.createDataFrame(rows, "epoch INT, train_loss DOUBLE, valid_loss DOUBLE, best BOOLEAN"))
+
+
+@query("walk_forward")
+def walk_forward(spark, sf):
+    """Each round's ranker on the period after it: loss, precision, recall, F1, NDCG."""
+    ft = _feature_table(spark, sf)
+    splits = {r: s for r, role, s in C.ROUNDS if role == "train"}
+    tests = {r: s for r, role, s in C.ROUNDS if role == "test"}
+    train = {r: _feature_pairs(spark, sf, [s], C.ROUND_AUX[r, "train"], table_=ft) for r, s in splits.items()}
+    test = {r: _feature_pairs(spark, sf, [s], table_=ft) for r, s in tests.items()}
+    rounds = spark.createDataFrame(list(tests.items()), "round INT, split STRING")
+    rows = ft.join(F.broadcast(rounds), "split")  # one row per round
+    fill = {c: C.MAX_RANK + 1 if c.endswith("_rank") else -1 for c in FEATURES}
+    rows = rows.na.fill(fill).select("round", "post_id", F.col("viral").alias("y"), *FEATURES)
+    return rounded(R.walk_forward(train, test, rows, FEATURES)[1])
+
+
+@query("round_metrics", with_(POSTS) + f""", s AS (
+  SELECT r.round, post_id, viral AS y, ({h("'s|' || CAST(post_id AS VARCHAR)")}) / 1152921504606846976.0 + 0.3 * viral AS score
+  FROM (SELECT *, {SPLIT_CASE} AS split FROM posts) p
+  JOIN (VALUES {", ".join(f"({r}, '{n}')" for r, role, n in C.ROUNDS if role == "test")}) r(round, split) ON p.split = r.split),
+k AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score DESC, post_id) AS rank, count(*) OVER (PARTITION BY round) AS n,
+  sum(y) OVER (PARTITION BY round) AS positives FROM s),
+l AS (SELECT round, score AS least FROM k WHERE rank = floor(n * {C.TOP_FRACTION}) + 1),
+c AS (
+  SELECT k.round, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, CAST(sum(CAST(score >= least AS INTEGER)) AS BIGINT) AS predicted,
+    sum(y * CAST(score >= least AS INTEGER)) AS tp, avg(CAST(y = CAST(score >= least AS INTEGER) AS DOUBLE)) AS accuracy,
+    sum(CASE WHEN y = 1 THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN rank <= positives THEN 1 / log2(rank + 1) ELSE 0 END) AS idcg
+  FROM k JOIN l ON k.round = l.round GROUP BY k.round),
+m AS (SELECT *, coalesce(tp / nullif(predicted, 0), 0) AS precision, coalesce(tp / nullif(positives, 0), 0) AS recall FROM c)
+SELECT CAST(round AS INTEGER) AS round, n, positives, predicted, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
+  round(coalesce(2 * precision * recall / nullif(precision + recall, 0), 0), 6) AS f1, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg FROM m""")
+def round_metrics(spark, sf):
+    """The test metrics of every round, on stored scores."""
+    p = chrono_split(A.posts(spark, sf), "year_month", C.SPLITS)
+    rounds = spark.createDataFrame([(r, s) for r, role, s in C.ROUNDS if role == "test"], "round INT, split STRING")
+    p = p.join(F.broadcast(rounds), "split")  # one row per round
+    score = hash_int(F.lit("s"), F.col("post_id")) / F.lit(TWO_60) + F.lit(0.3) * F.col("viral")
+    return rounded(R.evaluate_rounds(p.select("round", "post_id", F.col("viral").alias("y"), score.alias("score")), fraction=C.TOP_FRACTION))
+
+
 @query("early_stop")
 def early_stop(spark, sf):
     d = _split_features(spark, sf)
