@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..functions.hashing import hash_int
+from ..sources.tables import checkpointed
 from .ranking import global_row_number
 
 
@@ -65,27 +66,22 @@ def stopwords_from_corpus(df: DataFrame, tokens: str, n: int = 50) -> DataFrame:
     return top_words(df, tokens, n, letters_only=False).select(F.col("token").alias("word"))
 
 
-def remove_stopwords(df: DataFrame, tokens: str, words: DataFrame, out: str | None = None,
-                     most: int = 10_000) -> DataFrame:
-    """Drop stopwords from a token array, keeping order.
+def remove_stopwords(df: DataFrame, tokens: str, words: DataFrame, out: str | None = None) -> DataFrame:
+    """Drop stopwords from a token array, keeping order; repeated rows and ids are
+    rows of their own, a null array stays null.
 
-    Up to ``most`` words travel with the plan as a hash set; a longer list is
-    joined instead (anti-join on exploded tokens, ordered re-collect).  At most
-    ``most`` + 1 words reach the driver.
-    """
+    One way at every size: each row gets a number, its tokens are joined with the
+    stopwords, and the kept positions come back to the row.  Only numbers,
+    positions and tokens are shuffled; the stored numbered rows are read twice."""
     out = out or tokens
-    listed = [r[0] for r in words.select("word").distinct().limit(most + 1).collect()]
-    if len(listed) <= most:
-        if not listed:
-            return df.withColumn(out, F.col(tokens))
-        return df.withColumn(out, F.filter(F.col(tokens), lambda t: ~t.isin(*listed)))
-    id_col = df.columns[0]
-    kept = (explode_tokens(df, id_col, tokens, with_pos=True)
-            .join(words.select(F.col("word").alias("token")), "token", "left_anti")
-            .groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("_k")))
-    kept = kept.select(id_col, F.transform("_k", lambda x: x["token"]).alias("_kept"))
-    return (df.join(kept, id_col, "left")
-              .withColumn(out, F.coalesce(F.col("_kept"), F.array().cast("array<string>"))).drop("_kept"))
+    rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()))
+    stop = words.select(F.col("word").alias("_token")).distinct()
+    gone = rows.select("_row", F.posexplode(tokens).alias("_pos", "_token")).join(stop, "_token", "left_semi")
+    gone = gone.groupBy("_row").agg(F.collect_set("_pos").alias("_gone"))
+    met = rows.join(gone, "_row", "left")
+    kept = F.when(F.col("_gone").isNull(), F.col(tokens)).otherwise(
+        F.filter(F.col(tokens), lambda t, i: ~F.array_contains("_gone", i)))
+    return met.withColumn(out, kept).drop("_row", "_gone")
 
 
 def lexicon_from_corpus(df: DataFrame, tokens: str, min_len: int = 4) -> DataFrame:

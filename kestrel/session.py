@@ -15,6 +15,9 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+#: folders of local sessions that name none, by application id
+_OWN: dict[str, str] = {}
+
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -60,12 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.  Only a local session
     without one gets a folder of its own; a cluster must name it."""
     sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or _OWN.get(sc.applicationId)
     if not d:
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="kestrel-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
+        _OWN[sc.applicationId] = d  # the setting itself is fixed once the session runs
         atexit.register(shutil.rmtree, d, ignore_errors=True)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)

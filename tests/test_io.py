@@ -68,3 +68,34 @@ def test_checkpointed_uses_shared_folder(spark):
     df = IO.checkpointed(spark.range(5).withColumn("y", F.col("id") * 2))
     assert df.count() == 5
     assert spark.conf.get("spark.checkpoint.dir")
+
+
+def test_checkpoint_folder_without_the_setting(spark, monkeypatch):
+    """A local session that names no folder gets one, and keeps it; a cluster has to name it."""
+    from kestrel import session
+
+    class Context:
+        master, applicationId = "local[2]", "app-of-the-test"
+        seen = None
+
+        def getCheckpointDir(self):
+            return self.seen
+
+        def setCheckpointDir(self, d):
+            self.seen = d
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default):
+                return default
+
+    d = session.checkpoint_dir(Session)
+    assert d and session.checkpoint_dir(Session) == d == Session.sparkContext.seen
+    Session.sparkContext = Context()
+    Session.sparkContext.master, Session.sparkContext.applicationId = "spark://host:7077", "another"
+    import pytest
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session)

@@ -93,12 +93,13 @@ def test_pair_rows_obey_the_candidate_rule(spark):
     assert len(got) == 18 and all(len(v) == 3 for v in by.values())
 
 
-def test_stopwords_beyond_the_list_limit(spark):
-    df = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, [])], "id INT, t ARRAY<STRING>")
-    words = spark.createDataFrame([("a",), ("x",), ("y",)], "word STRING")
-    for most in (1, 10):
-        got = {r["id"]: r["k"] for r in T.remove_stopwords(df, "t", words, out="k", most=most).collect()}
-        assert got == {1: ["b", "c"], 2: []}
+def test_stopwords_with_repeated_ids(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, []), (1, ["a", "b"]), (1, ["c", "x"]), (3, None)], "id INT, t ARRAY<STRING>")
+    words = spark.createDataFrame([("a",), ("x",), ("y",), ("a",), (None,)], "word STRING")
+    got = sorted((r["id"], r["k"]) for r in T.remove_stopwords(df, "t", words, out="k").collect() if r["t"] is not None)
+    assert got == [(1, ["b"]), (1, ["b", "c"]), (1, ["c"]), (2, [])]
+    assert [r["k"] for r in T.remove_stopwords(df, "t", words, out="k").where("t IS NULL").collect()] == [None]
+    assert {tuple(r["t"]) for r in T.remove_stopwords(df, "t", words.limit(0)).where("t IS NOT NULL").collect()} == {("a", "b", "c", "a"), (), ("a", "b"), ("c", "x")}
 
 
 def test_dedupe_first_orders_and_nulls(spark):
@@ -108,10 +109,12 @@ def test_dedupe_first_orders_and_nulls(spark):
 
 
 def test_nothing_stays_persisted(spark):
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = held().size()
     df = spark.range(200).select(F.col("id").alias("post_id"), (F.col("id") % 7).cast("double").alias("s"))
     R.global_row_number(df, [("s", False), ("post_id", True)]).count()
     R.kth_row(df, [("s", False), ("post_id", True)], lambda n: 11)
-    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == 0
+    assert held().size() == before
 
 
 def test_assemble_fills_nulls_by_rule(spark):
