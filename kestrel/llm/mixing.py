@@ -59,9 +59,9 @@ def source_rates(df: DataFrame, source_col: str, weights: dict | None = None, al
         for k, v in weights.items():
             w = F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))).otherwise(w)
     n = n.withColumn("weight", w)
-    # sums over the one-row-per-source table, joined back through a constant key
-    total = n.agg(F.sum("weight").alias("all_weight"), F.sum("rows").alias("all_rows")).withColumn("one", F.lit(1))
-    n = n.withColumn("one", F.lit(1)).join(total, "one")
+    # the one-row-per-source table gives two numbers to the driver
+    total = n.agg(F.sum("weight").alias("all_weight"), F.sum("rows").alias("all_rows")).first()
+    n = n.withColumns({c: F.lit(total[c]).cast("double") for c in ("all_weight", "all_rows")})
     goal = F.lit(float(target_rows)) if target_rows is not None else F.col("all_rows").cast("double")
     rate = F.when(F.col("all_weight") > 0, goal * F.col("weight") / F.col("all_weight") / F.col("rows")).otherwise(0.0)
     return n.select("source", "rows", rate.alias("rate"))

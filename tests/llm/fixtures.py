@@ -66,16 +66,16 @@ def lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
 
 
-def shingles(t):
+def shingles(t, n=3):
     w = words(lower(t))
     if not w:
         return frozenset()
-    return frozenset([tuple(w)] if len(w) < 3 else [tuple(w[k:k + 3]) for k in range(len(w) - 2)])
+    return frozenset([tuple(w)] if len(w) < n else [tuple(w[k:k + n]) for k in range(len(w) - n + 1)])
 
 
-def jaccard(rows):
+def jaccard(rows, n=3, percent=90):
     """(id, size, component) per row by comparing all pairs."""
-    sets = [shingles(r[1]) for r in rows]
+    sets = [shingles(r[1], n) for r in rows]
     parent = list(range(len(rows)))
 
     def find(x):
@@ -85,7 +85,7 @@ def jaccard(rows):
     for x in range(len(rows)):
         for y in range(x):
             i = len(sets[x] & sets[y])
-            if sets[x] and 100 * i >= 90 * len(sets[x] | sets[y]):
+            if sets[x] and 100 * i >= percent * len(sets[x] | sets[y]):
                 parent[find(x)] = find(y)
     low = defaultdict(list)
     for k, r in enumerate(rows):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kestrel.llm import queries, weak_labels
+from kestrel.llm.common import materialize
 
 from . import fixtures as X
 
@@ -76,19 +77,19 @@ def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert [n for n, _ in P.STAGES][:2] == ["quality_rules", "near_duplicates"] and len(P.STAGES) == 5
     stage = dict(P.STAGES)
-    good = stage["quality_rules"](spark, docs, sf).cache()
+    good = materialize(stage["quality_rules"](spark, docs, sf), "test")
     assert good.columns == docs.columns
     judged = queries.QUERIES["op4_quality_rules"](spark, sf)
     assert {r["doc_id"] for r in good.collect()} == {r["doc_id"] for r in judged.where("kept").collect()}
-    one = stage["near_duplicates"](spark, good, sf).cache()
+    one = materialize(stage["near_duplicates"](spark, good, sf), "test")
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in X.jaccard(rows)})
-    clean = stage["decontaminate"](spark, one, sf).cache()
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in X.jaccard(rows, 5, 80)})
+    clean = materialize(stage["decontaminate"](spark, one, sf), "test")
     items = [r["text"] for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in one.collect() if not any(t in r["text"] for t in items)}
-    mixed = stage["mix"](spark, clean, sf).cache()
+    mixed = materialize(stage["mix"](spark, clean, sf), "test")
     assert mixed.columns == docs.columns and {r["doc_id"] for r in mixed.collect()} <= {r["doc_id"] for r in clean.collect()}
-    last = P.run(spark, sf).cache()
+    last = materialize(P.run(spark, sf), "test")
     assert last.columns == [*docs.columns, "size", "shard", "slot"]
     key = ["doc_id", "text", "lang", "source", "n_chars"]
     assert last.select(key).exceptAll(mixed.select(key)).count() == 0 and last.count() == mixed.count()
