@@ -211,20 +211,31 @@ def test_mined_rules_match_enumeration(spark):
         toks = sorted({rng.choice("abcdefg") for _ in range(4)})
         rows.append((k, toks, ("a" in toks and "c" in toks) or rng.random() < 0.05))
     df = spark.createDataFrame(rows, "key long, tokens array<string>, bad boolean")
-    rules = url_filters.mine_rules(df.select("tokens", "bad"), 0.02, 0.5)
-    got = {tuple(r["tokens"]): (round(r["support"], 9), round(r["confidence"], 9)) for r in rules.collect()}
+    rules = url_filters.mine_rules(df.select("tokens", "bad"), 8, 0.5, min_lift=1.5)
+    got = {tuple(r["tokens"]): (r["hits"], round(r["confidence"], 9)) for r in rules.collect()}
+    base = sum(b for _, _, b in rows) / 400
     want = {}
     for n in (1, 2, 3):
         for s in itertools.combinations("abcdefg", n):
             own = [b for _, t, b in rows if set(s) <= set(t)]
-            if own and sum(own) >= 0.02 * 400 and sum(own) >= 0.5 * len(own):
-                want[s] = (round(sum(own) / 400, 9), round(sum(own) / len(own), 9))
+            if own and sum(own) >= 8 and sum(own) >= 0.5 * len(own) and sum(own) >= 1.5 * base * len(own):
+                want[s] = (sum(own), round(sum(own) / len(own), 9))
     want = {s: v for s, v in want.items() if not any(set(o) < set(s) for o in want)}
     assert got == want and ("a", "c") in got
     hits = {r["key"]: r["n_rules"] for r in url_filters.match_rules(df.select("key", "tokens"), rules).collect()}
     assert hits == {k: n for k, t, _ in rows if (n := sum(set(s) <= set(t) for s in want))}
 
 
+def test_rules_of_long_urls_and_rare_hosts(spark):
+    """A bad host with few pages among very many gives a rule; long transactions neither blow up nor lose sets."""
+    long = ["t%02d" % k for k in range(40)]
+    rows = [(["h:spam.example"], True)] * 6 + [([*long, "h:long.example"], True)] * 7 + [(["h:ok.example", "t%02d" % (k % 40)], False) for k in range(3000)]
+    rows += [(["t00", "t39"], False)] * 30 + [(["t00", "t20"], False)] * 30
+    rules = {tuple(r["tokens"]) for r in url_filters.mine_rules(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    assert {("h:spam.example",), ("h:long.example",), ("t01", "t39"), ("t20", "t39")} <= rules
+    assert ("t00", "t39") not in rules and ("t00", "t01") in rules and all(len(r) <= 2 for r in rules)
+
+
 # ---- 4
 
 def test_quality_base_counts_and_score(spark, docs):
