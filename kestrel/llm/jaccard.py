@@ -3,14 +3,16 @@
 A document's set is its distinct word shingles (64-bit hashes).  Equal sets are
 collapsed to one class first.  The rest goes in three steps.
 
-1. Index.  The 64-bit hash range is cut into m positions; a class files, for
-   each position, the hash of the part of its set that falls there.  If two sets
-   are similar enough, at most H elements differ, so at least m - H positions hold
-   the same part in both.  Parts of fewer than MIN_PART elements are not filed,
-   unless a set has m - H or more of them.  m depends on the size class; classes
-   overlap, so that any two sets whose sizes allow a link share one.  Lists with
-   one member are skipped.  Classes that share a list, directly or through
-   others, form a cluster: no link leaves it.
+1. Index.  Elements are put into one global order: first those that occur once in
+   the corpus, then the others, each by hash.  Two sets that link share one of
+   their first n - ceil(n * percent / 100) + 1 elements (n: own size), and an element
+   that occurs once is shared by nobody, so a set files only the others among them:
+   block-skipping, most sets file nothing.  Which elements occur again is counted in
+   buckets of 32-bit remainders and kept as a bitmap (its size follows the text, up to
+   MAX_BITS); a wrong mark only moves an element behind the unmarked ones, for all sets
+   alike, so the order stays one order.  Lists are split by size class; classes overlap,
+   so that two sets whose sizes allow a link meet in one.  Sets that share a list,
+   directly or through others, form a cluster: no link leaves it.
 2. Answers from a similar set.  The smallest class of a cluster is its pivot p;
    every member x is compared with p once, on whole sets, and kept as its
    difference d(x) = x ^ p.  From then on whole sets are not needed:
@@ -46,7 +48,9 @@ from .graph import components
 
 SHINGLE = 3
 PERCENT = 90        # link when 100 * intersection >= PERCENT * union
-MIN_PART = 3        # smaller parts say little and are filed only where they must be
+MIN_BITS, MAX_BITS = 1 << 22, 1 << 30  # of the bitmap of elements that occur again
+BUCKET_BYTES = 6 << 20  # text whose elements one bucket counts
+FLUSH = 1 << 20         # elements that a task deals out together
 
 
 def size_classes(percent: int, most: int) -> list[int]:
@@ -90,75 +94,117 @@ def set_key(g: np.ndarray) -> bytes:
     return np.array([a, b ^ np.uint64(len(g))], np.uint64).tobytes()
 
 
-class _Signer:
-    """Part signatures of sets, by size class."""
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        self.bounds = size_classes(percent, 1000)
-        self.cuts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def _family(self, f: int):
-        """(differences allowed, cut points, one salt per position) of size classes f and f + 1."""
-        if f not in self.cuts:
-            allowed = max_difference(2 * (self.bounds[f + 2] - 1), self.percent)
-            m = allowed + 1 + allowed // 8
-            cuts = np.array([(k << 64) // m for k in range(1, m)], np.uint64)
-            self.cuts[f] = allowed, cuts, T.mix(np.arange(m, dtype=np.uint64) + (np.uint64(f) << np.uint64(32)))
-        return self.cuts[f]
-
-    def sign(self, g: np.ndarray) -> np.ndarray:
-        n = len(g)
-        if n == 0:
-            return np.zeros(0, np.int64)
-        if n >= self.bounds[-3]:
-            self.bounds = size_classes(self.percent, 2 * n)
-        k = int(np.searchsorted(self.bounds, n, side="right")) - 1
-        with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum(T.mix(g), out=total[1:])
-            out = []
-            for f in (k - 1, k):
-                if f < 0:
-                    continue
-                allowed, cuts, salt = self._family(f)
-                if not allowed:
-                    continue  # only equal sets link: one class already
-                at = np.concatenate(([0], np.searchsorted(g, cuts), [n]))
-                part = total[at[1:]] - total[at[:-1]]
-                full = at[1:] - at[:-1] >= MIN_PART
-                sig = T.mix(part ^ salt)
-                # with at least (positions - allowed) small parts, only those may be the same
-                out.append(sig if np.count_nonzero(~full) >= len(salt) - allowed else sig[full])
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
-
-
-def _row_signatures(df: DataFrame, text_col: str, id_col: str, shingle: int, percent: int) -> DataFrame:
-    """One row per input row: id, th (hash of the text), n, key, sigs; materialised."""
+def prefix_length(n: int, percent: int) -> int:
+    """Elements that a set of n shows: linked sets share one of them."""
+    return n + (-percent * n) // 100 + 1
+
+
+def _rows(df: DataFrame, text_col: str, id_col: str, shingle: int) -> DataFrame:
+    """One row per input row: id, th (hash of the text), n, key; materialised."""
     text = F.col(f"`{text_col}`").cast("string")
     src = df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
 
     def run(batches):
-        signer = _Signer(percent)
         for b in batches:
-            n, keys, sigs, ends = [], [], [], [0]
-            for g in _sets(b.column(2), shingle):
-                s = signer.sign(g)
-                n.append(len(g))
-                keys.append(set_key(g))
-                sigs.append(s)
-                ends.append(ends[-1] + len(s))
-            flat = np.concatenate(sigs) if sigs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))],
-                names=["id", "th", "n", "key", "sigs"])
+            sets = [(len(g), set_key(g)) for g in _sets(b.column(2), shingle)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([n for n, _ in sets], pa.int64()),
+                                              pa.array([k for _, k in sets], pa.binary())], names=["id", "th", "n", "key"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    rows = src.mapInArrow(run, f"id {kind}, th long, n long, key binary, sigs array<long>")
+    rows = src.mapInArrow(run, f"id {kind}, th long, n long, key binary")
     return materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "sets")
 
 
+def _remainder(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, the next 32 bits) of element hashes; there are 2 ** bits buckets."""
+    return (h >> np.uint64(64 - bits)).astype(np.int32), (h >> np.uint64(32 - bits)).astype(np.uint32)
+
+
+def _mark(bucket, rest: np.ndarray) -> np.ndarray:
+    return T.mix((np.asarray(bucket).astype(np.uint64) << np.uint64(32)) | rest.astype(np.uint64)).view(np.int64)
+
+
+def _again(texts: DataFrame, shingle: int, bits: int) -> DataFrame:
+    """Marks (m long) of the elements that occur in two rows or more (and of a
+    few others that have the same remainder)."""
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            for g in _sets(b.column(0), shingle):
+                held.append(g)
+                size += len(g)
+                if size >= FLUSH:
+                    yield dealt(np.concatenate(held))
+                    held, size = [], 0
+        if size:
+            yield dealt(np.concatenate(held))
+
+    def dealt(h):
+        h, n = np.unique(h, return_counts=True)
+        h = np.sort(np.concatenate((h, h[n > 1])))  # twice is all that counts
+        bucket, rest = _remainder(h, bits)
+        used, first = np.unique(bucket, return_index=True)
+        ends = pa.array(np.append(first, len(h)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(used), pa.ListArray.from_arrays(ends, pa.array(rest.view(np.int32)))], names=["bucket", "v"])
+
+    def found(parts, bucket):
+        v = np.sort(np.concatenate(parts)).view(np.uint32)
+        v = np.unique(v[1:][v[1:] == v[:-1]])
+        return pa.RecordBatch.from_arrays([pa.array(_mark(np.full(len(v), bucket), v))], names=["m"])
+
+    def count(batches):
+        parts, bucket = [], None
+        for b in batches:
+            lists = b.column(1)
+            for r, here in enumerate(b.column(0).to_pylist()):
+                if bucket is not None and here != bucket:
+                    yield found(parts, bucket)
+                    parts = []
+                bucket = here
+                parts.append(lists[r].values.to_numpy())
+        if parts:
+            yield found(parts, bucket)
+
+    packed = texts.mapInArrow(run, "bucket int, v array<int>")
+    return packed.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "m long")
+
+
+def _filed(df: DataFrame, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """(key, sigs): the list keys under which each different set is filed; sets
+    that file nothing are left out."""
+    texts = df.select(F.col(f"`{text_col}`").cast("string").alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = max(3, int(-(-size // BUCKET_BYTES) - 1).bit_length())
+    room = min(MAX_BITS, max(MIN_BITS, 1 << int(size // 8).bit_length()))
+    mask = df.sparkSession.sparkContext.broadcast(bitmap(_again(texts, shingle, bits), "m", room))
+
+    def run(batches):
+        bounds = size_classes(percent, 1000)
+        for b in batches:
+            keys, lists, ends = [], [], [0]
+            for g in _sets(b.column(0), shingle):
+                n = len(g)
+                if not n:
+                    continue
+                again = in_bitmap(mask.value, _mark(*_remainder(g, bits)))
+                take = prefix_length(n, percent) - (n - int(again.sum()))
+                if take <= 0:
+                    continue
+                if n >= bounds[-3]:
+                    bounds = size_classes(percent, 2 * n)
+                family = int(np.searchsorted(bounds, n, side="right")) - 1
+                e = g[again][:take]
+                lists += [T.mix(e ^ np.uint64((f + 1) << 40)) for f in (family - 1, family)]  # a class and its neighbour
+                keys.append(set_key(g))
+                ends.append(ends[-1] + 2 * len(e))
+            flat = np.concatenate(lists).view(np.int64) if lists else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                                             names=["key", "sigs"])
+
+    # copies of one class: any row files the same lists
+    return texts.mapInArrow(run, "key binary, sigs array<long>").groupBy("key").agg(F.first("sigs").alias("sigs"))
+
+
 def _whole_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(rid, n, g array<long>) of the classes in wanted (rid, key): a second
     reading of the texts; a fixed-size bitmap of the wanted keys keeps the others
@@ -190,14 +236,14 @@ def jaccard_components(df: DataFrame, text_col: str = "text", id_col: str = "doc
                        percent: int = PERCENT) -> DataFrame:
     """One row per input row: id, th, n, component (smallest id), keeper (true for
     one row (id, th) of each component)."""
-    rows = _row_signatures(df, text_col, id_col, shingle, percent)
+    rows = _rows(df, text_col, id_col, shingle)
     classes = rows.where("n > 0").groupBy("key").agg(
-        F.min("rid").alias("rid"), F.min(F.struct("id", "th")).alias("low"), F.min("id").alias("min_id"), F.first("sigs").alias("sigs"))
-    entries = classes.select(F.explode("sigs").alias("sig"), "rid")
-    of_list = Window.partitionBy("sig")
-    lists = entries.withColumn("lo", F.min("rid").over(of_list)).withColumn("hi", F.max("rid").over(of_list))
+        F.min("rid").alias("rid"), F.min(F.struct("id", "th")).alias("low"), F.min("id").alias("min_id"))
+    classes = materialize(classes, "classes")
+    entries = _filed(df, text_col, shingle, percent).join(classes.select("key", "rid"), "key").select(F.explode("sigs").alias("sig"), "rid")
+    # a list's smallest member stands for it
+    lists = entries.withColumn("lo", F.min("rid").over(Window.partitionBy("sig")))
     shared = materialize(lists.where("rid != lo").select("rid", "lo").distinct(), "shared")
-    classes = materialize(classes.drop("sigs"), "classes")
     comp = _resolve(df, classes, shared, text_col, shingle, percent)
     named = classes.join(comp, "rid", "left").withColumn("c", F.coalesce("c", "rid"))
     best = named.groupBy("c").agg(F.min("low").alias("first_row"), F.min("min_id").alias("component"))
