@@ -80,7 +80,7 @@ class _Canon:
     """Template tokens of whole batches.  Plain lower-case words are their own
     token; other words are looked at once each and remembered (bounded)."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         self.known: dict[int, tuple[int, int]] = {}
         self.limit = limit
 
@@ -136,7 +136,7 @@ def _windows(canon: _Canon, texts: pa.Array, lengths, keep):
     """Per window: (row, hash, pos, slots); keep(hashes) filters before slots are
     read.  A window counts as template, if it has enough literals, and as exact tokens (no slots)."""
     buf, off = T.flat(texts)
-    for lo, hi in T.chunks(off, 4 << 20):
+    for lo, hi in T.chunks(off, 1 << 20):
         part, o = buf[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         tok, exact, lit, (s, e), first = canon.tokens(part, o)
         slot = ~lit

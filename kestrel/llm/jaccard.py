@@ -50,7 +50,7 @@ SHINGLE = 3
 PERCENT = 90        # link when 100 * intersection >= PERCENT * union
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 30  # of the bitmap of elements that occur again
 BUCKET_BYTES = 6 << 20  # text whose elements one bucket counts
-FLUSH = 1 << 20         # elements that a task deals out together
+FLUSH = 1 << 19         # elements that a task deals out together
 
 
 def size_classes(percent: int, most: int) -> list[int]:
@@ -211,15 +211,29 @@ def _whole_sets(df: DataFrame, wanted: DataFrame, text_col: str, shingle: int) -
     in the Python worker, the join decides exactly."""
     mask = df.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.xxhash64("key").alias("m")), "m"))
 
+    bits = 8 * len(mask.value)
+
+    def out(keys, sets):
+        ends = pa.array(np.cumsum([0, *map(len, sets)]).astype(np.int32))
+        flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(flat))], names=["key", "g"])
+
     def run(batches):
         for b in batches:
-            sets = list(_sets(b.column(0), shingle))
-            keys = [set_key(g) for g in sets]
-            # Spark's xxhash64 of a binary is XXH64 with seed 42
-            hashes = np.array([xxhash.xxh64_intdigest(k, 42) for k in keys], np.uint64).view(np.int64)
-            on = np.flatnonzero(in_bitmap(mask.value, hashes))
-            keys, sets = [keys[k] for k in on], [sets[k].view(np.int64) for k in on]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "g"])
+            keys, sets, size = [], [], 0
+            for g in _sets(b.column(0), shingle):
+                key = set_key(g)
+                # Spark's xxhash64 of a binary is XXH64 with seed 42; bits divides 2 ** 64
+                at = xxhash.xxh64_intdigest(key, 42) % bits
+                if not mask.value[at >> 3] >> (at & 7) & 1:
+                    continue
+                keys.append(key)
+                sets.append(g)
+                size += len(g)
+                if size >= FLUSH // 4:
+                    yield out(keys, sets)
+                    keys, sets, size = [], [], 0
+            yield out(keys, sets)
 
     found = df.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "key binary, g array<long>")
     # copies of one class: any row has the same set
@@ -301,11 +315,14 @@ def drop_near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "d
     i, t, keep = private(df, "keep_id", "keep_th", "keep")
     c = jaccard_components(df, text_col, id_col, **kw).where("keeper")
     # several input rows may be the same (id, text): one stays, unless the text has no words
-    c = c.groupBy(F.col("id").alias(i), F.col("th").alias(t)).agg(F.max(F.col("n") == 0).alias(keep))
+    # 0: the only row; 1: all rows of this (id, text) stay; 2: one of several rows
+    kind = F.when(F.max("n") == 0, 1).when(F.count("*") > 1, 2).otherwise(0)
+    c = c.groupBy(F.col("id").alias(i), F.col("th").alias(t)).agg(kind.alias(keep))
     on = F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(t))
     met = df.join(c, on)
-    many = met.where(keep).drop(i, t, keep)
-    one = met.where(~F.col(keep)).dropDuplicates([i, t]).drop(i, t, keep)
+    # only rows repeated with their id are brought together once more
+    many = met.where(F.col(keep) < 2).drop(i, t, keep)
+    one = met.where(F.col(keep) == 2).dropDuplicates([i, t]).drop(i, t, keep)
     return one.unionByName(many)
 
 
