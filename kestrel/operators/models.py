@@ -284,6 +284,40 @@ def embed_text_with(df: DataFrame, make_predict_fn, input_col: str, dim: int, ba
     return df.withColumn(out, udf(F.col(input_col)))
 
 
+def embed_tokens(df: DataFrame, ids: str, make_encoder, length: int, batch_size: int = 64,
+                 out: str = "embedding") -> DataFrame:
+    """Batch inference over token ids of fixed ``length`` (see ``encode_tokens``).
+
+    ``make_encoder`` is called once per worker and gives a function from an int array
+    (batch, length) to the last hidden states (batch, length, dim); the embedding is their
+    mean over all positions, padded ones included (no mask, as in the study)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    def make_predict_fn():
+        encode = make_encoder()
+        return lambda batch: encode(batch.astype("int64")).mean(axis=1)
+
+    udf = predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size,
+                            input_tensor_shapes=[[length]])
+    return df.withColumn(out, udf(F.col(ids)))
+
+
+def hashed_encoder(dim: int = 8):
+    """An encoder that needs no files: the state of token id t at position p (from 0) is,
+    in dimension d, ((31 t + 17 p + 1) (2 d + 1) mod 1009) / 1009."""
+    def make():
+        import numpy as np
+        odd = 2 * np.arange(dim, dtype=np.int64) + 1
+
+        def encode(ids):
+            place = np.arange(ids.shape[1], dtype=np.int64)
+            state = 31 * ids + 17 * place[None, :] + 1
+            return (state[:, :, None] * odd % 1009) / 1009.0
+        return encode
+    return make
+
+
 def fit_topic_classifier(train: DataFrame, features: str, label: str, n_in: int, n_classes: int,
                          hidden: tuple = (128, 128), max_iter: int = 100, seed: int = 42):
     """Multilayer perceptron n_in → 128 → 128 → classes."""

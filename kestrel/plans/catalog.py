@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLE, QUERIES
 
-_MODULES = ["q_posts", "q_sampling", "q_encode_metrics", "q_text", "q_models", "q_streaming"]
+_MODULES = ["q_posts", "q_sampling", "q_encode_metrics", "q_text", "q_words", "q_models", "q_streaming"]
 
 
 def _load():

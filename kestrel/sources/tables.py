@@ -34,13 +34,6 @@ def read_capped(df: DataFrame, n: int, order: list[str]) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str,
-                   header: bool = True) -> DataFrame:
-    """A4: delimited text with a custom single-character separator, UTF-8."""
-    return (spark.read.schema(schema).option("header", header).option("sep", sep)
-            .option("encoding", "UTF-8").csv(path))
-
-
 def drop_index_columns(df: DataFrame) -> DataFrame:
     """A5: drop stored row-index columns (``Unnamed: 0``, ``Unnamed: 0.1``, ...)."""
     return df.drop(*[c for c in df.columns if c.startswith("Unnamed: ")])
@@ -83,10 +76,38 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "p
 write_report = write_table
 
 
-def write_delimited(df: DataFrame, path: str, sep: str, mode: str = "overwrite") -> None:
-    """Delimited text with a custom separator; values containing the
-    separator are quoted (unlike a hand-joined line)."""
-    df.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", False).csv(path)
+#: Quoting of delimited files: a quote inside a value is doubled, blanks are kept, an
+#: empty string is a quoted one and null an unquoted nothing.
+_DELIMITED = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+              "ignoreTrailingWhiteSpace": False, "nullValue": "", "encoding": "UTF-8"}
+
+
+def write_delimited(df: DataFrame, path: str, sep: str, mode: str = "overwrite", max_records: int = 0) -> None:
+    """Delimited text with a custom separator; values that hold the separator, a
+    quote or a line break are quoted (unlike a hand-joined line).  Files of at most
+    ``max_records`` rows (0: no limit) bound what one reader's task gets, since files
+    with line breaks inside values cannot be split."""
+    w = df.write.mode(mode).options(**_DELIMITED).option("header", True).option("sep", sep).option("emptyValue", '""')
+    w.option("maxRecordsPerFile", max_records).csv(path)
+
+
+def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep: str,
+                   header: bool = True, malformed: str | None = None) -> DataFrame:
+    """A4: delimited text with a custom single-character separator and a declared schema,
+    line breaks inside quoted values included.  With ``malformed`` a record that does not
+    fit the schema keeps its raw text in a column of that name (null for good records).
+    A quoted nothing reads as an empty string, an unquoted one as null; a text that is one
+    NUL character alone reads as empty."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    r = spark.read.options(**_DELIMITED).option("header", header).option("sep", sep).option("emptyValue", "\u0000")
+    r = r.option("multiLine", True).option("mode", "PERMISSIVE")
+    if malformed:
+        schema = StructType(schema.fields).add(malformed, "string")
+        r = r.option("columnNameOfCorruptRecord", malformed)
+    df = r.schema(schema).csv(path)  # the reader takes "" itself for null
+    texts = {f.name for f in schema if f.dataType.simpleString() == "string"} - {malformed}
+    return df.select(*[F.when(F.col(f"`{c}`") == "\u0000", "").otherwise(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`")
+                       for c in df.columns])
 
 
 def file_system(spark: SparkSession, path: str):

@@ -3,9 +3,11 @@ Streaming.
 
 The source is a file stream over the arriving table; each micro-batch is
 scored with the same column expressions a batch job uses (no state, so no
-watermark) and appended to a Parquet sink through ``foreachBatch`` —
-idempotent per batch id, so a restarted query does not duplicate output.
-``trigger(availableNow=True)`` processes everything present and stops.
+watermark) and written to a Parquet sink through ``foreachBatch``, one folder
+per batch id.  ``trigger(availableNow=True)`` processes everything present and
+stops.  Given a stable ``base`` folder a later run goes on where the last one
+ended: it scores the files that are new, and a batch that was written but not
+committed is written over by the same batch id.
 """
 
 from __future__ import annotations
@@ -33,10 +35,13 @@ def run_available_now(stream_df: DataFrame, transform, sink_path: str, ckpt_path
 
 
 def score_new_arrivals(spark: SparkSession, path: str, schema, transform,
-                       max_files_per_trigger: int = 1000) -> DataFrame:
+                       max_files_per_trigger: int = 1000, base: str | None = None) -> DataFrame:
     """Stream a table (a folder of part files or a single file, on any store)
-    through ``transform`` and return the sink as a batch DataFrame."""
-    base = shared_path(spark, f"stream-{uuid.uuid4().hex}")
+    through ``transform`` and return the sink as a batch DataFrame.
+
+    ``base`` holds the checkpoint and the sink; runs that name the same one resume,
+    without it every run starts afresh."""
+    base = base.rstrip("/") if base else shared_path(spark, f"stream-{uuid.uuid4().hex}")
     sink = f"{base}/sink"
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     fs, p = file_system(spark, path)
@@ -48,7 +53,7 @@ def score_new_arrivals(spark: SparkSession, path: str, schema, transform,
     out = transform(stream)
     run_available_now(stream, transform, sink, f"{base}/checkpoint")
     empty = spark.createDataFrame([], out.schema)
-    empty.write.mode("append").parquet(f"{sink}/batch=-1")  # the sink exists even if nothing arrived
+    empty.write.mode("overwrite").parquet(f"{sink}/batch=-1")  # the sink exists even if nothing arrived
     return spark.read.schema(out.schema).parquet(sink).select(*out.columns)
 
 
