@@ -13,9 +13,9 @@ collapsed to one class first.  The rest goes in three steps.
    alike, so the order stays one order.  Lists are split by size class; classes overlap,
    so that two sets whose sizes allow a link meet in one.  Sets that share a list,
    directly or through others, form a cluster: no link leaves it.
-2. Answers from a similar set.  The smallest class of a cluster is its pivot p;
-   every member x is compared with p once, on whole sets, and kept as its
-   difference d(x) = x ^ p.  From then on whole sets are not needed:
+2. Answers from a similar set.  The smallest set of a cluster is its pivot p, so no
+   difference has more than twice its member's elements; every member x is compared
+   with p once, on whole sets, and kept as its difference d(x) = x ^ p.  From then on whole sets are not needed:
    |x ^ y| = |d(x) ^ d(y)|, so x and y link when |d(x)| + |d(y)| - 2 |d(x) & d(y)|
    is at most H(x, y).  All members within H of the pivot are one component.
 3. Skipping.  A linked pair in different components shares elements of its
@@ -274,6 +274,8 @@ def _resolve(df, classes, shared, text_col, shingle, percent) -> DataFrame:
     clusters = materialize(components(shared.select(F.col("rid").alias("a"), F.col("lo").alias("b"))).select(
         F.col("node").alias("rid"), F.col("component").alias("p")), "clusters")
     sets = _whole_sets(df, clusters.join(classes.select("rid", "key"), "rid"), text_col, shingle)
+    pivots = clusters.join(sets.select("rid", "n"), "rid").groupBy("p").agg(F.min(F.struct("n", "rid")).alias("low"))
+    clusters = clusters.join(pivots, "p").select("rid", F.col("low.rid").alias("p"))
     members = _differences(clusters, sets)
     # allowed: for any partner, which has n * 100 / percent elements at most
     members = materialize(members.withColumn("allowed", _allowed(F.col("n"), F.floor(F.col("n") * 100 / percent), percent))
