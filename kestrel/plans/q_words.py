@@ -1,17 +1,21 @@
-"""Word models, batch inference and delimited files."""
+"""Word models, batch inference and delimited files."""
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..operators import models as ML
+from ..operators import periods as P
 from ..operators import text as T
 from ..operators import words as W
+from ..operators.splits import chrono_split
 from ..session import shared_path
 from ..sources import adapters as A
-from ..sources.tables import read_delimited, write_delimited
+from ..sources.tables import checkpointed, read_delimited, save_model, write_delimited
 from .q_encode_metrics import rounded
 from .q_text import TOKS, tokenized
 from .registry import query
@@ -103,3 +107,21 @@ def delimited_round_trip(spark, sf):
     path = shared_path(spark, f"delimited-{uuid.uuid4().hex}")
     write_delimited(A.titles(spark, sf).select("post_id", "item_title", "article_source"), path, ",", max_records=100_000)
     return read_delimited(spark, path, "post_id long, item_title string, article_source string", ",", malformed="malformed")
+
+
+@query("classify_periods")
+def classify_periods(spark, sf):
+    """A classifier of the label fitted on the labelled texts of the first period and
+    stored; each later period is read, embedded, classified and written by itself."""
+    t = chrono_split(A.texts(spark, sf).select("post_id", "item_title", "viral", "year_month"), "year_month", C.SPLITS)
+    t = checkpointed(T.tokenize(t, "item_title").select("post_id", "viral", "split", "tokens"))
+    ids = T.encode_tokens(t, "post_id", "tokens", T.vocabulary(t, "tokens", 1), LENGTH)
+    posts = checkpointed(ids.join(t.select("post_id", "viral", "split"), "post_id"))
+    encoder, path = ML.hashed_encoder(DIM), shared_path(spark, f"periods-{uuid.uuid4().hex}")
+    train = P.embedded(posts.where("split = 'train' AND viral IS NOT NULL").withColumn("label", F.col("viral").cast("double")),
+                       "input_ids", encoder, LENGTH)
+    model = ML.fit_topic_classifier(checkpointed(train.select("features", "label")), "features", "label", DIM, 2, hidden=(16,), max_iter=20)
+    save_model(PipelineModel(stages=[model]), f"{path}/model")
+    for period in [name for name, _, _ in C.SPLITS if name != "train"]:
+        P.classify_period(spark, posts, "post_id", "split", period, "input_ids", encoder, LENGTH, f"{path}/model", f"{path}/topics")
+    return P.read_periods(spark, f"{path}/topics")
