@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import models as ML
 from ..operators import rankers as R
 from ..operators import sampling as S
+from ..operators import search as SE
 from ..operators import text as T
 from ..operators.splits import chrono_split, random_split
 from ..sources import adapters as A
@@ -99,6 +100,70 @@ def logistic_grid_unweighted(spark, sf):
     return rounded(_acc_rows(cv.bestModel, d.filter("split <> 'train'")))
 
 
+def _search_rows(spark, sf, folds):
+    """Feature rows with nulls filled by rule and a fold, stored once, and the folder of their searches."""
+    fill = {c: C.MAX_RANK + 1 if c.endswith("_rank") else -1 for c in FEATURES}
+    inputs = [table_path(sf, n) for n in ("orders", "customer", "nation", "region")]
+    store = shared_path(spark, f"search-{fingerprint(spark, inputs, _code_version())}-{folds}")
+    rows = SE.with_folds(_feature_table(spark, sf).select("post_id", "split", "viral", *FEATURES).na.fill(fill), "post_id", folds)
+    return materialize_once(rows, f"{store}/rows", spark), store
+
+
+FOREST_FOLDS, LOGISTIC_FOLDS = 5, 3
+ONE_HOT = ["sentiment", "topic"]
+SCALED = [c for c in FEATURES if c not in ONE_HOT]
+
+
+def forest_estimator(**params):
+    from pyspark.ml.classification import RandomForestClassifier
+    return RandomForestClassifier(labelCol="viral", featuresCol="features", seed=42, **params)
+
+
+@query("forest_search")
+def forest_search(spark, sf):
+    """L2/L13 in full: all points of config.FOREST_GRID, five folds, resumable; one row per point."""
+    rows, store = _search_rows(spark, sf, FOREST_FOLDS)
+    train = ML.assemble(rows.where("split = 'train'"), FEATURES)
+    points = ML.grid_points(C.FOREST_GRID)
+    got = SE.search(train, SE.estimator_fitter(forest_estimator), points, f"{store}/forest", FOREST_FOLDS)
+    best = SE.point_name(SE.best_point(got, points))
+    return rounded(SE.point_scores(got).withColumn("best", F.col("params") == best))
+
+
+def _logistic_parts(spark, sf):
+    rows, store = _search_rows(spark, sf, LOGISTIC_FOLDS)
+    train = rows.where("split = 'train'")
+    encodings = SE.fit_encodings(train, SCALED, ONE_HOT, "viral", LOGISTIC_FOLDS)
+    return rows, train, store, encodings
+
+
+@query("logistic_pipeline")
+def logistic_pipeline(spark, sf):
+    """L3 in full: one-hot, scaling, class weights and feature choice fitted inside each fold,
+    ten values of C, the best refitted on the whole training split; accuracy of the later splits."""
+    rows, train, store, encodings = _logistic_parts(spark, sf)
+    chosen = SE.choose_per_fold(train, encodings, "viral", 5)
+    fit = SE.logistic_fitter(encodings, chosen)
+    points = [{"C": c} for c in C.LOGISTIC_CS]
+    best = SE.best_point(SE.search(train, fit, points, f"{store}/logistic", LOGISTIC_FOLDS), points)
+    pred = fit(train, best, None)(rows.where("split <> 'train'"))
+    return rounded(pred.groupBy("split").agg(F.lit(best["C"]).alias("c"), F.count(F.lit(1)).alias("n"),
+                                             F.avg((F.col("prediction") == F.col("viral")).cast("double")).alias("accuracy")))
+
+
+@query("fold_statistics", with_(POSTS) + f""", f AS (
+  SELECT month, topic, viral, ({h("'42|' || CAST(post_id AS VARCHAR)")}) % 3 AS fold FROM (SELECT *, {SPLIT_CASE} AS split FROM posts) WHERE split = 'train')
+SELECT CAST(k.fold AS INTEGER) AS fold, round(avg(month), 6) AS mean, round(stddev_pop(month), 6) AS deviation, count(DISTINCT topic) AS topics,
+  round(count(*) / (2.0 * sum(1 - viral)), 6) AS weight_0, round(count(*) / (2.0 * sum(viral)), 6) AS weight_1
+FROM f JOIN (VALUES (0), (1), (2)) k(fold) ON f.fold <> k.fold GROUP BY k.fold""")
+def fold_statistics(spark, sf):
+    """J4-J6 inside the folds: what the encoders of each fold learnt from the other folds."""
+    encodings = _logistic_parts(spark, sf)[3]
+    rows = [(k, *e.stats["month"], len(e.levels["topic"]), e.weights.get("0"), e.weights.get("1"))
+            for k, e in encodings.items() if k is not None]
+    return rounded(spark.createDataFrame(rows, "fold INT, mean DOUBLE, deviation DOUBLE, topics BIGINT, weight_0 DOUBLE, weight_1 DOUBLE"))
+
+
 @query("rfe")
 def rfe_q(spark, sf):
     d = _split_features(spark, sf).filter("split = 'train'")
