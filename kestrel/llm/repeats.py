@@ -12,8 +12,8 @@ its windows.  Then, as Spark jobs over the whole corpus:
    windows at once (the dictionary of phrases);
 4. only where an anchor has several different phrases, windows are compared one
    by one: the phrases of one anchor meet in one task, a bounded batch at a time
-   (the operator's own resolver); anchors with more than `cap` different phrases
-   are settled by a shuffle on window hashes instead, so no group is too large;
+   (the operator's own resolver); the phrases of an anchor with more than `cap` of
+   them are lined up by it and compared block by block, so that no group is gathered;
 5. the found windows are gathered per text and cut out.
 
 Texts are read again for steps 4 and 5; a bitmap of fixed size keeps the texts
@@ -229,11 +229,7 @@ def find_repeats(df: DataFrame, text_col: str, id_col: str, unit: Unit, resolve:
         alone = cold.mapInArrow(_batched(resolve, unit), "rid long, start int, lo int, hi int")
         hot = mixed.where(F.col("kinds") > cap)
         if not hot.isEmpty():
-            wins = materialize(segments(hot).mapInArrow(_windows(unit), "h long, rid long, ord long, start int, lo int, needs boolean"), "windows")
-            seen = wins.groupBy("h").agg(F.count("*").alias("n"), F.min("ord").alias("lowest"))
-            met = wins.where("needs").join(seen.where("n >= 2"), "h")
-            met = met.where(F.col("lowest") < F.col("ord")) if unit.ordered else met
-            alone = alone.union(met.select("rid", "start", "lo", (F.col("lo") + 1).alias("hi")))
+            alone = alone.union(settle_blocks(segments(hot), unit))
         if unit.ordered:
             alone = materialize(alone, "resolved")
             parts.append(_twins(hits, mixed, alone))
@@ -301,17 +297,97 @@ def segment_windows(segments, unit: Unit):
     return wh[at], seg[at], at - first[seg[at]]
 
 
-def _windows(unit: Unit):
+_ROW = "a long, rid long, ord long, start int, lo int, o int, m int, needs boolean, sym binary"
+_BLOCK = _ROW + ", j int, c long, u long"
+
+
+def block_sizes(window: int) -> list[int]:
+    """Windows a block: 64, 8, 1, but never a third of the window or more."""
+    return [s for s in (64, 8) if 3 * s < window] + [1]
+
+
+def settle_blocks(segments: DataFrame, unit: Unit) -> DataFrame:
+    """(rid, start, lo, hi): runs of windows found elsewhere, for anchors of any
+    number of different phrases.
+
+    Equal windows have their anchor at the same place, so the windows of an anchor
+    are lined up by it and cut into the same blocks in every phrase.  A block whose
+    symbols (all of its windows') occur again is found at once, and only one holder
+    of it goes on, for others to meet; a block whose core (the symbols that all of
+    its windows share) occurs once has no window that is found.  Only what is left
+    between the two is cut into smaller blocks, down to one window.  Groups are
+    counted by partial aggregates and never gathered."""
+    rows, found = segments.mapInArrow(_anchored(unit), _ROW), None
+    key = ["a", "j", "c", "o", "m", "u"]
+    for size in block_sizes(unit.window):
+        blocks = materialize(rows.mapInArrow(_blocks(unit, size), _BLOCK), "blocks")
+        kinds = blocks.groupBy(*key).agg(F.count("*").alias("same"), F.min("ord").alias("lowest"), F.max("ord").alias("highest"),
+                                         F.max("needs").alias("open"), F.min(F.struct("rid", "lo")).alias("who"))
+        cores = kinds.groupBy("a", "j", "c").agg(F.sum("same").alias("n"), F.min("lowest").alias("first"), F.max("highest").alias("last"),
+                                                 F.max("open").alias("wanted"))
+        cores = cores.where("first < last") if unit.ordered else cores.where("n >= 2 and wanted")
+        kinds = kinds.join(cores.select("a", "j", "c"), ["a", "j", "c"]).select(*key, "same", "lowest", "who")
+        met = blocks.join(kinds, key)
+        hit = F.col("ord") > F.col("lowest") if unit.ordered else F.col("needs") & (F.col("same") >= 2)
+        runs = met.where(hit).select("rid", "start", "lo", (F.col("lo") + F.col("m")).alias("hi"))
+        found = runs if found is None else found.union(runs)
+        on = F.col("ord") == F.col("lowest") if unit.ordered else F.struct("rid", "lo") == F.col("who")
+        rows = met.where(on).withColumn("needs", F.col("needs") & (F.lit(unit.ordered) | (F.col("same") == 1))).select(
+            "a", "rid", "ord", "start", "lo", "o", "m", "needs", "sym")
+    return found
+
+
+def _anchored(unit: Unit):
+    """Phrases with the place `o` of their first window in the line-up: window - gram
+    for a window that starts at the anchor, 0 for one that ends with it."""
+    W, k = unit.window, unit.gram
+
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             segs = [unit.load(x) for x in b.column(6).to_pylist()]
-            h, s, w = segment_windows(segs, unit)
-            lo = b.column(3).to_numpy()[s] + w
+            o = [W - k - int(np.argmin(T.window_hashes(s, k) & ~_LOW)) for s in segs]  # the leftmost smallest
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(3), pa.array(o, pa.int32()),
+                                              b.column(4), b.column(5), b.column(6)],
+                                             names=["a", "rid", "ord", "start", "lo", "o", "m", "needs", "sym"])
+    return run
+
+
+def _blocks(unit: Unit, size: int):
+    """Rows cut where `o` reaches a multiple of size: j (number of the block), c (hash of
+    the core, at the same place in every phrase), u (hash of all symbols)."""
+    W = unit.window
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            raw = b.column(8).to_pylist()
+            segs = [unit.load(x) for x in raw]
+            n = np.array([len(s) for s in segs])
+            flat, first = np.concatenate(segs), np.cumsum(n) - n
+            whole, core = T.window_hashes(flat, W), T.window_hashes(flat, W - size + 1)
+            o, m = (b.column(i).to_numpy().astype(np.int64) for i in (5, 6))
+            row = np.repeat(np.arange(len(m)), m)
+            w = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            j = (o[row] + w) // size
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1])
+            lo = np.flatnonzero(new)
+            m = np.diff(np.append(lo, len(row)))
+            row, w, j = row[lo], w[lo], j[lo]
+            o, x = o[row] + w, first[row] + w
+            with np.errstate(over="ignore"):  # first and last window cover the whole block
+                u = T.mix(whole[x] * np.uint64(3) + T.mix(whole[x + m - 1]) + m.astype(np.uint64))
+            c = core[x + (j + 1) * size - 1 - o]
+            width = [len(r) // len(s) for r, s in zip(raw, segs, strict=True)]
+            sym = [raw[r][i * width[r]:(i + k + W - 1) * width[r]] for r, i, k in zip(row, w, m, strict=True)]
+            old = [b.column(i).take(pa.array(row)) for i in (0, 1, 2, 3, 7)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), b.column(1).take(pa.array(s)), b.column(2).take(pa.array(s)), b.column(3).take(pa.array(s)),
-                 pa.array(lo, pa.int32()), b.column(5).take(pa.array(s))], names=["h", "rid", "ord", "start", "lo", "needs"])
+                [*old[:4], pa.array(b.column(4).to_numpy()[row] + w, pa.int32()), pa.array(o, pa.int32()), pa.array(m, pa.int32()), old[4],
+                 pa.array(sym, pa.binary()), pa.array(j, pa.int32()), pa.array(c.view(np.int64)), pa.array(u.view(np.int64))],
+                names=["a", "rid", "ord", "start", "lo", "o", "m", "needs", "sym", "j", "c", "u"])
     return run
 
 
