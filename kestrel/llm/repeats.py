@@ -257,16 +257,15 @@ def _cut(texts: DataFrame, unit: Unit) -> DataFrame:
     def run(batches):
         for batch in batches:
             buf, off = T.flat(batch.column(2))
-            rid, ord_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(3).to_pylist()
             for i, j in T.chunks(off, CHUNK):
                 part = buf[off[i]:off[j]]
+                rid, ord_, wanted = (batch.column(c).slice(i, j - i).to_pylist() for c in (0, 1, 3))
                 sym, first, _ = unit.symbols(part, off[i:j + 1] - off[i])
                 sent = unit.ship(part, sym)
                 out = [[], [], [], [], [], [], []]
-                for r in range(i, j):
+                for r in range(j - i):
                     for p in wanted[r]:
-                        at = int(first[r - i]) + p["lo"]
+                        at = int(first[r]) + p["lo"]
                         for col, v in zip(out, (p["a"], rid[r], ord_[r], p["lo"], p["hi"] - p["lo"], p["needs"],
                                                 sent[at:at + p["hi"] - p["lo"] + unit.window - 1].tobytes()), strict=True):
                             col.append(v)
@@ -337,15 +336,20 @@ def settle_blocks(segments: DataFrame, unit: Unit) -> DataFrame:
     return found
 
 
+def _slices(batches, rows: int = 1024):
+    """The batches in pieces, so that what a task holds beside them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _anchored(unit: Unit):
     """Phrases with the place `o` of their first window in the line-up: window - gram
     for a window that starts at the anchor, 0 for one that ends with it."""
     W, k = unit.window, unit.gram
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             segs = [unit.load(x) for x in b.column(6).to_pylist()]
             o = [W - k - int(np.argmin(T.window_hashes(s, k) & ~_LOW)) for s in segs]  # the leftmost smallest
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), b.column(3), pa.array(o, pa.int32()),
@@ -360,9 +364,7 @@ def _blocks(unit: Unit, size: int):
     W = unit.window
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches):
             raw = b.column(8).to_pylist()
             segs = [unit.load(x) for x in raw]
             n = np.array([len(s) for s in segs])
