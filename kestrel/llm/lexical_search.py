@@ -126,6 +126,7 @@ class Plan:
             symbol[leaf] = len(symbol)
         self.levels = []
         for level in levels:
+            level = [row for row in level if row[0] not in symbol]  # a later round may make an earlier node again
             kids = [(symbol[a], symbol[b]) for _, a, b in level]
             self.levels.append((len(symbol), np.array(kids, np.int64).reshape(-1, 2)))
             for node, _, _ in level:

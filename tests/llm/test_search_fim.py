@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,27 @@ def test_search(spark, monkeypatch, block):
     assert got.columns == ["item", "rank", "id", "score"]
 
 
+def test_node_made_again():
+    # round 2 makes node 9 of leaves 1 and 2 again, beside a new one: no row is shared or left out
+    plan = LS.Plan([(k, k * 10, 1) for k in (1, 2, 3, 4)], [[(9, 1, 2)], [(9, 1, 2), (8, 3, 4), (7, 9, 3)]], [(0, 9), (0, 8), (1, 7), (2, 8)])
+    one = 10 ** 9 // (1000 + 12 * 100)
+    got = plan.scores(np.zeros(4, np.int64), np.array([10, 20, 30, 40]), np.ones(4, np.int64), np.array([100]), 1)
+    assert got[:, 0].tolist() == [4 * one, 3 * one, 2 * one]
+
+
+def test_search_with_nodes_made_again(spark):
+    # in the longer items the pair (a, b) first yields to (b, c), which yields to (c, d) or (c, e)
+    texts = {"a b": 2, "a b c d": 2, "a b c e": 2, "b c": 4, "c d": 8, "c e": 8, "a": 50, "b": 40}
+    items = list(enumerate(t for t, n in texts.items() for _ in range(n)))
+    rng = random.Random(11)
+    docs = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(1, 9)))) for i in range(40)]
+    leaves = LS.item_leaves(frame(spark, items, "item_id long, text string"), "text", "item_id")
+    made = [{r["node"] for r in x.collect()} for x in LS.share(leaves)[1]]
+    assert sum(map(len, made)) > len(set().union(*made))
+    got = LS.search(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string"), top=7)
+    assert sorted([tuple(r) for r in got.collect()], key=str) == ranked(docs, items, 7)
+
+
 def test_search_of_nothing(spark):
     df, rows = documents(spark)
     bench = frame(spark, [(1, "ka le")], "item_id long, text string")
