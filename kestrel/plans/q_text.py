@@ -98,7 +98,7 @@ SELECT t.post_id, round(coalesce(s.v, 0.0), 6) AS drop_sentiment_score FROM ctok
 def lexicon_sentiment_clean_q(spark, sf):
     t = token_lists(spark, sf)
     sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
-    c = T.remove_stopwords(t.select("post_id", "ctoks"), "ctoks", sw, out="ctoks")
+    c = checkpointed(T.remove_stopwords(t.select("post_id", "ctoks"), "ctoks", sw, out="ctoks"))  # read twice
     return rounded(T.lexicon_sentiment(c, "post_id", "ctoks", lex, 0.0, out="drop_sentiment_score"))
 
 
@@ -116,7 +116,7 @@ def sentiment_comparison(spark, sf):
     t = token_lists(spark, sf)
     sw, lex = _stopwords(t), T.lexicon_from_corpus(t, "tokens", 4)
     c = T.remove_stopwords(t, "ctoks", sw, out="ctoks")
-    few = T.sample_pairs_for_review(c, 20, 5, "post_id")
+    few, lex = checkpointed(T.sample_pairs_for_review(c, 20, 5, "post_id")), checkpointed(lex)  # both scores read them
     raw = T.lexicon_sentiment(few, "post_id", "tokens", lex, 0.0)
     return rounded(raw.join(T.lexicon_sentiment(few, "post_id", "ctoks", lex, 0.0, out="drop_sentiment_score"), "post_id"))
 

@@ -133,3 +133,14 @@ def test_rounds_start_from_the_last_weights(spark):
     assert all(abs(a - b) < 0.02 for a, b in zip(full, fitted, strict=True))
     w = ML.train_rounds({1: pairs, 2: pairs.limit(0), 3: pairs}, ["x", "y"], steps=6)
     assert w[2] == w[1] and abs(w[3][0] - full[0]) < 1e-6
+
+
+def test_stopwords_of_a_long_text_by_one_set_difference(spark):
+    text = ["s%d" % (i % 7) if i % 3 else "k%d" % i for i in range(30_000)] + [None, "s1"]
+    df = spark.createDataFrame([(1, text), (2, ["s1", "s1"]), (3, []), (4, None)], "id int, t array<string>")
+    words = spark.createDataFrame([("s%d" % k,) for k in range(7)] + [(None,)], "word string")
+    out = T.remove_stopwords(df, "t", words, out="k")
+    # not one search among the dropped positions for each token
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["k"] for r in out.collect()}
+    assert got == {1: [w for w in text if w is None or w[0] == "k"], 2: [], 3: [], 4: None}
