@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,25 +93,78 @@ def modelled_sentiment(df: DataFrame, id_col: str, tokens: str, lexicon: DataFra
 
 # ---------------------------------------------------------------- segmentation
 
-#: longer words are no dictionary words (a mask of the lengths has three bytes)
+#: longer words are no dictionary words
 MAX_WORD = 24
-CELLS = 1 << 16
 UNIT = 1_000_000
+#: characters of the distinct runs that are cut together, with the words found in them
+BLOCK = 1 << 18
+MAX_TASKS = 4096
+#: size limit of the filter of words (16 MB), which only saves work
+FILTER_BITS = 1 << 27
+_PAGE = 32768
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _cell(two: Column) -> Column:
-    return F.pmod(F.xxhash64(two), F.lit(CELLS)).cast("int")
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
-def _length_masks(words: DataFrame) -> bytes:
-    """Three bytes per hash cell of a word's first two characters: which lengths the
-    dictionary's words have there.  At most CELLS rows reach the driver."""
-    bit = F.expr("shiftleft(1, length(word) - 1)")
-    got = words.where("length(word) >= 2").groupBy(_cell(F.substring("word", 1, 2)).alias("c")).agg(F.bit_or(bit).alias("m"))
-    masks = bytearray(3 * CELLS)
-    for c, m in got.collect():
-        masks[3 * c:3 * c + 3] = m.to_bytes(3, "big")
-    return bytes(masks)
+def _part_hashes(codes: np.ndarray, longest: int = MAX_WORD):
+    """(n, hash of the n characters from each place on) for n = 1, 2, ... longest."""
+    h = np.zeros(len(codes) + 1, np.uint64)
+    for n in range(1, min(longest, len(codes)) + 1):
+        h = h[:len(codes) - n + 1] * _BASE + codes[n - 1:] + np.uint64(1)
+        x = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        yield n, x ^ (x >> np.uint64(27))
+
+
+def _probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash in a filter of ``bits`` (a power of two)."""
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _word_filter(words: DataFrame) -> bytes:
+    """Two bits for each word, in 16 to 32 bits a word up to FILTER_BITS; the driver gets
+    FILTER_BITS / 32768 rows of 4 kB at most."""
+    bits = min(FILTER_BITS, max(_PAGE, 1 << (16 * words.count()).bit_length()))
+
+    def run(frames):
+        for f in frames:
+            hashes = np.zeros(len(f), np.uint64)
+            for k, word in enumerate(f["word"]):
+                for _, h in _part_hashes(_codes(word)):
+                    pass
+                hashes[k] = h[0]  # of all its characters
+            yield pd.DataFrame({"b": np.concatenate(_probes(hashes, bits))})
+
+    pages = words.select("word").mapInPandas(run, "b long").groupBy(F.floor(F.col("b") / _PAGE).alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.pmod("b", F.lit(_PAGE)) + 1)).alias("m"))
+    out = bytearray(bits // 8)
+    for k, m in pages.collect():
+        out[k * _PAGE // 8:(k + 1) * _PAGE // 8] = m
+    return bytes(out)
+
+
+def _candidates(runs: list, mask: bytes):
+    """(run number, start, length) of the parts of ``runs`` that pass the filter, all
+    dictionary words among them; BLOCK characters or one run at a time."""
+    on, bits, i = np.frombuffer(mask, np.uint8), len(mask) * 8, 0
+    while i < len(runs):
+        j, size = i + 1, len(runs[i])
+        while j < len(runs) and size + len(runs[j]) <= BLOCK:
+            size, j = size + len(runs[j]), j + 1
+        sizes = np.array([len(r) for r in runs[i:j]], np.int64)
+        ends = np.cumsum(sizes)
+        run, end = np.repeat(np.arange(i, j), sizes), np.repeat(ends, sizes)
+        start = np.arange(size) - (end - np.repeat(sizes, sizes))
+        left = end - np.arange(size)  # characters up to the end of the run
+        for n, h in _part_hashes(_codes("".join(runs[i:j]))):
+            at = np.flatnonzero(left[:len(h)] >= n)
+            a, b = _probes(h[at], bits)
+            at = at[(on[a >> 3] >> (a & 7).astype(np.uint8) & on[b >> 3] >> (b & 7).astype(np.uint8) & 1) > 0]
+            for k, s in zip(run[at].tolist(), start[at].tolist()):
+                yield k, s, n
+        i = j
 
 
 def best_path(n: int, edges: list, unknown: int) -> list:
@@ -146,45 +200,51 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, out: str = "words")
     their own, an empty dictionary cuts into characters.  Words above MAX_WORD
     characters, null words and counts below 1 are left out of the dictionary.
 
-    Each distinct run is cut once.  Candidates are the substrings whose first two
-    characters begin a dictionary word of that length (a constant of 3 * CELLS bytes in
-    the plan, whatever the dictionary's size), joined with the dictionary, so the
-    dictionary is never collected; what a task holds of a run grows with the run."""
+    Each distinct run is cut once.  The runs are dealt to blocks of about BLOCK characters;
+    a block's distinct parts that pass a filter of the words (of a fixed size at most,
+    whatever the dictionary's) are joined with the dictionary, and the block is cut with
+    the words it met.  So a word travels once to a block, however often it occurs there,
+    the dictionary is never collected, and a task holds one block (a longer run is held whole)."""
     words = (dictionary.where(f"word IS NOT NULL AND length(word) BETWEEN 1 AND {MAX_WORD} AND n >= 1")
              .groupBy("word").agg(F.sum("n").alias("n")))
     words = checkpointed(words)
     total = words.agg(F.sum("n")).first()[0] or 1
     weighed = words.select("word", F.floor(UNIT * F.log(F.col("n") / F.lit(float(total)))).cast("long").alias("w"))
     unknown = df.sparkSession.range(1).select(F.floor(UNIT * F.log(F.lit(1 / total))).cast("long")).first()[0]
-    masks = F.lit(_length_masks(words))
+    mask = df.sparkSession.sparkContext.broadcast(_word_filter(words))
 
     runs = F.regexp_extract_all(F.lower(F.regexp_replace(F.col(col), S.SPACE + "+", "")), F.lit(S.TOKEN_RE), 0)
     rows = checkpointed(df.withColumn("_row", F.monotonically_increasing_id()).withColumn("_runs", runs))
     placed = rows.select("_row", F.posexplode("_runs").alias("_pos", "_run"))
-    distinct = checkpointed(placed.select("_run").distinct().withColumn("_rid", F.monotonically_increasing_id()))
-
-    at = distinct.select("_rid", "_run", F.explode(F.sequence(F.lit(1), F.length("_run"))).alias("_i"))
-    mask = F.conv(F.hex(F.substring(masks, 3 * _cell(F.substring("_run", F.col("_i"), 2)) + 1, F.lit(3))), 16, 10).cast("int")
-    sizes = F.filter(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("_run") - F.col("_i") + 1)),
-                     lambda n: (n == 1) | (F.col("_m").bitwiseAND(F.call_function("shiftleft", F.lit(1), n - 1)) != 0))
-    at = at.withColumn("_m", mask).select("_rid", "_run", "_i", F.explode(sizes).alias("_n"))
-    at = at.select("_rid", F.col("_i").alias("_at"), F.substring("_run", F.col("_i"), F.col("_n")).alias("word"))
-    edges = at.join(weighed, "word").groupBy("_rid").agg(
-        F.collect_list(F.struct((F.col("_at") - 1).alias("i"), F.length("word").alias("n"), "w")).alias("_edges"))
-    lattice = distinct.join(edges, "_rid", "left").select("_run", F.coalesce("_edges", F.array()).alias("_edges"))
-
-    def cut(frames):
-        for f in frames:
-            cuts = []
-            for run, found in zip(f["_run"], f["_edges"]):
-                spans, start = [], 0
-                for size in best_path(len(run), [(e["i"], e["n"], e["w"]) for e in found], unknown):
-                    spans.append(run[start:start + size])
-                    start += size
-                cuts.append(spans)
-            yield pd.DataFrame({"_run": f["_run"], "_cut": cuts})
-
-    done = lattice.mapInPandas(cut, "_run string, _cut array<string>")
+    distinct = checkpointed(placed.select("_run").distinct())
+    blocks = -(-(distinct.agg(F.sum(F.length("_run"))).first()[0] or 1) // BLOCK)
+    # a number of partitions of its own: by its bytes alone, a block's work would look small
+    dealt = distinct.withColumn("_block", F.pmod(F.xxhash64("_run"), F.lit(blocks))).repartition(min(blocks, MAX_TASKS), "_block")
+
+    def find(f):
+        own = f["_run"].tolist()
+        parts = {own[k][s:s + n] for k, s, n in _candidates(own, mask.value)}
+        return pd.DataFrame({"_block": f["_block"].iloc[0], "word": list(parts)})
+
+    met = dealt.groupBy("_block").applyInPandas(find, "_block long, word string").join(weighed, "word")
+
+    def cut(known, f):
+        own, weight = f["_run"].tolist(), dict(zip(known["word"], known["w"].tolist(), strict=True))
+        edges: list = [[] for _ in own]
+        for k, s, n in _candidates(own, mask.value):
+            w = weight.get(own[k][s:s + n])
+            if w is not None:
+                edges[k].append((s, n, w))
+        cuts = []
+        for run, found in zip(own, edges, strict=True):
+            spans, start = [], 0
+            for size in best_path(len(run), found, unknown):
+                spans.append(run[start:start + size])
+                start += size
+            cuts.append(spans)
+        return pd.DataFrame({"_run": own, "_cut": cuts})
+
+    done = met.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInPandas(cut, "_run string, _cut array<string>")
     back = placed.join(done, "_run").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_cut"))).alias("_c"))
     back = back.select("_row", F.flatten(F.transform("_c", lambda x: x["_cut"])).alias("_words"))
     empty = F.when(F.col("_runs").isNotNull(), F.array().cast("array<string>"))

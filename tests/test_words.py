@@ -89,6 +89,26 @@ def test_segmentation_against_every_cut(spark):
     assert got == {i: plain_segment(r, words) for i, r in enumerate(runs)}
 
 
+def test_segmentation_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(W, "BLOCK", 40)
+    rnd = random.Random(5)
+    words = {"ab": 5, "abc": 3, "c": 9, "ca": 4, "bca": 2, "aa": 4, "a": 4, "中文": 3, "é": 1}
+    runs = ["".join(rnd.choice("abc中文éz") for _ in range(rnd.randint(1, 10))) for _ in range(60)]
+    df = spark.createDataFrame([(i, r + "!" + runs[0]) for i, r in enumerate(runs)], "id int, text string")
+    got = {r["id"]: r["words"] for r in W.segment(df, "text", spark.createDataFrame(list(words.items()), "word string, n long")).collect()}
+    assert got == {i: plain_segment(r, words) + plain_segment(runs[0], words) for i, r in enumerate(runs)}
+
+
+def test_few_parts_pass_the_filter_of_words(spark):
+    # all 600 words begin alike and have the lengths 2 to 24: by first characters and length every part is a candidate
+    words = ["ab" + "".join(random.Random(k).choices("abc", k=k % 23)) for k in range(600)]
+    mask = W._word_filter(spark.createDataFrame([(w,) for w in sorted(set(words))], "word string"))
+    text = "".join(words)
+    met = {(s, n) for _, s, n in W._candidates([text], mask)}
+    known = {(s, n) for n in range(1, W.MAX_WORD + 1) for s in range(len(text) - n + 1) if text[s:s + n] in set(words)}
+    assert known <= met and len(met) < 1.5 * len(known) + 0.05 * W.MAX_WORD * len(text)
+
+
 def test_segmentation_ties_and_odd_rows(spark):
     # 'aa' weighs as much as 'a' + 'a' would have to: two cuts of 'aaa' are equal, the longer word goes first
     d = spark.createDataFrame([("aa", 1), ("a", 1), (None, 5), ("bad", 0), ("w" * 30, 7)], "word string, n long")
