@@ -223,8 +223,9 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, out: str = "words")
 
     def find(f):
         own = f["_run"].tolist()
-        parts = {own[k][s:s + n] for k, s, n in _candidates(own, mask.value)}
-        return pd.DataFrame({"_block": f["_block"].iloc[0], "word": list(parts)})
+        parts = list({own[k][s:s + n] for k, s, n in _candidates(own, mask.value)})
+        # object: Arrow takes no empty column of pandas' own string type
+        return pd.DataFrame({"_block": np.full(len(parts), f["_block"].iloc[0], np.int64), "word": pd.Series(parts, dtype=object)})
 
     met = dealt.groupBy("_block").applyInPandas(find, "_block long, word string").join(weighed, "word")
 
@@ -242,7 +243,7 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, out: str = "words")
                 spans.append(run[start:start + size])
                 start += size
             cuts.append(spans)
-        return pd.DataFrame({"_run": own, "_cut": cuts})
+        return pd.DataFrame({"_run": pd.Series(own, dtype=object), "_cut": pd.Series(cuts, dtype=object)})
 
     done = met.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInPandas(cut, "_run string, _cut array<string>")
     back = placed.join(done, "_run").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("_pos", "_cut"))).alias("_c"))
