@@ -58,11 +58,17 @@ def fit_gbt_grid(train: DataFrame, label: str = "viral", features: str = "featur
     return cv.fit(train)
 
 
+def forest(label: str = "viral", features: str = "features", seed: int = 42, **params) -> RandomForestClassifier:
+    """A forest estimator that keeps each row's node of every tree between levels, so that no level
+    walks the rows down from the roots again or ships the trees; the fitted trees are the same."""
+    return RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed, cacheNodeIds=True, **params)
+
+
 def fit_forest_cv(train: DataFrame, label: str = "viral", features: str = "features", grid: dict | None = None,
                   folds: int = 5, parallelism: int = 4, seed: int = 42):
     """L2: random forest with k-fold search over depth × trees (default
     config.FOREST_GRID, 15 points)."""
-    rf = RandomForestClassifier(labelCol=label, featuresCol=features, seed=seed)
+    rf = forest(label, features, seed)
     grid = grid or FOREST_GRID
     cv = CrossValidator(estimator=rf, estimatorParamMaps=param_grid(rf, grid), evaluator=_accuracy_eval(label),
                         numFolds=folds, parallelism=parallelism, seed=seed)
@@ -72,8 +78,7 @@ def fit_forest_cv(train: DataFrame, label: str = "viral", features: str = "featu
 def fit_forest_fixed(train: DataFrame, label: str = "viral", features: str = "features",
                      depth: int = 20, trees: int = 80, seed: int = 42):
     """L2 final model with the hard-coded depth and size (maxDepth capped at Spark's 30)."""
-    return RandomForestClassifier(labelCol=label, featuresCol=features, maxDepth=min(depth, 30),
-                                  numTrees=trees, seed=seed).fit(train)
+    return forest(label, features, seed, maxDepth=min(depth, 30), numTrees=trees).fit(train)
 
 
 def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

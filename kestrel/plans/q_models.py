@@ -115,8 +115,7 @@ SCALED = [c for c in FEATURES if c not in ONE_HOT]
 
 
 def forest_estimator(**params):
-    from pyspark.ml.classification import RandomForestClassifier
-    return RandomForestClassifier(labelCol="viral", featuresCol="features", seed=42, **params)
+    return ML.forest(**params)
 
 
 @query("forest_search")
