@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .relational import is_in_table
+from ..sources.tables import checkpointed
 from .ranking import global_row_number, top_categories
 
 
@@ -35,11 +36,12 @@ def factorize(df: DataFrame, col: str, order_col: str = "post_id", out: str | No
 
 
 def factorize_many(df: DataFrame, cols: dict, order_col: str = "post_id",
-                   source: DataFrame | None = None) -> DataFrame:
+                   source: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """J1 for several columns at once: {column: output name}.  One stacked
     (feature, value, first position) table is numbered by a single
     distributed sort, so k columns cost one ranking job instead of k.
-    ``source`` (default ``df``) is the table the dictionaries are built from."""
+    ``source`` (default ``df``) is the table the dictionaries are built from;
+    ``stored`` writes them before they are joined."""
     stacked = (source if source is not None else df).select(F.col(order_col), F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])).alias("_s"))
     firsts = (stacked.filter(F.col("_s.value").isNotNull())
@@ -49,6 +51,7 @@ def factorize_many(df: DataFrame, cols: dict, order_col: str = "post_id",
     base = ranked.groupBy("feature").agg(F.min("_rn").alias("_base"))  # one row per feature
     codes = ranked.join(F.broadcast(base), "feature").select(
         "feature", "value", (F.col("_rn") - F.col("_base")).cast("bigint").alias("_code"))
+    codes = checkpointed(codes) if stored else codes
     out = df
     for c, name in cols.items():
         d = codes.filter(F.col("feature") == c).select(F.col("value").alias(f"_v_{c}"), F.col("_code").alias(name))

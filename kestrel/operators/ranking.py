@@ -158,7 +158,7 @@ def kth_row(df: DataFrame, order: Order, k_of_n, eps: float = 0.002) -> tuple:
 
 def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
                       year: str = "year", month: str = "month",
-                      out: str | None = None, source: DataFrame | None = None) -> DataFrame:
+                      out: str | None = None, source: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """Dense rank of ``col`` by number of rows inside each (year, month), most
     rows first, merged back on (col, year, month).
 
@@ -167,7 +167,7 @@ def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
     are not counted and get a null rank.  The window runs over the per-month
     aggregate, never over the fact table.  ``source`` (default ``df``) is
     the table counted, so several ranks can be attached without each
-    recounting the previous joins.
+    recounting the previous joins.  ``stored`` writes the rank table before it is joined.
     """
     out = out or f"{col}_rank"
     counts = ((source if source is not None else df).filter(F.col(col).isNotNull())
@@ -180,7 +180,7 @@ def rank_within_month(df: DataFrame, col: str, lag_months: int = 0,
     if lag_months:
         shifted = F.add_months(F.make_date(F.col(year), F.col(month), F.lit(1)), lag_months)
         ranked = ranked.select(F.year(shifted).alias(year), F.month(shifted).alias(month), col, out)
-    return df.join(ranked, [col, year, month], "left")
+    return df.join(checkpointed(ranked) if stored else ranked, [col, year, month], "left")
 
 
 def cap_rank(df: DataFrame, rank_col: str, max_rank: int = 10, fill_missing: bool = False) -> DataFrame:

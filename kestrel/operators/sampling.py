@@ -16,7 +16,9 @@ Group-slot sampling, no positive × group blow-up:
    at the end.
 5. Ladder rule (S1): positives with n1 >= k keep their k 3-key draws; the
    others take the union of all 3-key candidates and up to k per fallback
-   spec, deduplicated, then the k first by a per-pair hash.  Fallback rule
+   spec, deduplicated, then the k first by a per-pair hash.  The pool is slotted
+   once for the 3-key draws; the fallback specs slot only the groups that the
+   others ask for.  Fallback rule
    (S2): the 3-key spec if it has candidates, else the stock spec.
 
 Every random choice is a hash of (seed, ids), so the result does not depend
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ..config import SUMMARY_COMBOS
 from ..functions.hashing import hash_int
+from ..sources.tables import checkpointed
 from .relational import join_counts, negatives, positives, sum_columns
 
 KEYS3 = ["item_author", "article_author", "article_source"]
@@ -108,15 +111,20 @@ def ladder_pairs(pos: DataFrame, pool: DataFrame, k: int = 3, seed: int = 7, id_
     specs = dict(LADDER_SPECS)
     keys = sorted({c for ks in specs.values() for c in ks})
     pos, pool = pos.select(id_col, *keys), pool.select(id_col, *keys)
-    slots = {name: slot_pool(pool, ks, seed, id_col, buckets) for name, ks in LADDER_SPECS}
-    s3, n3 = slots["k3"]
-    pos_n = pos.join(n3.withColumnRenamed("_n", "_n1"), KEYS3, "left").withColumn("_n1", F.coalesce(F.col("_n1"), F.lit(0)))
+    n1 = pool.filter(_not_null(KEYS3)).groupBy(*KEYS3).agg(F.count(F.lit(1)).alias("_n1"))
+    pos_n = checkpointed(pos.join(n1, KEYS3, "left").withColumn("_n1", F.coalesce(F.col("_n1"), F.lit(0))))
     rich = pos_n.filter(F.col("_n1") >= k).drop("_n1")
     poor = pos_n.filter(F.col("_n1") < k).drop("_n1")
     # positives with enough 3-key candidates: k draws from that group
-    direct = draw(rich, s3, n3, KEYS3, "k3", k, seed, id_col)
-    # the rest: all 3-key candidates and up to k per fallback spec, then the k first by pair hash
-    cand = reduce(lambda a, b: a.unionByName(b), [draw(poor, *slots[name], ks, name, k, seed, id_col) for name, ks in LADDER_SPECS])
+    direct = draw(rich, *slot_pool(pool, KEYS3, seed, id_col, buckets), KEYS3, "k3", k, seed, id_col)
+    if poor.isEmpty():
+        return direct
+    # the rest: all 3-key candidates (fewer than k) and up to k per fallback spec, then the k first by pair hash.
+    # A group's slots depend on its own rows alone: only groups that these positives ask for are slotted
+    cand = poor.join(pool.select(*KEYS3, F.col(id_col).alias("neg_" + id_col)), KEYS3).select(id_col, "neg_" + id_col)
+    for name, ks in LADDER_SPECS[1:]:
+        asked = pool.join(poor.select(*ks).distinct(), ks, "left_semi").select(*pool.columns)
+        cand = cand.unionByName(draw(poor, *slot_pool(asked, ks, seed, id_col, buckets), ks, name, k, seed, id_col))
     neg_id = "neg_" + id_col
     w = Window.partitionBy(id_col).orderBy(hash_int(F.lit(seed), F.col(id_col), F.col(neg_id)), F.col(neg_id))
     picked = cand.distinct().withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -10,7 +10,7 @@ from .. import config as C
 from ..operators import encode as E
 from ..operators import metrics as M
 from ..sources import adapters as A
-from ..sources.tables import table
+from ..sources.tables import checkpointed, table
 from .registry import query
 from .sql import POSTS, SCORED, with_
 
@@ -32,12 +32,14 @@ def factorized_posts(spark, sf, base=None):
     return E.factorize_many(p, dict(FACTOR_COLS), "post_id")
 
 
-def posts_features(spark, sf):
+def posts_features(spark, sf, stored: bool = False):
     """Feature table: posts + capped monthly ranks + first-seen codes.  Rank
-    and code tables are aggregates of the plain posts plan, joined back once."""
+    and code tables are aggregates of the plain posts plan, joined back once;
+    ``stored`` writes the posts first, so that these do not derive them again, and the
+    rank and code tables, whose known size decides about the joins before posts are shuffled."""
     from .q_posts import ranked_posts
-    p = A.posts(spark, sf)
-    return E.factorize_many(ranked_posts(spark, sf, 0, base=p), dict(FACTOR_COLS), "post_id", source=p)
+    p = checkpointed(A.posts(spark, sf)) if stored else A.posts(spark, sf)
+    return E.factorize_many(ranked_posts(spark, sf, 0, base=p, stored=stored), dict(FACTOR_COLS), "post_id", source=p, stored=stored)
 
 
 _FACT_SQL = with_(POSTS) + "SELECT p.post_id, " + ", ".join(

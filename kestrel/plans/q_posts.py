@@ -274,11 +274,11 @@ def _ranks_sql(lag: int, fill: bool) -> str:
             + " FROM posts_base b " + " ".join(p[0] for p in parts))
 
 
-def ranked_posts(spark, sf, lag: int = 0, base=None):
+def ranked_posts(spark, sf, lag: int = 0, base=None, stored: bool = False):
     src = base if base is not None else A.posts_base(spark, sf)
     p = src
     for c in ("item_author", "article_author", "article_source"):
-        p = R.rank_within_month(p, c, lag_months=lag, source=src)
+        p = R.rank_within_month(p, c, lag_months=lag, source=src, stored=stored)
         p = R.cap_rank(p, f"{c}_rank", C.MAX_RANK, fill_missing=bool(lag))
     return p
 

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.ml.classification import RandomForestClassifier
 
 from kestrel.operators import models as ML
+from kestrel.operators import sampling as SM
 from kestrel.plans import q_models as Q
 
 
@@ -30,3 +31,27 @@ def test_forests_keep_node_ids_and_grow_the_same_trees(spark):
     assert ML.fit_forest_cv(df, grid={"maxDepth": [3]}, folds=2).bestModel.getOrDefault("cacheNodeIds")
     plain = RandomForestClassifier(labelCol="viral", featuresCol="features", seed=42, maxDepth=12, numTrees=7).fit(df)
     assert trees(m) == trees(plain)
+
+
+def posts(spark, spec):
+    rows = [(i, viral, *keys, stock) for i, (viral, keys, stock) in enumerate(spec)]
+    return spark.createDataFrame(rows, "post_id INT, viral INT, item_author STRING, article_author STRING, article_source STRING, stock_code INT")
+
+
+def test_fallback_groups_are_slotted_only_where_asked_for(spark, monkeypatch):
+    slotted, real = [], SM.slot_pool
+
+    def noted(pool, keys, *rest):
+        slotted.append((tuple(keys), sorted(r["post_id"] for r in pool.collect())))
+        return real(pool, keys, *rest)
+
+    monkeypatch.setattr(SM, "slot_pool", noted)
+    a, b = ("a", "x", "s"), ("b", "x", "t")
+    full = [(1, a, 1), *[(0, a, k) for k in (1, 2, 2, 3)], (0, b, 7), (0, b, 2), (0, b, None)]
+    got = SM.sample_negatives_ladder(posts(spark, full), k=3).select("post_id", "neg_post_id").collect()
+    assert [k for k, _ in slotted] == [tuple(SM.KEYS3)] and len({r[1] for r in got}) == 3
+    slotted.clear()
+    poor = [*full, (1, ("c", "x", "t"), 2), (1, ("c", None, None), None)]  # the last one finds nothing
+    got = {tuple(r) for r in SM.sample_negatives_ladder(posts(spark, poor), k=3).select("post_id", "neg_post_id").collect()}
+    assert dict(slotted)["article_source",] == [5, 6, 7] and dict(slotted)["stock_code",] == [2, 3, 6]
+    assert {p for p, _ in got} == {0, 8} and {n for p, n in got if p == 8} <= {2, 3, 5, 6, 7} and sum(p == 8 for p, _ in got) == 3
