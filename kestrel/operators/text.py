@@ -3,7 +3,8 @@
 Every step runs on whole texts.  Token-level work is relational: tokens are
 exploded, pre-aggregated per (document, token) — a document lives in one
 partition, so the map-side combine already collapses repeats — and only then
-joined with dictionaries (stopwords, lexicon, vocabulary).  Dictionaries with
+joined with dictionaries (stopwords, lexicon, vocabulary); scores of a lexicon
+are joined to the tokens of a block of documents.  Dictionaries with
 a bound by construction (top-50 stopwords) are broadcast; corpus-derived
 ones are left to Catalyst/AQE (broadcast under the size threshold, shuffle
 with skew splitting above it).
@@ -11,6 +12,9 @@ with skew splitting above it).
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +54,30 @@ def token_counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
               .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
+def token_blocks(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+    """(block, token, ids, ns): ``token_counts`` packed by batches of rows.  A token travels
+    once for all texts of its block, which are listed with their counts."""
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.column(1), batch.column(2)
+            found = lists.flatten().dictionary_encode(null_encoding="encode")
+            if not len(found):
+                continue
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            pair, n = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+            ends = pa.array(np.searchsorted(pair // len(ids), np.arange(len(found.dictionary) + 1)).astype(np.int32))
+            who = ids.take(pa.array(pair % len(ids)))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(found.dictionary), batch.column(0)[0].as_py(), np.int64)), found.dictionary,
+                pa.ListArray.from_arrays(ends, who), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
+                names=["block", "token", "ids", "ns"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = df.select(F.monotonically_increasing_id().alias("block"), F.col(id_col).alias("id"), F.col(tokens).alias("tokens"))
+    return rows.mapInArrow(run, f"block long, token string, ids array<{kind}>, ns array<int>")
+
+
 def top_words(df: DataFrame, tokens: str, n: int = 50, letters_only: bool = True) -> DataFrame:
     """The n most frequent tokens (ties by token); ``letters_only``
     keeps tokens made of letters only.  Counting is a partial aggregation;
@@ -98,12 +126,13 @@ def lexicon_sentiment(df: DataFrame, id_col: str, tokens: str, lexicon: DataFram
     """T5: Σ score(token) / number of tokens; a token missing from the lexicon
     scores ``fallback`` (a number or a Column over ``token``); a text without
     tokens scores 0."""
-    tc = token_counts(df, id_col, tokens)
     fb = fallback if hasattr(fallback, "_jc") else F.lit(float(fallback))
     lex = lexicon.select(F.col("word").alias("token"), "score")
-    scored = (tc.join(lex, "token", "left")
-                .groupBy(id_col).agg((F.sum(F.coalesce(F.col("score"), fb) * F.col("n")) / F.sum("n"))
-                                     .alias(out)))
+    # what a token of a block scores comes back to the block once, for all of its texts
+    met = token_blocks(df, id_col, tokens).join(lex, "token", "left").select(
+        "block", F.arrays_zip("ids", "ns").alias("_z"), F.coalesce(F.col("score"), fb).alias("_s")).repartition("block")
+    scored = (met.select("_s", F.explode("_z").alias("_z")).groupBy(F.col("_z.ids").alias(id_col))
+                 .agg((F.sum(F.col("_s") * F.col("_z.ns")) / F.sum("_z.ns")).alias(out)))
     return (df.select(id_col).join(scored, id_col, "left")
               .withColumn(out, F.coalesce(F.col(out), F.lit(0.0))))
 

@@ -26,7 +26,9 @@ def _labelled_lexicon(spark, sf, tok):
     """(word, score): share of good minus share of bad among a word's occurrences in
     labelled texts.  Words of other texts only are the unknown ones."""
     lab = A.labelled_titles(spark, sf).where("viral IS NOT NULL").select("post_id", "viral")
-    rows = tok.join(lab, "post_id").select("viral", F.explode("tokens").alias("word"))
+    # tokens hold no blanks: one string takes less of a shuffle than an array of them
+    text = tok.select("post_id", F.array_join("tokens", " ").alias("_t")).join(lab, "post_id")
+    rows = text.select("viral", F.explode(F.split("_t", " ")).alias("word")).where("word != ''")
     return rows.groupBy("word").agg((2 * F.avg("viral") - 1).alias("score"))
 
 

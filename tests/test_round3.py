@@ -9,6 +9,7 @@ from pyspark.ml.classification import RandomForestClassifier
 
 from kestrel.operators import models as ML
 from kestrel.operators import sampling as SM
+from kestrel.operators import text as T
 from kestrel.plans import q_models as Q
 
 
@@ -55,3 +56,20 @@ def test_fallback_groups_are_slotted_only_where_asked_for(spark, monkeypatch):
     got = {tuple(r) for r in SM.sample_negatives_ladder(posts(spark, poor), k=3).select("post_id", "neg_post_id").collect()}
     assert dict(slotted)["article_source",] == [5, 6, 7] and dict(slotted)["stock_code",] == [2, 3, 6]
     assert {p for p, _ in got} == {0, 8} and {n for p, n in got if p == 8} <= {2, 3, 5, 6, 7} and sum(p == 8 for p, _ in got) == 3
+
+
+def test_a_token_travels_once_for_all_texts_of_a_block(spark):
+    texts = [(1, ["a", "b", "a"]), (2, ["a", None]), (2, ["c"]), (3, []), (4, None), (None, ["a"]), (5, ["zz"])]
+    df = spark.createDataFrame(texts, "id LONG, tokens ARRAY<STRING>").coalesce(1)
+    got = {r["token"]: sorted(zip(r["ids"], r["ns"]), key=str) for r in T.token_blocks(df, "id", "tokens").collect()}
+    assert got == {"a": [(1, 2), (2, 1), (None, 1)], "b": [(1, 1)], None: [(2, 1)], "c": [(2, 1)], "zz": [(5, 1)]}
+    lex = spark.createDataFrame([("a", 1.0), ("b", -2.0), ("c", 4.0), ("c", 2.0)], "word STRING, score DOUBLE")
+    plan = T.lexicon_sentiment(df, "id", "tokens", lex)._jdf.queryExecution().optimizedPlan().toString()
+    assert "token_blocks" in plan or "mapinarrow" in plan.lower()
+    long = spark.createDataFrame([(r, t) for r, ts in texts for t in ts or []], "id LONG, token STRING").groupBy("id", "token").count()
+    long.createOrReplaceTempView("long_tokens")
+    lex.createOrReplaceTempView("lex_words")
+    plain = dict(map(tuple, spark.sql("""SELECT id, sum(coalesce(score, 0.0) * count) / sum(count) FROM long_tokens
+      LEFT JOIN lex_words ON token = word GROUP BY id""").collect()))
+    out = sorted(((r["id"], r["sentiment_score"]) for r in T.lexicon_sentiment(df, "id", "tokens", lex).collect()), key=str)
+    assert out == sorted(((i, plain.get(i, 0.0) if i is not None else 0.0) for i, _ in texts), key=str)
