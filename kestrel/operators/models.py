@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import FOREST_GRID, GBT_GRID, LOGISTIC_CS, MAX_RANK
 from .encode import class_weights
-from .ranking import argmax_position, label_top_fraction
+from .ranking import label_top_fraction
 
 
 def assemble(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
@@ -240,39 +240,6 @@ def n_tokens(df: DataFrame, tokens: str) -> int:
     return max(1, df.select(F.explode(tokens).alias("t")).agg(F.countDistinct("t")).first()[0])
 
 
-def fit_topics(df: DataFrame, tokens: str, k: int = 3, seed: int = 10, vocab_size: int | None = None,
-               max_iter: int = 20):
-    """CountVectorizer + online LDA; the vocabulary is every token unless
-    ``vocab_size`` says otherwise."""
-    from pyspark.ml.clustering import LDA
-    cv = CountVectorizer(inputCol=tokens, outputCol="bow", vocabSize=vocab_size or n_tokens(df, tokens), minDF=1.0)
-    lda = LDA(k=k, seed=seed, optimizer="online", featuresCol="bow", maxIter=max_iter)
-    return Pipeline(stages=[cv, lda]).fit(df)
-
-
-def top_terms(spark, pipeline_model, n: int = 10) -> DataFrame:
-    """(topic, rank, term, weight) for the n heaviest terms of each topic."""
-    cvm, lda = pipeline_model.stages[0], pipeline_model.stages[-1]
-    topics = lda.describeTopics(n)
-    # only the terms of the k x n heaviest places are needed
-    used = sorted({i for r in topics.select("termIndices").collect() for i in r[0]})
-    words = cvm.vocabulary
-    vocab = spark.createDataFrame([(i, words[i]) for i in used], "term_index INT, term STRING")
-    t = topics.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "z"))
-    t = t.select("topic", (F.col("rank") + 1).alias("rank"), F.col("z.termIndices").alias("term_index"),
-                 F.col("z.termWeights").alias("weight"))
-    return t.join(vocab, "term_index").select("topic", "rank", "term", "weight")
-
-
-def assign_topics(pipeline_model, df: DataFrame, out: str = "dominant_topic") -> DataFrame:
-    """Per-document topic distribution and its argmax (first wins ties;
-    null when the document has no known term)."""
-    t = pipeline_model.transform(df).withColumn("_td", vector_to_array("topicDistribution"))
-    k = pipeline_model.stages[-1].getK()
-    best = argmax_position([F.col("_td")[i] for i in range(k)])
-    return t.withColumn(out, F.when(F.size(F.filter("_td", lambda v: v > 0)) > 0, best)).drop("_td")
-
-
 def fit_embedder(df: DataFrame, tokens: str, dim: int = 64, seed: int = 42, min_count: int = 1):
     """T11 default embedder: Word2Vec, a document vector is the mean of its words."""
     return Word2Vec(vectorSize=dim, minCount=min_count, inputCol=tokens, outputCol="embedding_vec",

@@ -54,24 +54,32 @@ def token_counts(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
               .agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
-def token_blocks(df: DataFrame, id_col: str, tokens: str) -> DataFrame:
+def token_blocks(df: DataFrame, id_col: str, tokens: str, most: int | None = None) -> DataFrame:
     """(block, token, ids, ns): ``token_counts`` packed by batches of rows.  A token travels
-    once for all texts of its block, which are listed with their counts."""
+    once for all texts of its block, which are listed with their counts.  With ``most``, a
+    block ends where its texts reach so many tokens."""
     def run(batches):
         for batch in batches:
-            ids, lists = batch.column(1), batch.column(2)
-            found = lists.flatten().dictionary_encode(null_encoding="encode")
-            if not len(found):
-                continue
-            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-            code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-            pair, n = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
-            ends = pa.array(np.searchsorted(pair // len(ids), np.arange(len(found.dictionary) + 1)).astype(np.int32))
-            who = ids.take(pa.array(pair % len(ids)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(len(found.dictionary), batch.column(0)[0].as_py(), np.int64)), found.dictionary,
-                pa.ListArray.from_arrays(ends, who), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
-                names=["block", "token", "ids", "ns"])
+            lists = batch.column(2)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist()] if most else [0]
+            for at, end in zip(cuts, [*cuts[1:], batch.num_rows], strict=True):
+                yield from packed(batch.slice(at, end - at))
+
+    def packed(batch):
+        ids, lists = batch.column(1), batch.column(2)
+        found = lists.flatten().dictionary_encode(null_encoding="encode")
+        if not len(found):
+            return
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        code = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        pair, n = np.unique(code * len(ids) + np.repeat(np.arange(len(ids)), sizes), return_counts=True)
+        ends = pa.array(np.searchsorted(pair // len(ids), np.arange(len(found.dictionary) + 1)).astype(np.int32))
+        who = ids.take(pa.array(pair % len(ids)))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(found.dictionary), batch.column(0)[0].as_py(), np.int64)), found.dictionary,
+            pa.ListArray.from_arrays(ends, who), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))],
+            names=["block", "token", "ids", "ns"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.monotonically_increasing_id().alias("block"), F.col(id_col).alias("id"), F.col(tokens).alias("tokens"))

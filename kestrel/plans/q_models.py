@@ -18,6 +18,7 @@ from ..operators import rankers as R
 from ..operators import sampling as S
 from ..operators import search as SE
 from ..operators import text as T
+from ..operators import topics as TP
 from ..operators.splits import chrono_split, random_split
 from ..sources import adapters as A
 from ..session import shared_path
@@ -347,15 +348,15 @@ def _tok(spark, sf):
 @query("lda_topics")
 def lda_topics(spark, sf):
     t = _tok(spark, sf)
-    m = ML.fit_topics(t, "tokens", k=3, seed=10, max_iter=10)
-    return rounded(ML.top_terms(spark, m, 10))
+    m = TP.fit_topics(t, "tokens", k=3, seed=10, max_iter=10)
+    return rounded(TP.top_terms(m, 10))
 
 
 @query("dominant_topic")
 def dominant_topic_q(spark, sf):
     t = _tok(spark, sf)
-    m = ML.fit_topics(t, "tokens", k=3, seed=10, max_iter=10)
-    return ML.assign_topics(m, t).select("post_id", "dominant_topic")
+    m = TP.fit_topics(t, "tokens", k=3, seed=10, max_iter=10)
+    return TP.assign_topics(m, t).select("post_id", "dominant_topic")
 
 
 @query("embed_text")
