@@ -22,7 +22,9 @@ collapsed to one class first.  The rest goes in three steps.
    differences (if d(x) and d(y) were disjoint, one of them would be p itself).  Each difference files only its H + 1 rarest elements (rarest in
    the cluster first); elements that only one member has are skipped, and so are
    positions from which the rest of either difference cannot give enough overlap.  What meets there is verified on
-   the differences.  Pairs inside one component are never made.
+   the differences.  Pairs inside one component are never made.  A pivot unlike its members stays in all
+   their differences; while that gives many pairs, members that share an element so form smaller
+   clusters with new pivots, for which all of this holds again, and then meet a few hubs of each list.
 
 In a large group of near copies the shared text cancels out of the differences,
 so the group is handled by its edits alone.
@@ -36,6 +38,8 @@ other columns, whatever their names, are untouched.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -51,6 +55,8 @@ PERCENT = 90        # link when 100 * intersection >= PERCENT * union
 MIN_BITS, MAX_BITS = 1 << 22, 1 << 30  # of the bitmap of elements that occur again
 BUCKET_BYTES = 6 << 20  # text whose elements one bucket counts
 FLUSH = 1 << 19         # elements that a task deals out together
+PAIRS = 8               # ordered pairs for each shown element that are made without more ado
+HUBS = 2                # members of a list that all others meet before pairs are made
 
 
 def size_classes(percent: int, most: int) -> list[int]:
@@ -281,27 +287,120 @@ def _resolve(df, classes, shared, text_col, shingle, percent) -> DataFrame:
     members = materialize(members.withColumn("allowed", _allowed(F.col("n"), F.floor(F.col("n") * 100 / percent), percent))
                           .withColumn("k", F.size("d")).withColumn("c", F.when(F.col("k") <= _allowed(F.col("n"), F.col("np"), percent), F.col("p"))
                                                                     .otherwise(F.col("rid"))), "differences")
-    # the rarest allowed + 1 elements of each difference, without those of one member only
+    return _united(members, percent)
+
+
+def _united(members: DataFrame, percent: int) -> DataFrame:
+    """(rid, c): the components (c) of members (p, rid, n, k, d, allowed, c) after all links
+    between members of a cluster.
+
+    Where a pivot is unlike its members, their differences share its elements and all of
+    them meet.  So while many pairs would be made, members that share a list form smaller
+    clusters with pivots of their own.  What is left then meets a few hubs, and what no hub
+    has joined is paired in full."""
+    name, before, most = members.select("rid", "c"), None, None
+    while True:
+        el = materialize(_shown(members), "shown")
+        most = PAIRS * el.count() if most is None else most
+        shown, kinds, left = _unsettled(el, name)
+        if left <= most or before is not None and 2 * left > before:
+            break
+        members = _new_pivots(members, shown, percent)
+        near = members.where(F.col("k") <= _allowed(F.col("n"), F.col("np"), percent))
+        name, before = _joined(name, near.select(F.col("rid").alias("x"), F.col("p").alias("y"))), left
+    if left > most:
+        name = _joined(name, _links(members, _met_hubs(shown, percent), percent))
+        shown, kinds, left = _unsettled(el, name)
+    return _joined(name, _links(members, _met(shown, kinds, percent), percent)) if left else name
+
+
+def _unsettled(el: DataFrame, name: DataFrame):
+    """(shown, kinds, left): the entries of lists that hold several components; these lists with
+    their largest component; the number of their ordered pairs between components."""
+    shown = el.join(name, "rid")
+    kinds = shown.groupBy("p", "e", "c").agg(F.count("*").alias("m")).groupBy("p", "e").agg(
+        F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("own"), F.max(F.struct("m", "c"))["c"].alias("main"))
+    kinds = materialize(kinds.where(F.col("all") * F.col("all") > F.col("own")), "kinds")
+    left = kinds.agg(F.sum(F.col("all") * F.col("all") - F.col("own"))).first()[0] or 0
+    return shown.join(kinds.select("p", "e"), ["p", "e"]), kinds, left
+
+
+def _shown(members: DataFrame) -> DataFrame:
+    """(rid, p, e, pos, n, k): the rarest allowed + 1 elements of each difference, without
+    those of one member only."""
     el = members.select("p", "rid", "allowed", F.explode("d").alias("e"))
     freq = el.groupBy("p", "e").agg(F.count("*").alias("m"))
     el = el.join(freq, ["p", "e"]).withColumn("pos", F.row_number().over(Window.partitionBy("rid").orderBy("m", "e")))
     el = el.where((F.col("pos") <= F.col("allowed") + 1) & (F.col("m") >= 2)).select("p", "rid", "e", "pos")
-    name = members.select("rid", "c")
-    el = el.join(members.select("rid", "c", "n", "k"), "rid")
-    side = lambda v: el.select("p", "e", F.col("rid").alias(v), *[F.col(c).alias(f"{c}{v}") for c in ("c", "n", "k", "pos")])
+    return el.join(members.select("rid", "n", "k"), "rid")
+
+
+def _new_pivots(members: DataFrame, shown: DataFrame, percent: int) -> DataFrame:
+    """The members of the lists in smaller clusters: sets of sizes that may link which share
+    a list, directly or through others.  A cluster's pivot is one of its commonest sizes."""
+    # sets that may link are in one class or in neighbours (the thousandth is for rounding)
+    size = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.001)) if percent < 100 else F.col("n")
+    lists = shown.select("p", "e", "rid", F.explode(F.array(size - 1, size)).alias("f"))
+    low = lists.groupBy("p", "e", "f").agg(F.min("rid").alias("lo"))
+    edges = lists.join(low, ["p", "e", "f"]).select(F.col("rid").alias("a"), F.col("lo").alias("b"))
+    own = components(edges).select(F.col("node").alias("rid"), F.col("component").alias("cluster"))
+    held = members.select("rid", "n", "k", "d", "allowed").join(own, "rid")
+    pivots = held.groupBy("cluster", "n", "k").agg(F.count("*").alias("m"), F.min("rid").alias("p")).groupBy("cluster").agg(
+        F.max(F.struct("m", "p"))["p"].alias("p"))
+    p = members.select(F.col("rid").alias("p"), F.col("n").alias("np"), F.col("d").alias("dp"))
+    met = held.join(pivots, "cluster").join(p, "p")
+    d = F.concat(F.array_except("dp", "d"), F.array_except("d", "dp"))
+    return materialize(met.select("rid", "p", "n", "np", "allowed", d.alias("d")).withColumn("k", F.size("d")), "differences")
+
+
+def _side(shown: DataFrame, v: str) -> DataFrame:
+    return shown.select("p", "e", F.col("rid").alias(v), *[F.col(c).alias(f"{c}{v}") for c in ("c", "n", "k", "pos")])
+
+
+def _may_link(percent: int):
+    """Whether x and y, which share an element at their positions, may link."""
+    allowed = _allowed(F.col("nx"), F.col("ny"), percent)
     # skipping by position: if e is the first element that both share, the rest of either bounds the overlap
     most = 1 + F.least(F.col("kx") - F.col("posx"), F.col("ky") - F.col("posy"))
-    enough = 2 * most >= F.col("kx") + F.col("ky") - _allowed(F.col("nx"), F.col("ny"), percent)
-    close = F.abs(F.col("kx") - F.col("ky")) <= _allowed(F.col("nx"), F.col("ny"), percent)  # |x ^ y| is no less
-    pairs = side("x").join(side("y"), ["p", "e"]).where((F.col("x") < F.col("y")) & (F.col("cx") != F.col("cy")) & enough & close).select("x", "y")
+    enough = 2 * most >= F.col("kx") + F.col("ky") - allowed
+    return (F.col("cx") != F.col("cy")) & enough & (F.abs(F.col("kx") - F.col("ky")) <= allowed)  # |x ^ y| is no less
+
+
+def _met_hubs(shown: DataFrame, percent: int) -> DataFrame:
+    """(x, y): members with HUBS members of each of their lists, drawn by hash.  One link
+    between two components settles all pairs of their members."""
+    sides = _side(shown, "y")
+    drawn = [F.min(F.struct(F.xxhash64("y", F.lit(i)), *sides.columns[2:])).alias(f"h{i}") for i in range(HUBS)]
+    hubs = sides.groupBy("p", "e").agg(*drawn).select("p", "e", F.array(*[f"h{i}" for i in range(HUBS)]).alias("h"))
+    met = _side(shown, "x").join(hubs, ["p", "e"]).select("*", F.explode("h").alias("one"))
+    met = met.select("*", *[F.col(f"one.{c}") for c in sides.columns[2:]]).where(_may_link(percent))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _met(shown: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """(x, y): pairs of a list between two components that may link.  Members outside the
+    list's largest component meet the whole list."""
+    once = (F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))
+    other = _side(shown, "x").join(kinds.select("p", "e", "main"), ["p", "e"]).where("cx != main")
+    met = other.join(_side(shown, "y"), ["p", "e"]).where(once & _may_link(percent))
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+
+
+def _links(members: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(x, y): the pairs that link, verified on the differences."""
     pairs = materialize(pairs.distinct(), "pairs")
-    a = members.select(F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"), F.col("c").alias("cx"))
-    b = members.select(F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"), F.col("c").alias("cy"))
-    met = pairs.join(a, "x").join(b, "y")
+    side = lambda v: members.select(F.col("rid").alias(v), F.col("n").alias(f"n{v}"), F.col("d").alias(f"d{v}"))
+    met = pairs.join(side("x"), "x").join(side("y"), "y")
     apart = F.size("dx") + F.size("dy") - 2 * F.size(F.array_intersect("dx", "dy"))
-    links = met.where(apart <= _allowed(F.col("nx"), F.col("ny"), percent)).select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-    merged = components(links)
-    return name.join(merged, name.c == merged.node, "left").select("rid", F.coalesce("component", "c").alias("c"))
+    return met.where(apart <= _allowed(F.col("nx"), F.col("ny"), percent)).select("x", "y")
+
+
+def _joined(name: DataFrame, links: DataFrame) -> DataFrame:
+    """name (rid, c) with the components that links connect made one."""
+    edges = links.join(name.select(F.col("rid").alias("x"), F.col("c").alias("a")), "x").join(
+        name.select(F.col("rid").alias("y"), F.col("c").alias("b")), "y").select("a", "b")
+    merged = components(edges)
+    return materialize(name.join(merged, name.c == merged.node, "left").select("rid", F.coalesce("component", "c").alias("c")), "named")
 
 
 def _differences(clusters: DataFrame, sets: DataFrame) -> DataFrame:
