@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FOREST_GRID, GBT_GRID, LOGISTIC_CS, MAX_RANK
+from . import trees as TR
 from .encode import class_weights
 from .ranking import label_top_fraction
 
@@ -47,15 +48,26 @@ def _accuracy_eval(label: str):
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="accuracy")
 
 
+def _folded(train: DataFrame, folds: int, seed: int) -> DataFrame:
+    """A fold 0 .. folds - 1 for each row, drawn as Spark's cross validation draws it."""
+    return train.withColumn("_fold", F.floor(F.rand(seed) * folds).cast("int"))
+
+
 def fit_gbt_grid(train: DataFrame, label: str = "viral", features: str = "features", grid: dict | None = None,
                  folds: int = 3, parallelism: int = 4, seed: int = 42):
     """L1: boosted trees, grid searched by k-fold accuracy, best refitted.  The
-    default grid is the study's (config.GBT_GRID, 3^5 = 243 points)."""
-    gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=seed)
+    default grid is the study's (config.GBT_GRID, 3^5 = 243 points), fitted as 81 chains a fold
+    (``trees.boosted_scores``); more cells than a task can hold are left to Spark's estimator."""
     grid = grid or GBT_GRID
-    cv = CrossValidator(estimator=gbt, estimatorParamMaps=param_grid(gbt, grid), evaluator=_accuracy_eval(label),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    return cv.fit(train)
+    points = grid_points(grid)
+    c = TR.cells(_folded(train, folds, seed), features, label, "_fold", folds) if set(grid) <= set(TR.GBT_DEFAULTS) else None
+    if c is None:
+        gbt = GBTClassifier(labelCol=label, featuresCol=features, seed=seed)
+        return CrossValidator(estimator=gbt, estimatorParamMaps=param_grid(gbt, grid), evaluator=_accuracy_eval(label),
+                              numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
+    scores = TR.boosted_scores(c, points, list(range(folds)), seed)
+    means = [TR.mean_accuracy([scores[i, k] for k in range(folds)]) for i in range(len(points))]
+    return TR.Searched(TR.fit_boosted(c, features, seed, **points[int(np.argmax(means))]), means, points)
 
 
 def forest(label: str = "viral", features: str = "features", seed: int = 42, **params) -> RandomForestClassifier:
@@ -67,12 +79,18 @@ def forest(label: str = "viral", features: str = "features", seed: int = 42, **p
 def fit_forest_cv(train: DataFrame, label: str = "viral", features: str = "features", grid: dict | None = None,
                   folds: int = 5, parallelism: int = 4, seed: int = 42):
     """L2: random forest with k-fold search over depth × trees (default
-    config.FOREST_GRID, 15 points)."""
-    rf = forest(label, features, seed)
+    config.FOREST_GRID, 15 points, which share their trees: ``trees.forest_scores``); more cells
+    than a task can hold are left to Spark's estimator."""
     grid = grid or FOREST_GRID
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=param_grid(rf, grid), evaluator=_accuracy_eval(label),
-                        numFolds=folds, parallelism=parallelism, seed=seed)
-    return cv.fit(train)
+    points = [{**TR.FOREST_DEFAULTS, **p} for p in grid_points(grid)]
+    c = TR.cells(_folded(train, folds, seed), features, label, "_fold", folds) if set(grid) <= set(TR.FOREST_DEFAULTS) else None
+    if c is None:
+        rf = forest(label, features, seed)
+        return CrossValidator(estimator=rf, estimatorParamMaps=param_grid(rf, grid), evaluator=_accuracy_eval(label),
+                              numFolds=folds, parallelism=parallelism, seed=seed).fit(train)
+    scores = TR.forest_scores(c, points, list(range(folds)), seed)
+    means = [TR.mean_accuracy([scores[p["maxDepth"], p["numTrees"], k] for k in range(folds)]) for p in points]
+    return TR.Searched(TR.fit_forest(c, features, seed, **points[int(np.argmax(means))]), means, points)
 
 
 def fit_forest_fixed(train: DataFrame, label: str = "viral", features: str = "features",
