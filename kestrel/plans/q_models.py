@@ -81,8 +81,7 @@ def gbt_grid(spark, sf):
 @query("forest_cv")
 def forest_cv(spark, sf):
     d = _split_features(spark, sf)
-    # a smaller grid than config.FOREST_GRID (the default), for one machine
-    cv = ML.fit_forest_cv(d.filter("split = 'train'"), grid={"maxDepth": [5, 10], "numTrees": [20, 50]})
+    cv = ML.fit_forest_cv(d.filter("split = 'train'"))
     return rounded(_acc_rows(cv.bestModel, d.filter("split <> 'train'")))
 
 

@@ -134,8 +134,9 @@ def test_registered_searches_fit_the_whole_grids(spark, sf, monkeypatch):
 
     monkeypatch.setattr(TR, "boosted_scores", noted("gbt"))
     monkeypatch.setattr(TR, "forest_scores", noted("forest"))
-    assert Q.gbt_grid(spark, sf).count()
-    assert asked == {"gbt": (ML.grid_points(C.GBT_GRID), [0, 1, 2])} and len(asked["gbt"][0]) == 243
+    assert Q.gbt_grid(spark, sf).count() and Q.forest_cv(spark, sf).count()
+    assert asked == {"gbt": (ML.grid_points(C.GBT_GRID), [0, 1, 2]), "forest": (ML.grid_points(C.FOREST_GRID), [0, 1, 2, 3, 4])}
+    assert len(asked["gbt"][0]) == 243 and len(asked["forest"][0]) == 15
 
 
 def test_more_cells_than_a_task_holds_are_left_to_spark(spark, monkeypatch):
