@@ -4,7 +4,8 @@
 Rows get their fold by hash and are stored once.  Each (point, fold) is one Spark
 fit whose result is one row in a folder of its own, written aside and renamed:
 a search that was ended fits only what is missing when it is started again, and
-one that gets more points fits only these.  The driver holds the grid and one
+one that gets more points fits only these.  Points of a forest are fitted together, a
+fold at a time.  The driver holds the grid and one
 accuracy per point.
 
 Statistics of all folds come from two aggregates over the stored rows, whatever
@@ -21,12 +22,14 @@ from math import sqrt
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_int
 from ..sources.tables import is_complete, materialize_once
+from .trees import cells, forest_scores
 
 RESULT = "params STRING, fold INT, n BIGINT, correct BIGINT"
 
@@ -53,7 +56,8 @@ def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds
     ``store`` is a folder for this input, code and way of fitting; results found
     there are not computed again.  A fold without rows counts 0 of 0; an error in
     one fit ends the search and keeps the finished results.  Points named twice are
-    fitted once; an empty grid gives no rows."""
+    fitted once; an empty grid gives no rows.  Where ``fit`` can score the points of a
+    fold together (``shared``), what a fold lacks is fitted in one go."""
     spark = rows.sparkSession
     todo = {(point_name(p), k): (p, k) for p in points for k in range(folds)}
 
@@ -68,8 +72,20 @@ def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds
             materialize_once(row.coalesce(1), path, spark)
         return path
 
+    def kept(got):
+        params, fold, n, correct = got
+        row = spark.range(1, numPartitions=1).select(F.lit(point_name(params)).alias("params"), F.lit(fold).alias("fold"), F.lit(n).cast("bigint").alias("n"),
+                                                     F.lit(correct).cast("bigint").alias("correct"))
+        materialize_once(row, result_path(store, params, fold), spark)
+
     pool = ThreadPool(max(1, min(parallelism, len(todo))))
     try:
+        if hasattr(fit, "shared"):
+            lacking = [job for job in todo.values() if not is_complete(spark, result_path(store, *job))]
+            scores = fit.shared(rows, [p for i, (p, _) in enumerate(lacking) if p not in [q for q, _ in lacking[:i]]], folds, label) if lacking else None
+            by_fold = [(k, [p for p, f in lacking if f == k]) for k in sorted({f for _, f in lacking})] if scores else []
+            for got in pool.imap_unordered(inheritable_thread_target(spark)(lambda job: scores(job[1], job[0])), by_fold):
+                pool.map(inheritable_thread_target(spark)(kept), got, chunksize=1)
         paths = pool.map(inheritable_thread_target(spark)(run), todo.values(), chunksize=1)
     finally:
         pool.close()
@@ -212,6 +228,35 @@ def logistic_fitter(encodings: dict, chosen: dict, label: str = "viral", max_ite
     return fit
 
 
-def estimator_fitter(make: Callable) -> Callable:
+class EstimatorFitter:
     """``fit`` for ``search`` from make(**params), a Spark ML estimator."""
-    return lambda train, params, fold: make(**params).fit(train).transform
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __call__(self, train: DataFrame, params: dict, fold) -> Callable:
+        return self.make(**params).fit(train).transform
+
+    def shared(self, rows: DataFrame, points: list[dict], folds: int, label: str) -> Callable | None:
+        """scores(points, fold), which gives (point, fold, n, correct) for each of ``points``: forests
+        that differ in depth and number of trees share them (``trees.forest_scores``).  None for other
+        estimators and where the rows' cells are too many for a task."""
+        made = [self.make(**p) for p in points]
+        plain = {"labelCol", "featuresCol", "seed", "cacheNodeIds", "maxDepth", "numTrees"}
+        first = made[0]
+        if not all(isinstance(e, RandomForestClassifier) and {p.name for p in e.extractParamMap() if e.isSet(p)} <= plain
+                   and e.getLabelCol() == label and e.getFeaturesCol() == first.getFeaturesCol() and e.getSeed() == first.getSeed() for e in made):
+            return None
+        c = cells(rows, first.getFeaturesCol(), label, "fold", folds)
+        if c is None:
+            return None
+        own = {point_name(p): {"maxDepth": e.getMaxDepth(), "numTrees": e.getNumTrees()} for p, e in zip(points, made, strict=True)}
+
+        def scores(some, fold):
+            got = forest_scores(c, [own[point_name(p)] for p in some], [fold], first.getSeed())
+            return [(p, fold, *got[own[point_name(p)]["maxDepth"], own[point_name(p)]["numTrees"], fold]) for p in some]
+        return scores
+
+
+def estimator_fitter(make: Callable) -> EstimatorFitter:
+    return EstimatorFitter(make)

@@ -35,7 +35,7 @@ MAX_BINS = 32
 MAX_CELLS = 4_000_000
 MAX_CLASSES = 100
 #: trees of a forest that a task grows at most; cells whose votes are added up together
-TASK_TREES, CHUNK = 16, 1 << 15
+TASK_TREES, CHUNK = 8, 1 << 15
 #: entries of a histogram of nodes and bins; joint bins of features counted in one go
 HISTOGRAM, JOINT = 1 << 21, 512
 LEAST_GAIN = 1e-12

@@ -111,3 +111,23 @@ def test_logistic_fitter_equals_its_parts(spark, tmp_path):
         m = LogisticRegression(labelCol="viral", featuresCol="f", weightCol="weight", standardization=False, regParam=1 / train.count())
         hits = m.fit(train).transform(data.where(F.col("fold") == k)).where("prediction = viral").count()
         assert r["correct"] == hits and hits > 0.75 * r["n"]
+
+
+def test_points_of_a_forest_are_fitted_together(spark, tmp_path, monkeypatch):
+    from kestrel.operators import models as ML
+    data = sample(spark)
+    rows, store = VectorAssembler(inputCols=["x"], outputCol="features").transform(data), str(tmp_path / "s")
+    points = [{"maxDepth": d, "numTrees": t} for d in (1, 6) for t in (2, 9)]
+    asked, real = [], S.forest_scores
+    monkeypatch.setattr(S, "forest_scores", lambda c, some, folds, seed: (asked.append((folds, len(some))), real(c, some, folds, seed))[1])
+    fit = S.estimator_fitter(ML.forest)
+    monkeypatch.setattr(S.EstimatorFitter, "__call__", lambda *a: pytest.fail("a fit for one point"))
+    first = {(r["params"], r["fold"]): (r["n"], r["correct"]) for r in S.search(rows, fit, points[:2], store, 3).collect()}
+    assert sorted(asked) == [([k], 2) for k in range(3)]
+    asked.clear()
+    got = {(r["params"], r["fold"]): (r["n"], r["correct"]) for r in S.search(rows, fit, points, store, 3).collect()}
+    assert sorted(asked) == [([k], 2) for k in range(3)] and len(got) == 12 and first.items() <= got.items()
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    assert all(got[p, k][0] == sizes[k] and 0.6 * sizes[k] < got[p, k][1] <= sizes[k] for p, k in got)
+    alone = S.search(rows, S.estimator_fitter(ML.forest), points[3:], str(tmp_path / "t"), 3).collect()
+    assert {(r["params"], r["fold"]): (r["n"], r["correct"]) for r in alone}.items() <= got.items()
