@@ -26,6 +26,7 @@ from math import ceil, log2, sqrt
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -402,10 +403,11 @@ def _nested_scores(c: Cells, m: int, depths: list[int], sizes: list[int], folds:
     return {(r["fold"], r["depth"], r["trees"]): (r["n"], r["correct"]) for r in total.collect()}
 
 
-def _flat(levels: list[Level], depth: int):
-    """(feature, cut, left child, class shares) of the tree cut at ``depth``, its nodes level by level."""
+def _flat(levels: list[Level], depth: int, width: int):
+    """(feature, cut, left child, class shares) of the tree cut at ``depth``, its nodes level by
+    level, and each feature's share of the tree's gain (gain times rows, summed over its nodes)."""
     leaf = leaves(levels, depth)
-    feature, cut, left, share, reached, base = [], [], [], [], np.ones(1, bool), 0
+    feature, cut, left, share, reached, base, worth = [], [], [], [], np.ones(1, bool), 0, np.zeros(width)
     for k, ends in enumerate(leaf):
         here = levels[k]
         at = np.flatnonzero(reached)
@@ -414,11 +416,12 @@ def _flat(levels: list[Level], depth: int):
         cut.append(here.cut[at])
         left.append(np.where(split, base + len(at) + 2 * (np.cumsum(split) - 1), 0))
         share.append(here.weight[at] / here.weight[at].sum(axis=1, keepdims=True))
+        worth += np.bincount(here.feature[at[split]], here.gain[at[split]] * here.weight[at[split]].sum(axis=1), width)
         base += len(at)
         if k + 1 < len(leaf):
             reached = np.repeat(reached[here.feature >= 0] & ~ends[here.feature >= 0], 2)
     return (np.concatenate(feature).astype(np.int16), np.concatenate(cut).astype(np.uint8),
-            np.concatenate(left).astype(np.int32), np.concatenate(share).astype(np.float64))
+            np.concatenate(left).astype(np.int32), np.concatenate(share).astype(np.float64), worth / (worth.sum() or 1.0))
 
 
 class _Model:
@@ -444,6 +447,12 @@ class ForestModel(_Model):
         self.trees, self.edges, self.classes, self.features = trees, c.edges, c.classes, features
         self.params = {"cacheNodeIds": True, **params}
 
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802 - as in Spark ML
+        """The trees' shares of gain, summed and made to sum to 1 (a row for each tree reaches the driver)."""
+        worth = sum(np.frombuffer(r["worth"]) for r in self.trees.orderBy("tree").select("worth").collect())
+        return DenseVector(worth / (worth.sum() or 1.0))
+
     def _scored(self, keys: DataFrame) -> DataFrame:
         width, classes, parts = len(self.edges), self.classes, len(_ranges(self.params["numTrees"]))
         deal = self.trees.sparkSession.range(parts).select(F.col("id").cast("int").alias("part"))
@@ -488,7 +497,7 @@ class ForestModel(_Model):
 def fit_forest(c: Cells, features: str, seed: int, maxDepth: int, numTrees: int) -> ForestModel:  # noqa: N803 - Spark's names
     """The forest of one point on the rows of all folds."""
     width, classes, bins = len(c.edges), c.classes, max(len(e) + 1 for e in c.edges)
-    m = subset_size("auto", width, numTrees)
+    m, names = subset_size("auto", width, numTrees), ("feature", "cut", "left", "share", "worth")
     jobs, where = _dealt(c, [(None, a, b) for a, b in _ranges(numTrees)])
 
     def run(table):
@@ -496,11 +505,11 @@ def fit_forest(c: Cells, features: str, seed: int, maxDepth: int, numTrees: int)
         x, train, _ = _loaded(table, width, classes)
         rows = []
         for t in range(start, end):
-            parts = _flat(grow(x, _bag(train, seed, t), bins, maxDepth, m, seed, t), maxDepth)
-            rows.append({"tree": t, "part": t // TASK_TREES, **dict(zip(("feature", "cut", "left", "share"), (p.tobytes() for p in parts), strict=True))})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("tree", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in ("feature", "cut", "left", "share")]]))
+            parts = _flat(grow(x, _bag(train, seed, t), bins, maxDepth, m, seed, t), maxDepth, width)
+            rows.append({"tree": t, "part": t // TASK_TREES, **dict(zip(names, (p.tobytes() for p in parts), strict=True))})
+        return pa.Table.from_pylist(rows, schema=pa.schema([("tree", pa.int32()), ("part", pa.int32()), *[(n, pa.binary()) for n in names]]))
 
-    trees = jobs.groupBy("task").applyInArrow(run, "tree int, part int, feature binary, cut binary, left binary, share binary")
+    trees = jobs.groupBy("task").applyInArrow(run, "tree int, part int, " + ", ".join(f"{n} binary" for n in names))
     return ForestModel(checkpointed(trees), c, features, {"maxDepth": maxDepth, "numTrees": numTrees})
 
 

@@ -61,10 +61,12 @@ def test_a_tree_is_sparks(spark, classes):
     levels = TR.grow(x, n.sum(axis=1), 6, 9, 4, 42, 0)
     got = TR.votes(levels, x, [2, 4, 9])
     for depth in (2, 4, 9) if classes == 2 else (2, 4):  # deeper, splits of equal gain differ by rounding
-        plain = DecisionTreeClassifier(labelCol="viral", maxDepth=depth).fit(df).transform(df)
+        m = DecisionTreeClassifier(labelCol="viral", maxDepth=depth).fit(df)
+        plain = m.transform(df)
         want = {(r["a"], r["b"], r["c"], r["d"]): list(r["probability"].toArray()) for r in plain.collect()}
         assert all(np.allclose(want[tuple(int(v) for v in k)], p) for k, p in zip(x, got[depth], strict=True))
-        feature, cut, left, share = TR._flat(levels, depth)
+        feature, cut, left, share, worth = TR._flat(levels, depth, 4)
+        assert np.allclose(worth, m.featureImportances.toArray())
         node = np.zeros(len(x), int)
         while (inner := feature[node] >= 0).any():
             to = left[node] + (x[np.arange(len(x)), feature[node]] > cut[node])
@@ -144,3 +146,14 @@ def test_more_cells_than_a_task_holds_are_left_to_spark(spark, monkeypatch):
     df = sample(spark, 60)
     for m in (ML.fit_gbt_grid(df, grid={"maxDepth": [2], "maxIter": [2]}, folds=2), ML.fit_forest_cv(df, grid={"maxDepth": [2], "numTrees": [3]}, folds=2)):
         assert m.bestModel.transform(df).where("prediction IS NOT NULL").count() == 60 and len(m.avgMetrics) == 1
+
+
+def test_a_forest_of_many_rows_is_grown_on_cells(spark, monkeypatch):
+    df = sample(spark)
+    few = ML.fit_forest_fixed(df, depth=6, trees=12)
+    monkeypatch.setattr(ML, "FEW_ROWS", 499)
+    many = ML.fit_forest_fixed(df, depth=6, trees=12)
+    assert isinstance(many, TR.ForestModel) and not isinstance(few, TR.ForestModel)
+    got = ML.feature_importance(spark, many, ["a", "b", "c", "d"]).collect()
+    assert abs(sum(r["importance"] for r in got) - 1) < 1e-9 and got[0]["feature"] == "a"
+    assert np.abs(many.featureImportances.toArray() - few.featureImportances.toArray()).max() < 0.15
