@@ -115,10 +115,10 @@ def zscore(df: DataFrame, col: str, out: str | None = None, stats: tuple | None
     return df.withColumn(out or f"{col}_z", (F.col(col) - F.lit(m)) / F.lit(s))
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced weights n / (classes · n_c), one row per class."""
+def class_weights(df: DataFrame, label: str, count: str | None = None) -> DataFrame:
+    """Balanced weights n / (classes · n_c), one row per class; a row stands for ``count`` rows if that is named."""
     from pyspark.sql import Window
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
+    counts = df.groupBy(label).agg((F.sum(count) if count else F.count(F.lit(1))).alias("n_c"))
     every = Window.partitionBy()  # over the per-class table: one row per class
     return counts.select(label, F.col("n_c").cast("bigint"),
                          (F.sum("n_c").over(every) / (F.count(F.lit(1)).over(every) * F.col("n_c")))

@@ -15,8 +15,9 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import CountVectorizer, StandardScaler, VectorAssembler, VectorSlicer, Word2Vec
+from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, StandardScaler, VectorAssembler, VectorSlicer, Word2Vec
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
@@ -109,9 +110,12 @@ def fit_forest_fixed(train: DataFrame, label: str = "viral", features: str = "fe
     return forest(label, features, seed, maxDepth=min(depth, 30), numTrees=trees).fit(train)
 
 
-def with_class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """J6 weights attached to every row (join with the per-class table)."""
-    w = class_weights(df, label).select(label, F.col("weight").alias(out))
+def with_class_weights(df: DataFrame, label: str, out: str = "weight", count: str | None = None) -> DataFrame:
+    """J6 weights attached to every row (join with the per-class table); a row that stands for
+    ``count`` rows weighs as many times as much."""
+    w = class_weights(df, label, count).select(label, F.col("weight").alias(out))
+    if count:
+        return df.join(F.broadcast(w), label, "left").withColumn(out, F.col(out) * F.col(count))
     return df.join(F.broadcast(w), label, "left")  # one row per class
 
 
@@ -131,13 +135,27 @@ def fit_logistic_grid(train: DataFrame, label: str = "viral", features: str = "f
     return cv.fit(data)
 
 
-def rfe(df: DataFrame, feature_cols: list[str], label: str = "viral", keep: int = 5, step: int = 1):
+def _unit_deviation(data: DataFrame, cols: list[str], count: str) -> list[float]:
+    """1 / sample deviation of each column (0 without spread), rows standing for ``count`` rows."""
+    n, *means = data.agg(F.sum(count), *[F.sum(F.col(c) * F.col(count)) / F.sum(count) for c in cols]).first()
+    if not n or n < 2:
+        return [0.0] * len(cols)
+    squares = data.agg(*[F.sum((F.col(c) - F.lit(m)) ** 2 * F.col(count)) for c, m in zip(cols, means, strict=True)]).first()
+    return [1 / (q / (n - 1)) ** 0.5 if q > 0 else 0.0 for q in squares]
+
+
+def rfe(df: DataFrame, feature_cols: list[str], label: str = "viral", keep: int = 5, step: int = 1, count: str | None = None):
     """L4: recursive elimination by |coefficient|; returns [(feature, rank)],
-    rank 1 = kept.  Each fit is distributed; the driver only drops columns."""
-    data = with_class_weights(assemble(df, feature_cols, "_raw"), label)
+    rank 1 = kept.  Each fit is distributed; the driver only drops columns.  With ``count``
+    a row stands for so many equal rows."""
+    data = with_class_weights(assemble(df, feature_cols, "_raw"), label, count=count)
     # unit deviation, so that coefficient sizes can be compared
-    data = StandardScaler(inputCol="_raw", outputCol="_all").fit(data).transform(data)
-    reg = 1.0 / max(1, df.count())
+    if count:
+        unit = Vectors.dense(_unit_deviation(df, feature_cols, count))
+        data = ElementwiseProduct(scalingVec=unit, inputCol="_raw", outputCol="_all").transform(data)
+    else:
+        data = StandardScaler(inputCol="_raw", outputCol="_all").fit(data).transform(data)
+    reg = 1.0 / max(1, (df.agg(F.sum(count)).first()[0] or 0) if count else df.count())
     remaining = list(range(len(feature_cols)))
     ranks = {}
     rank = len(feature_cols) - keep + 1

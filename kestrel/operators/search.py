@@ -48,7 +48,7 @@ def result_path(store: str, params: dict, fold: int) -> str:
 
 
 def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds: int, label: str = "viral",
-           parallelism: int = 4) -> DataFrame:
+           parallelism: int = 4, count: str | None = None) -> DataFrame:
     """(params, fold, n, correct) for every point of the grid and every fold of
     ``rows`` (a column ``fold``, see ``with_folds``).  ``fit(train, params, fold)``
     gives a function from rows to rows with ``prediction``.
@@ -57,7 +57,9 @@ def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds
     there are not computed again.  A fold without rows counts 0 of 0; an error in
     one fit ends the search and keeps the finished results.  Points named twice are
     fitted once; an empty grid gives no rows.  Where ``fit`` can score the points of a
-    fold together (``shared``), what a fold lacks is fitted in one go."""
+    fold together (``shared``), what a fold lacks is fitted in one go.  With ``count`` a row
+    stands for so many equal rows."""
+    times = F.col(count) if count else F.lit(1)
     spark = rows.sparkSession
     todo = {(point_name(p), k): (p, k) for p in points for k in range(folds)}
 
@@ -66,8 +68,8 @@ def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds
         path = result_path(store, params, fold)
         if not is_complete(spark, path):
             predict = fit(rows.where(F.col("fold") != fold), params, fold)
-            hit = (F.col("prediction") == F.col(label)).cast("bigint")
-            row = predict(rows.where(F.col("fold") == fold)).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(hit), F.lit(0)).alias("correct"))
+            hit = (F.col("prediction") == F.col(label)).cast("bigint") * times
+            row = predict(rows.where(F.col("fold") == fold)).agg(F.coalesce(F.sum(times), F.lit(0)).alias("n"), F.coalesce(F.sum(hit), F.lit(0)).alias("correct"))
             row = row.select(F.lit(point_name(params)).alias("params"), F.lit(fold).alias("fold"), "n", "correct")
             materialize_once(row.coalesce(1), path, spark)
         return path
@@ -80,7 +82,7 @@ def search(rows: DataFrame, fit: Callable, points: list[dict], store: str, folds
 
     pool = ThreadPool(max(1, min(parallelism, len(todo))))
     try:
-        if hasattr(fit, "shared"):
+        if hasattr(fit, "shared") and not count:
             lacking = [job for job in todo.values() if not is_complete(spark, result_path(store, *job))]
             scores = fit.shared(rows, [p for i, (p, _) in enumerate(lacking) if p not in [q for q, _ in lacking[:i]]], folds, label) if lacking else None
             by_fold = [(k, [p for p, f in lacking if f == k]) for k in sorted({f for _, f in lacking})] if scores else []
@@ -188,21 +190,27 @@ def encode(df: DataFrame, enc: Encoding, label: str, weight: str = "weight") ->
     return df.withColumns({**new, weight: w})
 
 
-def choose_features(train: DataFrame, enc: Encoding, label: str, keep: int, step: int = 1) -> list[str]:
+def counted(rows: DataFrame, cols: list[str], out: str = "_count") -> DataFrame:
+    """Equal rows of ``cols`` as one row with their number: a fit that weighs rows by it sees all of them."""
+    return rows.groupBy(*cols).agg(F.count(F.lit(1)).alias(out))
+
+
+def choose_features(train: DataFrame, enc: Encoding, label: str, keep: int, step: int = 1, count: str | None = None) -> list[str]:
     """The ``keep`` encoded columns that recursive elimination leaves on one training side."""
     from .models import rfe
     names = enc.names()
     if len(names) <= keep:
         return names
-    ranks = dict(rfe(encode(train, enc, label, "_w").drop("_w"), names, label, keep, step))
+    ranks = dict(rfe(encode(train, enc, label, "_w").drop("_w"), names, label, keep, step, count))
     return [n for n in names if ranks[n] == 1]
 
 
-def choose_per_fold(rows: DataFrame, encodings: dict, label: str, keep: int, step: int = 1, parallelism: int = 4) -> dict:
+def choose_per_fold(rows: DataFrame, encodings: dict, label: str, keep: int, step: int = 1, parallelism: int = 4,
+                    count: str | None = None) -> dict:
     """{fold: chosen columns}, each from the training side of its fold (None: all rows);
-    the folds' fits run beside each other."""
+    the folds' fits run beside each other.  With ``count`` a row stands for so many equal rows."""
     def one(fold):
-        return choose_features(rows if fold is None else rows.where(F.col("fold") != fold), encodings[fold], label, keep, step)
+        return choose_features(rows if fold is None else rows.where(F.col("fold") != fold), encodings[fold], label, keep, step, count)
 
     pool = ThreadPool(max(1, min(parallelism, len(encodings))))
     try:
@@ -211,18 +219,23 @@ def choose_per_fold(rows: DataFrame, encodings: dict, label: str, keep: int, ste
         pool.close()
 
 
-def logistic_fitter(encodings: dict, chosen: dict, label: str = "viral", max_iter: int = 100) -> Callable:
+def logistic_fitter(encodings: dict, chosen: dict, label: str = "viral", max_iter: int = 100, count: str | None = None) -> Callable:
     """``fit`` for ``search``: balanced L2 logistic regression with C = params["C"]
     on the chosen encoded columns of the fold's own encoders (fold None: all rows).
-    sklearn's C maps to regParam = 1 / (C n)."""
+    sklearn's C maps to regParam = 1 / (C n).  With ``count`` a row stands for so many equal rows."""
     from pyspark.ml.classification import LogisticRegression
 
     def fit(train, params, fold):
         enc = encodings[fold]
         vectors = VectorAssembler(inputCols=chosen[fold], outputCol="_features")
         data = vectors.transform(encode(train, enc, label, "_weight"))
+        if count:
+            data = data.withColumn("_weight", F.col("_weight") * F.col(count))
+            n = train.agg(F.sum(count)).first()[0] or 0
+        else:
+            n = train.count()
         lr = LogisticRegression(labelCol=label, featuresCol="_features", weightCol="_weight", standardization=False,
-                                regParam=1.0 / (params["C"] * max(1, train.count())), maxIter=max_iter)
+                                regParam=1.0 / (params["C"] * max(1, n)), maxIter=max_iter)
         model = lr.fit(data)
         return lambda df: model.transform(vectors.transform(encode(df, enc, label, "_weight")))
     return fit

@@ -140,13 +140,17 @@ def logistic_pipeline(spark, sf):
     """L3 in full: one-hot, scaling, class weights and feature choice fitted inside each fold,
     ten values of C, the best refitted on the whole training split; accuracy of the later splits."""
     rows, train, store, encodings = _logistic_parts(spark, sf)
-    chosen = SE.choose_per_fold(train, encodings, "viral", 5)
-    fit = SE.logistic_fitter(encodings, chosen)
+    # the fits read equal rows of a fold once, weighed by their number
+    rows, n = materialize_once(SE.counted(rows, ["fold", "split", "viral", *FEATURES], "_n"), f"{store}/counted", spark), "_n"
+    train = rows.where("split = 'train'")
+    chosen = SE.choose_per_fold(train, encodings, "viral", 5, count=n)
+    fit = SE.logistic_fitter(encodings, chosen, count=n)
     points = [{"C": c} for c in C.LOGISTIC_CS]
-    best = SE.best_point(SE.search(train, fit, points, f"{store}/logistic", LOGISTIC_FOLDS), points)
+    best = SE.best_point(SE.search(train, fit, points, f"{store}/logistic", LOGISTIC_FOLDS, count=n), points)
     pred = fit(train, best, None)(rows.where("split <> 'train'"))
-    return rounded(pred.groupBy("split").agg(F.lit(best["C"]).alias("c"), F.count(F.lit(1)).alias("n"),
-                                             F.avg((F.col("prediction") == F.col("viral")).cast("double")).alias("accuracy")))
+    hit = F.when(F.col("prediction") == F.col("viral"), F.col(n)).when(F.col("viral").isNotNull(), 0)
+    return rounded(pred.groupBy("split").agg(F.lit(best["C"]).alias("c"), F.sum(n).alias("n"),
+                                             (F.sum(hit) / F.sum(F.when(F.col("viral").isNotNull(), F.col(n)))).alias("accuracy")))
 
 
 @query("fold_statistics", with_(POSTS) + f""", f AS (

@@ -131,3 +131,17 @@ def test_points_of_a_forest_are_fitted_together(spark, tmp_path, monkeypatch):
     assert all(got[p, k][0] == sizes[k] and 0.6 * sizes[k] < got[p, k][1] <= sizes[k] for p, k in got)
     alone = S.search(rows, S.estimator_fitter(ML.forest), points[3:], str(tmp_path / "t"), 3).collect()
     assert {(r["params"], r["fold"]): (r["n"], r["correct"]) for r in alone}.items() <= got.items()
+
+
+def test_counted_rows_weigh_as_the_rows_they_stand_for(spark, tmp_path):
+    rows = sample(spark).withColumn("x", F.round(F.col("x"), 0))  # few values: many equal rows
+    once = S.counted(rows, ["fold", "viral", "x", "kind"], "n")
+    assert once.count() < 120 and once.agg(F.sum("n")).first()[0] == 240
+    enc = S.fit_encodings(rows, ["x"], ["kind"], "viral", 3)
+    plain = S.choose_per_fold(rows, enc, "viral", 2)
+    assert S.choose_per_fold(once, enc, "viral", 2, count="n") == plain
+    points = [{"C": c} for c in (1e-3, 1.0)]
+    key = lambda r: (r["params"], r["fold"], r["n"], r["correct"])
+    want = sorted(map(key, S.search(rows, S.logistic_fitter(enc, plain), points, str(tmp_path / "a"), 3).collect()))
+    got = S.search(once, S.logistic_fitter(enc, plain, count="n"), points, str(tmp_path / "b"), 3, count="n")
+    assert sorted(map(key, got.collect())) == want
