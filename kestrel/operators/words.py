@@ -102,6 +102,7 @@ MAX_TASKS = 4096
 #: size limit of the filter of words (16 MB), which only saves work
 FILTER_BITS = 1 << 27
 _PAGE = 32768
+NO_WORD = -(1 << 31)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -145,28 +146,105 @@ def _word_filter(words: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _candidates(runs: list, mask: bytes):
-    """(run number, start, length) of the parts of ``runs`` that pass the filter, all
-    dictionary words among them; BLOCK characters or one run at a time."""
+def _passed(runs: list, mask: bytes):
+    """(number of the first run, sizes, characters, [(n, places, hashes)]) for BLOCK characters or
+    one run at a time: the parts of n characters that pass the filter, all dictionary words among them."""
     on, bits, i = np.frombuffer(mask, np.uint8), len(mask) * 8, 0
     while i < len(runs):
         j, size = i + 1, len(runs[i])
         while j < len(runs) and size + len(runs[j]) <= BLOCK:
             size, j = size + len(runs[j]), j + 1
         sizes = np.array([len(r) for r in runs[i:j]], np.int64)
-        ends = np.cumsum(sizes)
-        run, end = np.repeat(np.arange(i, j), sizes), np.repeat(ends, sizes)
-        start = np.arange(size) - (end - np.repeat(sizes, sizes))
-        left = end - np.arange(size)  # characters up to the end of the run
-        for n, h in _part_hashes(_codes("".join(runs[i:j]))):
+        left = np.repeat(np.cumsum(sizes), sizes) - np.arange(size)  # characters up to the end of the run
+        codes, found = _codes("".join(runs[i:j])), []
+        for n, h in _part_hashes(codes):
             at = np.flatnonzero(left[:len(h)] >= n)
             a, b = _probes(h[at], bits)
             at = at[(on[a >> 3] >> (a & 7).astype(np.uint8) & on[b >> 3] >> (b & 7).astype(np.uint8) & 1) > 0]
-            for k, s in zip(run[at].tolist(), start[at].tolist()):
-                yield k, s, n
+            found.append((n, at, h[at]))
+        yield i, sizes, codes, found
         i = j
 
 
+def _candidates(runs: list, mask: bytes):
+    """(run number, start, length) of the parts of ``runs`` that pass the filter."""
+    for i, sizes, _, found in _passed(runs, mask):
+        run, start = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+        for n, at, _ in found:
+            for k, s in zip((i + run[at]).tolist(), (at - start[run[at]]).tolist(), strict=True):
+                yield k, s, n
+
+
+def _unlike(codes: np.ndarray, at: np.ndarray, others: np.ndarray, to: np.ndarray, n: int) -> np.ndarray:
+    """Whether the n characters from ``at`` are others than those from ``to``, for parts of equal hash."""
+    out = np.zeros(len(at), bool)
+    for j in range(n):
+        out |= codes[at + j] != others[to + j]
+    return out
+
+
+def _distinct_parts(runs: list, mask: bytes) -> list:
+    """The different parts of ``runs`` that pass the filter."""
+    parts = set()
+    for i, sizes, codes, found in _passed(runs, mask):
+        text = "".join(runs[i:i + len(sizes)])
+        for n, at, h in found:
+            _, first, back = np.unique(h, return_index=True, return_inverse=True)
+            parts.update(text[s:s + n] for s in at[first].tolist())
+            parts.update(text[s:s + n] for s in at[_unlike(codes, at, codes, at[first][back], n)].tolist())
+    return list(parts)
+
+
+def _weights(runs_text: str, codes: np.ndarray, found: list, words: dict) -> np.ndarray:
+    """(place, n - 1): weight of the word of n characters that begins there, NO_WORD where none does."""
+    out = np.full((len(codes), MAX_WORD), NO_WORD, np.int32)
+    for n, at, h in found:
+        own = words.get(n)
+        if own is None:
+            continue
+        hashes, chars, to, weight, plain = own
+        if plain is None:
+            p = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[p] == h)
+            hit = hit[~_unlike(codes, at[hit], chars, to[p[hit]], n)]
+            out[at[hit], n - 1] = weight[p[hit]]
+        else:  # two words of one hash
+            for s in at.tolist():
+                out[s, n - 1] = plain.get(runs_text[s:s + n], NO_WORD)
+    return out
+
+
+def _by_length(words: list, weights: list) -> dict:
+    """{n: (hashes in order, characters of all words, where each begins, weights, None or {word: weight})}."""
+    size = np.array([len(w) for w in words], np.int64)
+    start, codes, weight, out = np.cumsum(size) - size, _codes("".join(words)), np.array(weights, np.int64), {}
+    for n, h in _part_hashes(codes):
+        own = np.flatnonzero(size == n)
+        if len(own):
+            own = own[np.argsort(h[start[own]], kind="stable")]
+            hashes = h[start[own]]
+            plain = {words[k]: weights[k] for k in own.tolist()} if (hashes[1:] == hashes[:-1]).any() else None
+            out[n] = hashes, codes, start[own], weight[own], plain
+    return out
+
+
+def _best_steps(sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``best_path`` of all runs beside each other, from their ends on: the length of the word that
+    begins at each place."""
+    ends, order = np.cumsum(sizes), np.argsort(-sizes, kind="stable")
+    runs = np.searchsorted(-sizes[order], -np.arange(1, sizes.max(initial=0) + 1), side="right")
+    reach = np.arange(MAX_WORD, 0, -1)  # the longest word first, which wins among equals
+    best, step = np.zeros(len(weights) + len(sizes) + MAX_WORD, np.int64), np.ones(len(weights), np.int64)
+    for d, k in enumerate(runs.tolist(), 1):
+        at = ends[order[:k]] - d
+        slot = at + order[:k]  # a run has one place more, its end
+        w = weights[at][:, ::-1]
+        sums = np.where(w == NO_WORD, -(1 << 62), w + best[slot[:, None] + reach])
+        top = sums.argmax(axis=1)
+        best[slot], step[at] = sums[np.arange(k), top], MAX_WORD - top
+    return step
+
+
 def best_path(n: int, edges: list, unknown: int) -> list:
     """Lengths of the words of the heaviest path over ``n`` characters.  ``edges`` are
     (start, length, weight); every character is also a word of weight ``unknown`` unless
@@ -222,27 +300,25 @@ def segment(df: DataFrame, col: str, dictionary: DataFrame, out: str = "words")
     dealt = distinct.withColumn("_block", F.pmod(F.xxhash64("_run"), F.lit(blocks))).repartition(min(blocks, MAX_TASKS), "_block")
 
     def find(f):
-        own = f["_run"].tolist()
-        parts = list({own[k][s:s + n] for k, s, n in _candidates(own, mask.value)})
+        parts = _distinct_parts(f["_run"].tolist(), mask.value)
         # object: Arrow takes no empty column of pandas' own string type
         return pd.DataFrame({"_block": np.full(len(parts), f["_block"].iloc[0], np.int64), "word": pd.Series(parts, dtype=object)})
 
     met = dealt.groupBy("_block").applyInPandas(find, "_block long, word string").join(weighed, "word")
 
     def cut(known, f):
-        own, weight = f["_run"].tolist(), dict(zip(known["word"], known["w"].tolist(), strict=True))
-        edges: list = [[] for _ in own]
-        for k, s, n in _candidates(own, mask.value):
-            w = weight.get(own[k][s:s + n])
-            if w is not None:
-                edges[k].append((s, n, w))
-        cuts = []
-        for run, found in zip(own, edges, strict=True):
-            spans, start = [], 0
-            for size in best_path(len(run), found, unknown):
-                spans.append(run[start:start + size])
-                start += size
-            cuts.append(spans)
+        own, words, cuts = f["_run"].tolist(), _by_length(known["word"].tolist(), known["w"].tolist()), []
+        for i, sizes, codes, found in _passed(own, mask.value):
+            text = "".join(own[i:i + len(sizes)])
+            weights = _weights(text, codes, found, words)
+            weights[weights[:, 0] == NO_WORD, 0] = unknown
+            step, start = _best_steps(sizes, weights).tolist(), 0
+            for end in np.cumsum(sizes).tolist():
+                spans = []
+                while start < end:
+                    spans.append(text[start:start + step[start]])
+                    start += step[start]
+                cuts.append(spans)
         return pd.DataFrame({"_run": pd.Series(own, dtype=object), "_cut": pd.Series(cuts, dtype=object)})
 
     done = met.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInPandas(cut, "_run string, _cut array<string>")

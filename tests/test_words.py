@@ -109,6 +109,28 @@ def test_few_parts_pass_the_filter_of_words(spark):
     assert known <= met and len(met) < 1.5 * len(known) + 0.05 * W.MAX_WORD * len(text)
 
 
+def test_runs_are_cut_beside_each_other_as_one_by_one():
+    rnd = random.Random(8)
+    words = {w: rnd.randint(-40, -1) * 1000 for w in {"".join(rnd.choices("ab中", k=rnd.randint(1, 24))) for _ in range(3000)} | {"a", "ab", "aab"}}
+    runs = ["".join(rnd.choices("ab中z", k=rnd.choice([1, 2, 7, 30, 400]))) for _ in range(90)]
+    mask = bytes([255]) * 4096  # every part passes
+    (_, sizes, codes, found), = W._passed(runs, mask)
+    for split in (lambda w: None, lambda w: dict(zip(w, map(words.get, w)))):  # the second: as if two words had one hash
+        known = W._by_length(list(words), list(words.values()))
+        known = {n: (*v[:4], split([w for w in words if len(w) == n])) for n, v in known.items()}
+        weights = W._weights("".join(runs), codes, found, known)
+        weights[weights[:, 0] == W.NO_WORD, 0] = -50_000
+        step, at = W._best_steps(sizes, weights).tolist(), 0
+        for run in runs:
+            edges = [(s, n, words[run[s:s + n]]) for s in range(len(run)) for n in range(1, 25) if s + n <= len(run) and run[s:s + n] in words]
+            want, got, end = W.best_path(len(run), edges, -50_000), [], at + len(run)
+            while at < end:
+                got.append(step[at])
+                at += step[at]
+            assert got == want
+    assert sorted(W._distinct_parts(["abab"], mask)) == sorted({"abab"[s:e] for s in range(4) for e in range(s + 1, 5)})
+
+
 def test_segmentation_ties_and_odd_rows(spark):
     # 'aa' weighs as much as 'a' + 'a' would have to: two cuts of 'aaa' are equal, the longer word goes first
     d = spark.createDataFrame([("aa", 1), ("a", 1), (None, 5), ("bad", 0), ("w" * 30, 7)], "word string, n long")
